@@ -33,11 +33,12 @@ def rollup_parts(whole: DataFrame, parts: DataFrame, keys: Sequence[str], *,
     Summing ``m * f`` over the parts of a row is ``m`` times the sum of ``f``, so
     the parts are reduced to one row per key first: no row is multiplied by its
     parts, and a key with very many parts is combined before the shuffle.
-    Missing measures count as 0, as in a sum that skips them.
+    ``whole_size`` must be the same for all parts of a key.  Missing measures
+    count as 0, as in a sum that skips them.
     """
     shares = parts.groupBy(*keys).agg(
-        F.sum(ratio(part_size, whole_size)).alias("_fraction"),
-        sum_or_zero(part_size).alias("_size"))
+        sum_or_zero(part_size).alias("_size"), F.max(whole_size).alias("_whole"),
+    ).withColumn("_fraction", ratio("_size", "_whole")).drop("_whole")
     joined = whole.join(shares, list(keys))
     zero = F.lit(0.0)
     return joined.withColumns({

@@ -91,14 +91,18 @@ def crop_units(spark) -> DataFrame:
 
 def crop_prices(spark, sf_dir) -> DataFrame:
     return (table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("crop"))
-            .agg(F.avg("p_retailprice").alias("mean_Price")))
+            .agg((sem.exact_sum("p_retailprice", 2) / F.count(F.lit(1))).alias("mean_Price")))
+
+
+def _mean_price():
+    return sem.exact_sum("l_extendedprice", 2) / F.count(F.lit(1))
 
 
 def seasonal(spark, sf_dir) -> DataFrame:
     """irrig, yield_kgha, Acres by site, crop, Year and return flag."""
     rows = shipments(spark, sf_dir).join(crops(spark, sf_dir).drop("p_brand"), "part")
     return rows.groupBy("site", "crop", "Year", F.col("l_returnflag").alias("simulation")).agg(
-        F.avg("l_quantity").alias("irrig"), F.avg("l_extendedprice").alias("yield_kgha"),
+        F.avg("l_quantity").alias("irrig"), _mean_price().alias("yield_kgha"),
         F.count(F.lit(1)).cast("double").alias("Acres"))
 
 
@@ -220,41 +224,36 @@ def impact_vs_baseline(spark, sf_dir):
     season = stage(seasonal(spark, sf_dir), "season")
     out = compare(season.where(F.col("simulation").isin(SCENARIOS)), baseline_of(season))
     out = out.join(sites(spark, sf_dir).drop("basin"), "site")
-    return rounded(out.select(
+    return out.select(
         "region", "site", "crop", "Year", "simulation", "Acres", "streamflow_aug_mm",
         "streamflow_aug_acrft", "streamflow_aug_cfs", "WM_yield_loss", "Percentage_irrig",
-        "Per_irrig_saved", "Percentage_yield", "Per_yield_reduction"),
-        6, "streamflow_aug_mm", "streamflow_aug_acrft", "streamflow_aug_cfs", "WM_yield_loss",
-        "Percentage_irrig", "Per_irrig_saved", "Percentage_yield", "Per_yield_reduction")
+        "Per_irrig_saved", "Percentage_yield", "Per_yield_reduction")
 
 
 def price_outcome(spark, sf_dir):
     out = impact.price_outcome(seasonal(spark, sf_dir).withColumn(
         "kg", F.col("yield_kgha") * units.hectares("Acres")), crop_prices(spark, sf_dir), "kg",
         units=crop_units(spark))
-    return rounded(out.select("site", "crop", "Year", "simulation", "sold_unit",
-                              "economic_return"), 5, "sold_unit", "economic_return")
+    return out.select("site", "crop", "Year", "simulation", "sold_unit", "economic_return")
 
 
 def impact_clamps(spark, sf_dir):
     out = flag_impact(spark, sf_dir)
-    return rounded(out.select("site", "crop", "Year", "simulation", "Percentage_yield",
-                              "streamflow_aug_acrft", "WM_yield_loss", "Revenue_loss",
-                              "Cost_acre_ft", "Cost_acre"),
-                   5, "Percentage_yield", "streamflow_aug_acrft", "WM_yield_loss",
-                   "Revenue_loss", "Cost_acre_ft", "Cost_acre")
+    return out.select("site", "crop", "Year", "simulation", "Percentage_yield",
+                      "streamflow_aug_acrft", "WM_yield_loss", "Revenue_loss",
+                      "Cost_acre_ft", "Cost_acre")
 
 
 def per_acre_measures(spark, sf_dir):
     out = flag_impact(spark, sf_dir)
     return out.select(
         "site", "crop", "Year", "simulation",
-        F.round(sem.ratio("WM_yield_loss", "Acres"), 5).alias("yield_loss_acre"),
-        F.round(sem.ratio(F.col("sold_unit_opt") - F.col("sold_unit_shut"), "Acres"), 5)
+        sem.ratio("WM_yield_loss", "Acres").alias("yield_loss_acre"),
+        sem.ratio(F.col("sold_unit_opt") - F.col("sold_unit_shut"), "Acres")
         .alias("Production_loss_acre"),
-        F.round(sem.ratio("Total_economic_return_shut", "Acres"), 5).alias("Economic_return_ac"),
-        F.round(sem.ratio("Revenue_loss", "Acres"), 5).alias("Revenue_loss_acre"),
-        F.round(sem.ratio("sold_unit_shut", "Acres"), 5).alias("Production_acre"))
+        sem.ratio("Total_economic_return_shut", "Acres").alias("Economic_return_ac"),
+        sem.ratio("Revenue_loss", "Acres").alias("Revenue_loss_acre"),
+        sem.ratio("sold_unit_shut", "Acres").alias("Production_acre"))
 
 
 def daily_supply(spark, sf_dir) -> DataFrame:
@@ -286,7 +285,7 @@ def impact_table(spark, sf_dir):
     base = baseline_of(seasonal(spark, sf_dir))
     scenario = windows.tag_windows(rows.where(F.col("l_returnflag").isin(SCENARIOS)), "DOY")
     scenario = scenario.groupBy("site", "crop", "Year", "simulation").agg(
-        F.avg("l_quantity").alias("irrig"), F.avg("l_extendedprice").alias("yield_kgha"))
+        F.avg("l_quantity").alias("irrig"), _mean_price().alias("yield_kgha"))
     out = impact.clamp_impact(valued(spark, sf_dir, compare(scenario, base)))
     out = out.join(window_demand(spark, sf_dir), ["Year", "site", "crop", "simulation"], "left")
     out = out.withColumn("irrigation_demand_mm",
@@ -295,11 +294,10 @@ def impact_table(spark, sf_dir):
         "streamflow_aug_acrft": units.mm_to_acre_feet("irrigation_demand_mm", "Acres"),
         "streamflow_aug_cfs": units.cubic_feet_to_cfs(
             units.mm_to_cubic_feet("irrigation_demand_mm", "Acres"))}))
-    return rounded(out.select(
+    return out.select(
         "site", "crop", "Year", "simulation", "Acres", "irrigation_demand_mm",
         "streamflow_aug_acrft", "streamflow_aug_cfs", "Revenue_loss", "Cost_acre_ft",
-        "Cost_acre"), 5, "streamflow_aug_acrft", "streamflow_aug_cfs", "Revenue_loss",
-        "Cost_acre_ft", "Cost_acre")
+        "Cost_acre")
 
 
 # --- apportioning and roll-ups -----------------------------------------------------
@@ -324,7 +322,7 @@ def apportion_to_parts(spark, sf_dir):
     return shared.groupBy("site", "crop", "part").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.max("fraction_acres"), 8).alias("fraction"),
         F.round(F.sum("volume_fld"), 6).alias("volume"),
-        F.round(F.sum("loss_fld"), 5).alias("loss"))
+        F.round(F.sum("loss_fld"), 3).alias("loss"))
 
 
 def grid_impact(spark, sf_dir) -> DataFrame:
@@ -340,11 +338,12 @@ def grid_impact(spark, sf_dir) -> DataFrame:
 
 
 def field_to_grid(spark, sf_dir):
-    return rounded(grid_impact(spark, sf_dir).select(
+    out = grid_impact(spark, sf_dir).select(
         "site", "crop", "Year", "simulation", "Acres", "Acres_PF", "streamflow_aug_acrft",
-        "streamflow_aug_cfs", "WM_yield_loss", "Revenue_loss", "cost_acrft", "cost_acr"),
-        5, "streamflow_aug_acrft", "streamflow_aug_cfs", "WM_yield_loss", "Revenue_loss",
-        "cost_acrft", "cost_acr")
+        "streamflow_aug_cfs", "WM_yield_loss", "Revenue_loss", "cost_acrft", "cost_acr")
+    return rounded(
+        rounded(out, 6, "streamflow_aug_acrft", "streamflow_aug_cfs", "WM_yield_loss"),
+        2, "Revenue_loss", "cost_acrft", "cost_acr")
 
 
 def site_totals(spark, sf_dir) -> DataFrame:
@@ -357,8 +356,8 @@ def site_totals(spark, sf_dir) -> DataFrame:
 
 def grid_rollup(spark, sf_dir):
     out = site_totals(spark, sf_dir).join(sites(spark, sf_dir).drop("basin"), "site")
-    return rounded(out, 5, "Streamflow_aug_vol_acft", "streamflow_aug_cfs", "T_Revenue_loss",
-                   "cost_per_acft_v")
+    return rounded(rounded(out, 6, "Streamflow_aug_vol_acft", "streamflow_aug_cfs"), 2,
+                   "T_Revenue_loss", "cost_per_acft_v")
 
 
 def gauge_rollup(spark, sf_dir):
@@ -375,9 +374,9 @@ def curve_points(spark, sf_dir) -> DataFrame:
     tagged = windows.tag_windows(shipments(spark, sf_dir), "DOY")
     return tagged.groupBy("site", "Year", "simulation").agg(
         F.sum("l_quantity").alias("streamflow_aug_acrft"),
-        F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("Revenue_loss"),
+        sem.exact_sum(F.col("l_extendedprice") * F.col("l_discount"), 4).alias("Revenue_loss"),
         F.count(F.lit(1)).cast("double").alias("Acres")
-    ).withColumn("cost_acrft", F.round(sem.ratio("Revenue_loss", "streamflow_aug_acrft"), 6))
+    ).withColumn("cost_acrft", sem.ratio("Revenue_loss", "streamflow_aug_acrft"))
 
 
 def region_curve(spark, sf_dir) -> DataFrame:
@@ -480,20 +479,18 @@ def verdicts(spark, sf_dir) -> DataFrame:
     """
     days = stage(station_days(spark, sf_dir), "days")
     rules = days.groupBy("station", "Month").agg(
-        F.round(F.avg("Discharge_cfs"), 4).alias("MIFR_rules"))
+        F.avg("Discharge_cfs").alias("MIFR_rules"))
     daily_rules = flow.rules_to_days(rules, calendar(spark), ["Month"]).drop("Month")
     inside = windows.tag_windows(days, "DOY").drop("start_date", "stop_date", "Month", "Day")
     extra = inside.groupBy("station", "Year", "simulation").agg(
-        F.round(F.sum("Discharge_cfs") * AUG_SHARE, 4).alias("streamflow_aug_cfs"))
+        (F.sum("Discharge_cfs") * AUG_SHARE).alias("streamflow_aug_cfs"))
     joined = (inside.join(extra, ["station", "Year", "simulation"])
               .join(daily_rules, ["station", "DOY"]))
     return flow.deficit_days(joined)
 
 
 def deficit_verdicts(spark, sf_dir):
-    return rounded(verdicts(spark, sf_dir), 4, "Contributing_flow", "MIFR_Dff", "MIFR_Dff1",
-                   "Aug_2_mt_MIFR", "Percentage_aug", "MIFR_R_75", "MIFR_R_50",
-                   "per_aug_not_meet_MIFR")
+    return verdicts(spark, sf_dir)
 
 
 def _need():
@@ -512,35 +509,29 @@ def need_runs(spark, sf_dir) -> DataFrame:
 
 
 def consecutive_runs(spark, sf_dir):
-    return rounded(need_runs(spark, sf_dir).select(*SUPPLY_KEYS, "DOY", "MIFR_Dff"), 4,
-                   "MIFR_Dff")
+    return need_runs(spark, sf_dir).select(*SUPPLY_KEYS, "DOY", "MIFR_Dff")
 
 
 def required_pulse(spark, sf_dir):
-    return rounded(flow.required_pulse(need_runs(spark, sf_dir), SUPPLY_KEYS, "DOY", "MIFR_Dff"),
-                   4, "Req_aug", "Req_aug_Acft", "Fiftyp_aug")
+    return flow.required_pulse(need_runs(spark, sf_dir), SUPPLY_KEYS, "DOY", "MIFR_Dff")
 
 
 def aug_ratio(spark, sf_dir):
     out = flow.augmentation_ratio(need_runs(spark, sf_dir), SUPPLY_KEYS, "DOY", "MIFR_Dff",
                                   "streamflow_aug_cfs")
-    return rounded(out.select(*SUPPLY_KEYS, "DOY", "MaxOfTwo", "RelativeRatioOfAug",
-                              "RelativeRatioOfAug_adj", "Req_aug_acft", "Aug_avail_acft"),
-                   4, "MaxOfTwo", "RelativeRatioOfAug", "RelativeRatioOfAug_adj",
-                   "Req_aug_acft", "Aug_avail_acft")
+    return out.select(*SUPPLY_KEYS, "DOY", "MaxOfTwo", "RelativeRatioOfAug",
+                      "RelativeRatioOfAug_adj", "Req_aug_acft", "Aug_avail_acft")
 
 
 # --- cost of the pulse ------------------------------------------------------------------
 def priced_need(spark, sf_dir, runs: DataFrame) -> DataFrame:
     need = flow.required_pulse(runs, SUPPLY_KEYS, "DOY", "MIFR_Dff")
-    need = need.withColumn("Req_aug_Acft", F.round("Req_aug_Acft", 4))
     return curve.curve_lookup(need, station_curve(spark, sf_dir), SUPPLY_KEYS,
                               amount="Req_aug_Acft", cost="cost_acrft")
 
 
 def curve_lookup(spark, sf_dir):
-    out = priced_need(spark, sf_dir, need_runs(spark, sf_dir))
-    return rounded(out, 4, "need", "nearest_cum_stream", "Total_Cost", "Cost_acre", "cost_AF")
+    return priced_need(spark, sf_dir, need_runs(spark, sf_dir))
 
 
 def met_runs(spark, sf_dir) -> DataFrame:
@@ -594,7 +585,7 @@ def _trimmed_impact(spark, sf_dir):
 def median_by_group(spark, sf_dir):
     measures = ["Cost_acre", "Per_irrig_saved", "Per_yield_reduction", "streamflow_aug_mm"]
     return rounded(report.medians(_trimmed_impact(spark, sf_dir), ["crop", "simulation"],
-                                  measures), 5, *measures)
+                                  measures), 6, *measures)
 
 
 def box_summary(spark, sf_dir):
@@ -606,28 +597,22 @@ def box_summary(spark, sf_dir):
 def impact_boxes(spark, sf_dir):
     out = report.box_summary(flag_impact(spark, sf_dir), ["crop", "simulation"],
                              "Per_yield_reduction", limits=fv.REDUCTION_RANGE)
-    return rounded(out, 5, "lower", "middle", "upper", "ymin", "ymax")
+    return rounded(out, 6, "lower", "middle", "upper", "ymin", "ymax")
 
 
 def cost_per_acre_boxes(spark, sf_dir):
-    rows = flag_impact(spark, sf_dir).withColumn("Cost_acre", F.round("Cost_acre", 6))
-    rows = rows.where(F.col("Cost_acre") <= fv.MAX_COST_PER_ACRE)
+    rows = flag_impact(spark, sf_dir).where(F.col("Cost_acre") <= fv.MAX_COST_PER_ACRE)
     out = report.box_summary(rows, ["crop"], "Cost_acre", limits=(0, fv.MAX_COST_PER_ACRE))
-    return rounded(out, 5, "lower", "middle", "upper", "ymin", "ymax")
-
-
-def _rounded_percent(spark, sf_dir):
-    return need_runs(spark, sf_dir).withColumn("Percentage_aug", F.round("Percentage_aug", 4))
+    return rounded(out, 6, "lower", "middle", "upper", "ymin", "ymax")
 
 
 def percent_summary(spark, sf_dir):
-    out = report.percent_summary(_rounded_percent(spark, sf_dir), SUPPLY_KEYS, "Percentage_aug")
-    out = rounded(out, 4, "Percen_med", "Percen_mn", "Percen_min", "Percen_max")
-    return out.drop("Percent_mn_1", "Percent_md_1", "Percent_min_1", "Percent_max_1")
+    out = report.percent_summary(need_runs(spark, sf_dir), SUPPLY_KEYS, "Percentage_aug")
+    return rounded(out, 8, "Percen_med", "Percen_mn")
 
 
 def percent_bins(spark, sf_dir):
-    rows = _rounded_percent(spark, sf_dir).select(
+    rows = need_runs(spark, sf_dir).select(
         report.bin_percent("Percentage_aug").alias("closed_bin"),
         report.bin_percent("Percentage_aug", closed=False).alias("open_bin"))
     return rows.groupBy("closed_bin", "open_bin").agg(F.count(F.lit(1)).alias("n"))

@@ -30,12 +30,15 @@ BRIDGE = """bridge AS (
   SELECT site, region AS station FROM sites UNION ALL SELECT site, basin FROM sites)"""
 CROPPED = """cropped AS (
   SELECT ship.*, p_type AS crop FROM ship JOIN part ON ship.part = p_partkey)"""
-SEASON = """season AS (
+MEAN_PRICE = "sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0::DOUBLE / count(*)"
+SEASON = f"""season AS (
   SELECT site, crop, "Year", l_returnflag AS simulation, avg(l_quantity) AS irrig,
-         avg(l_extendedprice) AS yield_kgha, CAST(count(*) AS DOUBLE) AS acres
+         {MEAN_PRICE} AS yield_kgha, CAST(count(*) AS DOUBLE) AS acres
   FROM cropped GROUP BY ALL)"""
 PRICES = """prices AS (
-  SELECT p_type AS crop, avg(p_retailprice) AS price FROM part GROUP BY p_type)"""
+  SELECT p_type AS crop,
+         sum(CAST(round(p_retailprice * 100) AS BIGINT)) / 100.0::DOUBLE / count(*) AS price
+  FROM part GROUP BY p_type)"""
 UNITS = f"""units(crop, factor) AS (VALUES {_UNITS})"""
 
 
@@ -105,8 +108,9 @@ SITE_TOTALS = """site_totals AS (
   FROM grid GROUP BY ALL)"""
 POINTS = """points AS (
   SELECT site, "Year", simulation, sum(l_quantity) AS vol,
-         sum(l_extendedprice * l_discount) AS loss, CAST(count(*) AS DOUBLE) AS acres,
-         round(sum(l_extendedprice * l_discount) / NULLIF(sum(l_quantity), 0), 6) AS cost
+         CAST(count(*) AS DOUBLE) AS acres,
+         sum(CAST(round(l_extendedprice * l_discount * 10000) AS BIGINT)) / 10000.0::DOUBLE
+           / NULLIF(sum(l_quantity), 0) AS cost
   FROM ship JOIN win ON "DOY" BETWEEN start_date AND stop_date GROUP BY ALL)"""
 
 
@@ -151,7 +155,7 @@ VERDICTS = ",\n".join([WIN, SITES, BRIDGE, CALENDAR, """days AS (
          CAST(dayofyear(l_shipdate) AS INTEGER) AS "DOY", sum(l_quantity) AS q
   FROM lineitem JOIN bridge ON l_suppkey = site GROUP BY ALL),
 month_rules AS (
-  SELECT station, "Month", round(avg(q), 4) AS r FROM days GROUP BY ALL),
+  SELECT station, "Month", avg(q) AS r FROM days GROUP BY ALL),
 day_rules AS (
   SELECT station, "DOY", r FROM month_rules JOIN calendar USING ("Month")
   WHERE "DOY" BETWEEN 120 AND 240),
@@ -159,7 +163,7 @@ inside AS (
   SELECT station, "Year", simulation, "DOY", q
   FROM days JOIN win ON "DOY" BETWEEN start_date AND stop_date),
 extra AS (
-  SELECT station, "Year", simulation, round(sum(q) * 0.02, 4) AS a FROM inside GROUP BY ALL),
+  SELECT station, "Year", simulation, sum(q) * 0.02 AS a FROM inside GROUP BY ALL),
 v AS (
   SELECT station, "Year", simulation, "DOY", q, a, r, a + q AS total, q < r AS need,
          r - q AS d,
@@ -194,7 +198,7 @@ pulse AS (
          max(larger) * 1296000 / 43560 AS req_acft
   FROM larger GROUP BY ALL)"""
 LOOKUP = PULSE + ",\n" + ",\n".join([SHIP, POINTS, _curve("station", "bridge")]) + """,
-need AS (SELECT station, "Year", simulation, round(req_acft, 4) AS need FROM pulse),
+need AS (SELECT station, "Year", simulation, req_acft AS need FROM pulse),
 j AS (SELECT n.station, n."Year", n.simulation, n.need, c.cost, c.cum, c.rn, c.acres
       FROM need n JOIN curve c ON n.station = c.station AND n."Year" = c."Year"
                               AND n.simulation = c.simulation),
@@ -333,42 +337,42 @@ FROM cropped WHERE crop IN {_in(td.GRAIN + td.HAY)} GROUP BY ALL""",
 
     "impact_vs_baseline": _with(FLAG_IMPACT, SITES) + """
 SELECT region, site, crop, "Year", simulation, acres AS "Acres",
-       round(mm, 6) AS streamflow_aug_mm, round(acrft, 6) AS streamflow_aug_acrft,
-       round(cfs, 6) AS streamflow_aug_cfs, round(loss, 6) AS "WM_yield_loss",
-       round(pct_irrig, 6) AS "Percentage_irrig", round(100 - pct_irrig, 6) AS "Per_irrig_saved",
-       round(pct_yield, 6) AS "Percentage_yield",
-       round(100 - pct_yield, 6) AS "Per_yield_reduction"
+       mm AS streamflow_aug_mm, acrft AS streamflow_aug_acrft,
+       cfs AS streamflow_aug_cfs, loss AS "WM_yield_loss",
+       pct_irrig AS "Percentage_irrig", 100 - pct_irrig AS "Per_irrig_saved",
+       pct_yield AS "Percentage_yield",
+       100 - pct_yield AS "Per_yield_reduction"
 FROM valued JOIN sites USING (site)""",
 
     "price_outcome": _with(SHIP, CROPPED, SEASON, PRICES, UNITS) + """
 SELECT site, crop, "Year", simulation,
-       round(CASE WHEN factor IS NULL THEN 0 ELSE yield_kgha * (acres * 0.405) * factor END, 5)
+       CASE WHEN factor IS NULL THEN 0 ELSE yield_kgha * (acres * 0.405) * factor END
          AS sold_unit,
-       round(CASE WHEN factor IS NULL THEN 0 ELSE yield_kgha * (acres * 0.405) * factor END
-             * price, 5) AS economic_return
+       CASE WHEN factor IS NULL THEN 0 ELSE yield_kgha * (acres * 0.405) * factor END
+             * price AS economic_return
 FROM season LEFT JOIN units USING (crop) LEFT JOIN prices USING (crop)""",
 
     "impact_clamps": _with(FLAG_IMPACT) + """
-SELECT site, crop, "Year", simulation, round(pct_yield, 5) AS "Percentage_yield",
-       round(acrft, 5) AS streamflow_aug_acrft, round(loss, 5) AS "WM_yield_loss",
-       round(money_loss, 5) AS "Revenue_loss",
-       round(money_loss / NULLIF(acrft, 0), 5) AS "Cost_acre_ft",
-       round(money_loss / NULLIF(acres, 0), 5) AS "Cost_acre"
+SELECT site, crop, "Year", simulation, pct_yield AS "Percentage_yield",
+       acrft AS streamflow_aug_acrft, loss AS "WM_yield_loss",
+       money_loss AS "Revenue_loss",
+       money_loss / NULLIF(acrft, 0) AS "Cost_acre_ft",
+       money_loss / NULLIF(acres, 0) AS "Cost_acre"
 FROM impact""",
 
     "per_acre_measures": _with(FLAG_IMPACT) + """
-SELECT site, crop, "Year", simulation, round(loss / acres, 5) AS yield_loss_acre,
-       round((sold_opt - sold) / acres, 5) + 0.0 AS "Production_loss_acre",
-       round(money / acres, 5) AS "Economic_return_ac",
-       round(money_loss / acres, 5) AS "Revenue_loss_acre",
-       round(sold / acres, 5) AS "Production_acre"
+SELECT site, crop, "Year", simulation, loss / acres AS yield_loss_acre,
+       (sold_opt - sold) / acres + 0.0 AS "Production_loss_acre",
+       money / acres AS "Economic_return_ac",
+       money_loss / acres AS "Revenue_loss_acre",
+       sold / acres AS "Production_acre"
 FROM impact""",
 
     "window_demand": _with(WIN, SHIP, CROPPED, DAILY, DEMAND) + "SELECT * FROM demand",
 
     "impact_table": _with(WIN, SHIP, CROPPED, SEASON, PRICES, UNITS, DAILY, DEMAND, f"""windowed AS (
   SELECT site, crop, "Year", simulation, avg(l_quantity) AS irrig,
-         avg(l_extendedprice) AS yield_kgha
+         {MEAN_PRICE} AS yield_kgha
   FROM cropped JOIN win ON "DOY" BETWEEN start_date AND stop_date
   WHERE l_returnflag IN {_in(td.SCENARIOS)} GROUP BY ALL)""", _impact("windowed"), """full_impact AS (
   SELECT i.site, i.crop, i."Year", i.simulation, acres, money_loss,
@@ -376,32 +380,32 @@ FROM impact""",
   FROM impact i LEFT JOIN demand d ON i.site = d.site AND i.crop = d.crop
        AND i."Year" = d."Year" AND i.simulation = d.simulation)""") + """
 SELECT site, crop, "Year", simulation, acres AS "Acres", mm_demand AS irrigation_demand_mm,
-       round(mm_demand * 0.00328084 * acres, 5) AS streamflow_aug_acrft,
-       round(mm_demand * 0.00328084 * (acres * 43560) / 1296000, 5) AS streamflow_aug_cfs,
-       round(money_loss, 5) AS "Revenue_loss",
-       round(money_loss / NULLIF(mm_demand * 0.00328084 * acres, 0), 5) AS "Cost_acre_ft",
-       round(money_loss / NULLIF(acres, 0), 5) AS "Cost_acre"
+       mm_demand * 0.00328084 * acres AS streamflow_aug_acrft,
+       mm_demand * 0.00328084 * (acres * 43560) / 1296000 AS streamflow_aug_cfs,
+       money_loss AS "Revenue_loss",
+       money_loss / NULLIF(mm_demand * 0.00328084 * acres, 0) AS "Cost_acre_ft",
+       money_loss / NULLIF(acres, 0) AS "Cost_acre"
 FROM full_impact""",
 
     "apportion_to_parts": _with(FLAG_IMPACT, FIELDS) + """
 SELECT i.site, i.crop, part, count(*) AS n, round(max(fraction), 8) AS fraction,
-       round(sum(acrft * fraction), 6) AS volume, round(sum(money_loss * fraction), 5) AS loss
+       round(sum(acrft * fraction), 6) AS volume, round(sum(money_loss * fraction), 3) AS loss
 FROM impact i JOIN fields f ON i.site = f.site AND i.crop = f.crop
 GROUP BY i.site, i.crop, part""",
 
     "field_to_grid": _with(FLAG_IMPACT, FIELDS, GRID) + """
 SELECT site, crop, "Year", simulation, acres AS "Acres", part_acres AS "Acres_PF",
-       round(acrft, 5) AS streamflow_aug_acrft, round(cfs, 5) AS streamflow_aug_cfs,
-       round(loss, 5) AS "WM_yield_loss", round(money_loss, 5) AS "Revenue_loss",
-       round(money_loss / NULLIF(acrft, 0), 5) AS cost_acrft,
-       round(money_loss / NULLIF(acres, 0), 5) AS cost_acr
+       round(acrft, 6) AS streamflow_aug_acrft, round(cfs, 6) AS streamflow_aug_cfs,
+       round(loss, 6) AS "WM_yield_loss", round(money_loss, 2) AS "Revenue_loss",
+       round(money_loss / NULLIF(acrft, 0), 2) AS cost_acrft,
+       round(money_loss / NULLIF(acres, 0), 2) AS cost_acr
 FROM grid""",
 
     "grid_rollup": _with(FLAG_IMPACT, FIELDS, GRID, SITE_TOTALS, SITES) + """
 SELECT region, site, "Year", simulation, acres AS "T_Acres",
-       round(acrft, 5) AS "Streamflow_aug_vol_acft", round(cfs, 5) AS streamflow_aug_cfs,
-       round(money_loss, 5) AS "T_Revenue_loss",
-       round(money_loss / NULLIF(acrft, 0), 5) AS cost_per_acft_v
+       round(acrft, 6) AS "Streamflow_aug_vol_acft", round(cfs, 6) AS streamflow_aug_cfs,
+       round(money_loss, 2) AS "T_Revenue_loss",
+       round(money_loss / NULLIF(acrft, 0), 2) AS cost_per_acft_v
 FROM site_totals JOIN sites USING (site)""",
 
     "gauge_rollup": _with(FLAG_IMPACT, FIELDS, GRID, SITE_TOTALS, SITES, BRIDGE) + """
@@ -440,14 +444,14 @@ WHERE "DOY" BETWEEN 120 AND 240""",
 
     "deficit_verdicts": _with(VERDICTS) + """
 SELECT station, "Year", simulation, "DOY", q AS "Discharge_cfs", a AS streamflow_aug_cfs,
-       r AS "MIFR_rules", round(total, 4) AS "Contributing_flow", can AS "Can_meet_MIFR",
+       r AS "MIFR_rules", total AS "Contributing_flow", can AS "Can_meet_MIFR",
        CASE WHEN need THEN 'Yes_Need' ELSE 'Not_Need' END AS "Aug_Need",
-       round(d, 4) + 0.0 AS "MIFR_Dff",
-       round(CASE WHEN d <= 0 THEN 0 ELSE d END, 4) AS "MIFR_Dff1",
-       round(CASE WHEN r > q THEN d ELSE 0 END, 4) AS "Aug_2_mt_MIFR",
-       round(pct, 4) AS "Percentage_aug", round(r * 0.75, 4) AS "MIFR_R_75",
-       round(r * 0.5, 4) AS "MIFR_R_50", can75 AS "Can_meet_MIFR_75", can50 AS "Can_meet_MIFR_50",
-       round(CASE WHEN can = 'NO' THEN pct ELSE 0 END, 4) AS "per_aug_not_meet_MIFR"
+       d + 0.0 AS "MIFR_Dff",
+       CASE WHEN d <= 0 THEN 0 ELSE d END AS "MIFR_Dff1",
+       CASE WHEN r > q THEN d ELSE 0 END AS "Aug_2_mt_MIFR",
+       pct AS "Percentage_aug", r * 0.75 AS "MIFR_R_75",
+       r * 0.5 AS "MIFR_R_50", can75 AS "Can_meet_MIFR_75", can50 AS "Can_meet_MIFR_50",
+       CASE WHEN can = 'NO' THEN pct ELSE 0 END AS "per_aug_not_meet_MIFR"
 FROM v""",
 
     "any_need_groups": _with(VERDICTS) + """
@@ -455,30 +459,30 @@ SELECT station, "Year", simulation, count(*) AS n_days FROM v
 GROUP BY ALL HAVING bool_or(can = 'YES')""",
 
     "consecutive_runs": _with(RUNS) + """
-SELECT station, "Year", simulation, "DOY", round(d, 4) AS "MIFR_Dff" FROM runs""",
+SELECT station, "Year", simulation, "DOY", d AS "MIFR_Dff" FROM runs""",
 
     "required_pulse": _with(PULSE) + """
-SELECT station, "Year", simulation, round(req, 4) AS "Req_aug",
-       round(req_acft, 4) AS "Req_aug_Acft", round(req_acft * 0.5, 4) AS "Fiftyp_aug"
+SELECT station, "Year", simulation, req AS "Req_aug",
+       req_acft AS "Req_aug_Acft", req_acft * 0.5 AS "Fiftyp_aug"
 FROM pulse""",
 
     "aug_ratio": _with(PULSE) + """
-SELECT station, "Year", simulation, "DOY", round(larger, 4) AS "MaxOfTwo",
-       round(a / NULLIF(d, 0), 4) AS "RelativeRatioOfAug",
-       round(CASE WHEN a / NULLIF(d, 0) > 1 THEN 1 ELSE a / NULLIF(d, 0) END, 4)
+SELECT station, "Year", simulation, "DOY", larger AS "MaxOfTwo",
+       a / NULLIF(d, 0) AS "RelativeRatioOfAug",
+       CASE WHEN a / NULLIF(d, 0) > 1 THEN 1 ELSE a / NULLIF(d, 0) END
          AS "RelativeRatioOfAug_adj",
-       round(larger * 1296000 / 43560, 4) AS "Req_aug_acft",
-       round(a * 1296000 / 43560, 4) AS "Aug_avail_acft"
+       larger * 1296000 / 43560 AS "Req_aug_acft",
+       a * 1296000 / 43560 AS "Aug_avail_acft"
 FROM (SELECT larger.*, max(larger) OVER (PARTITION BY station, "Year", simulation) AS most
       FROM larger WHERE larger IS NOT NULL)
 WHERE larger = most""",
 
     "curve_lookup": _with(LOOKUP) + """
-SELECT station, "Year", simulation, round(need, 4) AS need, meets AS meets_need,
-       mc AS "MC_Cost", round(vol, 4) AS nearest_cum_stream, mc50 AS "MC_Cost_50",
+SELECT station, "Year", simulation, need AS need, meets AS meets_need,
+       mc AS "MC_Cost", vol AS nearest_cum_stream, mc50 AS "MC_Cost_50",
        vol50 AS nearest_cum_stream_50, acres AS "Contributing_acres",
-       round(cost_total, 4) AS "Total_Cost", round(cost_acre, 4) AS "Cost_acre",
-       round(cost_af, 4) AS "cost_AF"
+       cost_total AS "Total_Cost", cost_acre AS "Cost_acre",
+       cost_af AS "cost_AF"
 FROM priced""",
 
     "mean_cost_matrix": _with(MET) + """
@@ -503,34 +507,38 @@ FROM crop_acres""",
 SELECT station, {_WIDE} FROM crop_acres GROUP BY station""",
 
     "median_by_group": _with(FLAG_IMPACT) + """
-SELECT crop, simulation, round(median(money_loss / acres), 5) AS "Cost_acre",
-       round(median(saved_pct), 5) AS "Per_irrig_saved",
-       round(median(reduction), 5) AS "Per_yield_reduction",
-       round(median(mm), 5) AS streamflow_aug_mm
+SELECT crop, simulation, round(median(money_loss / acres), 6) AS "Cost_acre",
+       round(median(saved_pct), 6) AS "Per_irrig_saved",
+       round(median(reduction), 6) AS "Per_yield_reduction",
+       round(median(mm), 6) AS streamflow_aug_mm
 FROM impact WHERE reduction BETWEEN 0 AND 40 GROUP BY ALL""",
 
     "box_summary": _with(_box("lineitem", "l_returnflag, l_linestatus", "l_extendedprice", "4")),
 
-    "impact_boxes": f"""SELECT crop, simulation, lower, middle, upper, round(ymin, 5) AS ymin,
-       round(ymax, 5) AS ymax, n, outliers FROM (
+    "impact_boxes": f"""SELECT crop, simulation, lower, middle, upper, round(ymin, 6) AS ymin,
+       round(ymax, 6) AS ymax, n, outliers FROM (
 {_with(FLAG_IMPACT, "rows_ AS (SELECT crop, simulation, reduction FROM impact WHERE reduction BETWEEN 0 AND 40)",
-       _box("rows_", "crop, simulation", "reduction", "5"))})""",
-
-    "cost_per_acre_boxes": f"""SELECT crop, lower, middle, upper, round(ymin, 5) AS ymin,
-       round(ymax, 5) AS ymax, n, outliers FROM (
-{_with(FLAG_IMPACT, "rows_ AS (SELECT crop, c FROM (SELECT crop, round(money_loss / acres, 6) AS c FROM impact) WHERE c <= 1000 AND c BETWEEN 0 AND 1000)",
-       _box("rows_", "crop", "c", "5"))})""",
-
-    "percent_summary": _with(RUNS) + """
-SELECT station, "Year", simulation, round(median(round(pct, 4)), 4) AS "Percen_med",
-       round(avg(round(pct, 4)), 4) AS "Percen_mn", round(min(round(pct, 4)), 4) AS "Percen_min",
-       round(max(round(pct, 4)), 4) AS "Percen_max"
-FROM runs GROUP BY ALL""",
+       _box("rows_", "crop, simulation", "reduction", "6"))})""",
+
+    "cost_per_acre_boxes": f"""SELECT crop, lower, middle, upper, round(ymin, 6) AS ymin,
+       round(ymax, 6) AS ymax, n, outliers FROM (
+{_with(FLAG_IMPACT, "rows_ AS (SELECT crop, c FROM (SELECT crop, money_loss / acres AS c FROM impact) WHERE c <= 1000 AND c BETWEEN 0 AND 1000)",
+       _box("rows_", "crop", "c", "6"))})""",
+
+    "percent_summary": _with(RUNS) + f"""
+SELECT station, "Year", simulation, round(med, 8) AS "Percen_med",
+       round(mn, 8) AS "Percen_mn", lo AS "Percen_min", hi AS "Percen_max",
+       {_bin('mn', fv.OPEN_PERCENT_BINS, False)} AS "Percent_mn_1",
+       {_bin('med', fv.OPEN_PERCENT_BINS, False)} AS "Percent_md_1",
+       {_bin('lo', fv.OPEN_PERCENT_BINS, False)} AS "Percent_min_1",
+       {_bin('hi', fv.CLOSED_PERCENT_BINS, True)} AS "Percent_max_1"
+FROM (SELECT station, "Year", simulation, median(pct) AS med, avg(pct) AS mn,
+             min(pct) AS lo, max(pct) AS hi FROM runs GROUP BY ALL)""",
 
     "percent_bins": _with(RUNS) + f"""
 SELECT {_bin('p', fv.CLOSED_PERCENT_BINS, True)} AS closed_bin,
        {_bin('p', fv.OPEN_PERCENT_BINS, False)} AS open_bin, count(*) AS n
-FROM (SELECT round(pct, 4) AS p FROM runs) GROUP BY ALL""",
+FROM (SELECT pct AS p FROM runs) GROUP BY ALL""",
 
     "years_need_matrix": _with(YEARS) + f"""
 SELECT station, {_MATRIX}
@@ -574,7 +582,7 @@ GROUP BY ALL""",
 
     "site_key_build": """
 SELECT s_suppkey, printf('%.5f', s_suppkey / 16.0::DOUBLE) || '_'
-         || printf('%.5f', -(s_nationkey / 16.0::DOUBLE)) AS cell,
+         || printf('%.5f', -s_nationkey / 16.0::DOUBLE) AS cell,
        printf('%.5f', s_suppkey / 16.0::DOUBLE) || 'N'
          || printf('%.5f', s_nationkey / 16.0::DOUBLE) || 'W' AS site,
        s_nationkey || '_' || s_suppkey AS site_key,
