@@ -27,7 +27,7 @@ def apportion_to_parts(whole: DataFrame, parts: DataFrame, keys: Sequence[str],
 
 def rollup_parts(whole: DataFrame, parts: DataFrame, keys: Sequence[str], *,
                  part_size: str, whole_size: str, measures: Mapping[str, str],
-                 size_out: str) -> DataFrame:
+                 size_out: str, count_out: str | None = None) -> DataFrame:
     """Apportion and sum back to the whole's rows in one step.
 
     Summing ``m * f`` over the parts of a row is ``m`` times the sum of ``f``, so
@@ -38,12 +38,15 @@ def rollup_parts(whole: DataFrame, parts: DataFrame, keys: Sequence[str], *,
     """
     shares = parts.groupBy(*keys).agg(
         sum_or_zero(part_size).alias("_size"), F.max(whole_size).alias("_whole"),
-    ).withColumn("_fraction", ratio("_size", "_whole")).drop("_whole")
+        F.count(F.lit(1)).alias("_parts")).withColumn("_fraction", ratio("_size", "_whole")).drop("_whole")
     joined = whole.join(shares, list(keys))
     zero = F.lit(0.0)
-    return joined.withColumns({
-        out: F.coalesce(F.col(m) * F.col("_fraction"), zero) for out, m in measures.items()
-    }).withColumn(size_out, F.col("_size")).drop("_fraction", "_size")
+    out = joined.withColumns({
+        o: F.coalesce(F.col(m) * F.col("_fraction"), zero) for o, m in measures.items()
+    }).withColumn(size_out, F.col("_size"))
+    if count_out:
+        out = out.withColumn(count_out, F.col("_parts"))
+    return out.drop("_fraction", "_size", "_parts")
 
 
 def rollup_grid(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column | str],

@@ -26,7 +26,8 @@ def unpivot_rules(wide: DataFrame, ids: Sequence[str], *, name: str = "MIFR_SITE
     """One row per (ids, rule column); rule columns are all but ``ids``."""
     rules = [c for c in wide.columns if c not in set(ids)]
     text = wide.select(*ids, *[F.col(f"`{c}`").cast("string").alias(c) for c in rules])
-    return text.unpivot(list(ids), rules, name, value)
+    # quoted: a rule site may have dots in its name
+    return text.unpivot(list(ids), [F.col(f"`{c}`") for c in rules], name, value)
 
 
 def parse_rules(rules: DataFrame, *, text: str = "MIFR_rules", condition: str = "Condition"

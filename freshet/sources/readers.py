@@ -35,8 +35,8 @@ def _header(spark: SparkSession, path: str, sep: str | None) -> tuple[list[str],
 
 
 def read_text_table(spark: SparkSession, path: str, sep: str | None = None
-                    ) -> tuple[DataFrame, dict[str, str]]:
-    """All columns as text, and a map from folded file name to column name.
+                    ) -> tuple[DataFrame, list[str]]:
+    """All columns as text, and their names in the file.
 
     Where the header names are usable as they are, Spark checks the header of
     every file against them, so files of a different layout fail instead of
@@ -49,7 +49,7 @@ def read_text_table(spark: SparkSession, path: str, sep: str | None = None
     schema = StructType([StructField(n, StringType()) for n in names])
     df = spark.read.csv(path, schema=schema, sep=sep, header=True, quote='"', escape='"',
                         enforceSchema=not usable, mode="PERMISSIVE")
-    return df, {_folded(h): n for h, n in zip(header, names)}
+    return df, header
 
 
 def _value(name: str, kind: str) -> Column:
@@ -64,7 +64,8 @@ def _value(name: str, kind: str) -> Column:
 def read_table(spark: SparkSession, path: str, columns: Mapping[str, tuple[str, str]], *,
                sep: str | None = None, extra: Sequence[Column] = ()) -> DataFrame:
     """Typed, renamed projection of a delimited file (see ``tables``)."""
-    df, found = read_text_table(spark, path, sep)
+    df, header = read_text_table(spark, path, sep)
+    found = {_folded(h): c for h, c in zip(header, df.columns)}
     picked = []
     for out, (name, kind) in columns.items():
         optional = name.startswith("?")
@@ -185,8 +186,8 @@ def read_station_cells(spark: SparkSession, cells_path: str, outlets_path: str,
     outlets = read_table(spark, outlets_path, t.STATION_OUTLET).select(
         "SITENO", "StationCode", "station")
     cells = read_table(spark, cells_path, t.CONTRIBUTING_CELL)
-    _, found = read_text_table(spark, cells_path)
-    shared = [c for c in ("StationCode", "SITENO") if c in found]
+    header, _ = _header(spark, cells_path, None)
+    shared = [c for c in ("StationCode", "SITENO") if c in header]
     cells = cells.select("cell", *shared).withColumn("site", k.grid_site_from_cell("cell"))
     out = cells.join(outlets, shared, "left").select("station", "SITENO", "site")
     if stations is not None:
@@ -209,20 +210,16 @@ def read_wide_rules(spark: SparkSession, path: str) -> DataFrame:
     A rule site keeps its name as a dotted identifier, the way the rule-gauge map
     spells it.
     """
-    df, found = read_text_table(spark, path)
-    names = {n: _dotted(h) for h, n in zip(_header(spark, path, None)[0], found.values())}
-    return df.select(*[_value(n, "string").alias(out) for n, out in names.items() if out])
-
-
-def _dotted(name: str) -> str:
-    return re.sub(r"[^0-9A-Za-z_.]", ".", name)
+    df, header = read_text_table(spark, path)
+    return df.select(*[_value(c, "string").alias(re.sub(r"[^0-9A-Za-z_.]", ".", h))
+                       for h, c in zip(header, df.columns) if h])
 
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     """Calendar columns as text apart from the integer ``DOY``."""
-    df, found = read_text_table(spark, path)
-    return df.select(*[_value(n, "int" if h == "DOY" else "string").alias(h)
-                       for h, n in found.items() if h])
+    df, header = read_text_table(spark, path)
+    return df.select(*[_value(c, "int" if h == "DOY" else "string").alias(h)
+                       for h, c in zip(header, df.columns) if h])
 
 
 def read_discharge(spark: SparkSession, path: str) -> DataFrame:
@@ -242,3 +239,9 @@ def discharge_from_daily_values(raw: DataFrame, *, site: str = "site_no", date:
 def columns_between(df: DataFrame, first: int, last: int) -> DataFrame:
     """Columns by position, counted from 1, both ends included."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns[first - 1:last]])
+
+
+def matching_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the files a pattern matches (for the few wide rule tables)."""
+    files = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("p")).distinct()
+    return sorted(r.p for r in files.collect())
