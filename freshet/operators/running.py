@@ -53,9 +53,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     rows = df if staged else stage(df, "points")
     rows = rows.withColumns({inputs[o]: col(v) for o, v in values.items()})
 
-    largest, total = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-                      .agg(F.max("n"), F.sum("n")).first())
-    if (largest or 0) <= group_rows:
+    total = rows.count()  # from the file footers
+    if total <= group_rows or _largest_group(rows, keys) <= group_rows:
         group = Window.partitionBy(*keys)
         upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = rows.withColumns({o: F.sum(c).over(upto) for o, c in inputs.items()})
@@ -65,6 +64,10 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return _sliced(rows, keys, order, inputs, totals, -(-total // slice_rows))
 
 
+def _largest_group(rows: DataFrame, keys: Sequence[str]) -> int:
+    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
+
+
 def _sliced(rows: DataFrame, keys, order, inputs, totals, slices: int) -> DataFrame:
     # The slice number must not change once assigned, hence the second write.
     cut = stage(rows.repartitionByRange(slices, *[F.col(c) for c in [*keys, *order]])

@@ -17,7 +17,6 @@ tables.  Results are rounded so they can be compared with the SQL twins in
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -320,7 +319,7 @@ def apportion_to_parts(spark, sf_dir):
         part_size="Acres_PF", whole_size="whole_size",
         measures={"volume_fld": "streamflow_aug_acrft", "loss_fld": "Revenue_loss"})
     return shared.groupBy("site", "crop", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.max("fraction_acres"), 8).alias("fraction"),
+        F.count(F.lit(1)).alias("n"), F.max("fraction_acres").alias("fraction"),
         F.round(F.sum("volume_fld"), 6).alias("volume"),
         F.round(F.sum("loss_fld"), 3).alias("loss"))
 
@@ -338,12 +337,9 @@ def grid_impact(spark, sf_dir) -> DataFrame:
 
 
 def field_to_grid(spark, sf_dir):
-    out = grid_impact(spark, sf_dir).select(
+    return grid_impact(spark, sf_dir).select(
         "site", "crop", "Year", "simulation", "Acres", "Acres_PF", "streamflow_aug_acrft",
         "streamflow_aug_cfs", "WM_yield_loss", "Revenue_loss", "cost_acrft", "cost_acr")
-    return rounded(
-        rounded(out, 6, "streamflow_aug_acrft", "streamflow_aug_cfs", "WM_yield_loss"),
-        2, "Revenue_loss", "cost_acrft", "cost_acr")
 
 
 def site_totals(spark, sf_dir) -> DataFrame:
@@ -484,8 +480,8 @@ def verdicts(spark, sf_dir) -> DataFrame:
     inside = windows.tag_windows(days, "DOY").drop("start_date", "stop_date", "Month", "Day")
     extra = inside.groupBy("station", "Year", "simulation").agg(
         (F.sum("Discharge_cfs") * AUG_SHARE).alias("streamflow_aug_cfs"))
-    joined = (inside.join(extra, ["station", "Year", "simulation"])
-              .join(daily_rules, ["station", "DOY"]))
+    # Last join on the run keys: its partitioning serves all windows downstream.
+    joined = inside.join(daily_rules, ["station", "DOY"]).join(extra, SUPPLY_KEYS)
     return flow.deficit_days(joined)
 
 
@@ -639,14 +635,11 @@ def placeholder_union(spark, sf_dir):
 
 
 def union_distinct(spark, sf_dir):
-    rows = shipments(spark, sf_dir)
-    parts = [rows.where(F.col("l_returnflag") == f).select("site", "Year", "l_returnflag")
-             .distinct() for f in (BASE, *SCENARIOS)]
+    rows = shipments(spark, sf_dir).select("site", "Year", "l_returnflag")
     extra = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("site"), F.lit(1998).alias("Year"),
         F.lit(BASE).alias("l_returnflag"))
-    everything = reduce(DataFrame.unionByName, [*parts, extra])
-    return (everything.distinct().groupBy("Year", "l_returnflag")
+    return (rows.unionByName(extra).distinct().groupBy("Year", "l_returnflag")
             .agg(F.count(F.lit(1)).alias("sites")))
 
 
@@ -705,8 +698,8 @@ def read_scenarios(spark, sf_dir):
          .write.csv(f"{root}/{flag}/result.dat", header=True))
     got = readers.read_scenarios(spark, root)
     return got.groupBy("simulation", "crop", "Year").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("irrig"), 4).alias("irrig"),
-        F.round(F.sum("used_biomass"), 2).alias("used_biomass"),
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("irrig"), 6).alias("irrig"),
+        F.round(F.sum("used_biomass"), 4).alias("used_biomass"),
         F.min(k.day_of_season("harvest_date")).alias("harvest_day"))
 
 

@@ -93,13 +93,16 @@ FIELDS = f"""parts AS (
   FROM ship JOIN part p ON ship.part = p.p_partkey GROUP BY ALL),
 wholes AS (SELECT site, crop, sum(part_size) AS whole_size FROM parts GROUP BY ALL),
 fields AS (
-  SELECT site, crop, part, part_size, part_size / NULLIF(whole_size, 0) AS fraction
+  SELECT site, crop, part, part_size, whole_size,
+         part_size / NULLIF(whole_size, 0) AS fraction
   FROM parts JOIN wholes USING (site, crop)
   WHERE p_brand <> '{td.INTERRUPTIBLE_BRAND}')"""
 GRID = """grid AS (
   SELECT i.site, i.crop, i."Year", i.simulation, i.acres, sum(part_size) AS part_acres,
-         sum(acrft * fraction) AS acrft, sum(cfs * fraction) AS cfs,
-         sum(loss * fraction) AS loss, sum(money_loss * fraction) AS money_loss
+         max(acrft) * (sum(part_size) / NULLIF(max(whole_size), 0)) AS acrft,
+         max(cfs) * (sum(part_size) / NULLIF(max(whole_size), 0)) AS cfs,
+         max(loss) * (sum(part_size) / NULLIF(max(whole_size), 0)) AS loss,
+         max(money_loss) * (sum(part_size) / NULLIF(max(whole_size), 0)) AS money_loss
   FROM impact i JOIN fields f ON i.site = f.site AND i.crop = f.crop
   GROUP BY i.site, i.crop, i."Year", i.simulation, i.acres)"""
 SITE_TOTALS = """site_totals AS (
@@ -388,17 +391,16 @@ SELECT site, crop, "Year", simulation, acres AS "Acres", mm_demand AS irrigation
 FROM full_impact""",
 
     "apportion_to_parts": _with(FLAG_IMPACT, FIELDS) + """
-SELECT i.site, i.crop, part, count(*) AS n, round(max(fraction), 8) AS fraction,
+SELECT i.site, i.crop, part, count(*) AS n, max(fraction) AS fraction,
        round(sum(acrft * fraction), 6) AS volume, round(sum(money_loss * fraction), 3) AS loss
 FROM impact i JOIN fields f ON i.site = f.site AND i.crop = f.crop
 GROUP BY i.site, i.crop, part""",
 
     "field_to_grid": _with(FLAG_IMPACT, FIELDS, GRID) + """
 SELECT site, crop, "Year", simulation, acres AS "Acres", part_acres AS "Acres_PF",
-       round(acrft, 6) AS streamflow_aug_acrft, round(cfs, 6) AS streamflow_aug_cfs,
-       round(loss, 6) AS "WM_yield_loss", round(money_loss, 2) AS "Revenue_loss",
-       round(money_loss / NULLIF(acrft, 0), 2) AS cost_acrft,
-       round(money_loss / NULLIF(acres, 0), 2) AS cost_acr
+       acrft AS streamflow_aug_acrft, cfs AS streamflow_aug_cfs, loss AS "WM_yield_loss",
+       money_loss AS "Revenue_loss", money_loss / NULLIF(acrft, 0) AS cost_acrft,
+       money_loss / NULLIF(acres, 0) AS cost_acr
 FROM grid""",
 
     "grid_rollup": _with(FLAG_IMPACT, FIELDS, GRID, SITE_TOTALS, SITES) + """
@@ -595,8 +597,8 @@ FROM daily JOIN win ON "DOY" BETWEEN start_date AND stop_date
 WHERE harvest_date > start_date + 5 GROUP BY ALL""",
 
     "read_scenarios": _with(SHIP, CROPPED, SEASON) + """
-SELECT simulation, crop, "Year", count(*) AS n, round(sum(irrig), 4) AS irrig,
-       round(sum(yield_kgha * 2), 2) AS used_biomass, 273 AS harvest_day
+SELECT simulation, crop, "Year", count(*) AS n, round(sum(irrig), 6) AS irrig,
+       round(sum(yield_kgha * 2), 4) AS used_biomass, 273 AS harvest_day
 FROM season GROUP BY ALL""",
 }
 
