@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import complete_cases, finite, ratio
-from .running import GROUP_ROWS, SLICE_ROWS, running_totals
+from .running import running_totals
 
 
 def supply_curve(points: DataFrame, keys: Sequence[str], *, cost: str, volume: str,
                  tie: Sequence[str], size: str | None = None, out: str = "cum_streamflow",
-                 size_out: str = "cum_size", group_rows: int = GROUP_ROWS,
-                 slice_rows: int = SLICE_ROWS) -> DataFrame:
+                 size_out: str = "cum_size") -> DataFrame:
     """Cumulate ``volume`` in the order of ``cost`` within ``keys``.
 
     Rows with any missing value or an infinite cost are left out.  ``tie`` must
@@ -26,8 +25,7 @@ def supply_curve(points: DataFrame, keys: Sequence[str], *, cost: str, volume: s
     values = {out: volume}
     if size:
         values[size_out] = size
-    return running_totals(points, keys, [cost, *tie], values,
-                          group_rows=group_rows, slice_rows=slice_rows)
+    return running_totals(points, keys, [cost, *tie], values)
 
 
 def curve_lookup(need: DataFrame, curve: DataFrame, keys: Sequence[str], *, amount: str,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.semantics import col, half_even, null_safe_join, ratio
-from .running import GROUP_ROWS, SLICE_ROWS, exact_quantiles, stage, value_counts
+from .running import exact_quantiles, stage, value_counts
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], measure: str, *, total: str = "Total_ac",
@@ -57,8 +57,7 @@ def percent_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     })
 
 
-def medians(df: DataFrame, keys: Sequence[str], measures: Sequence[str], *,
-            group_rows: int = GROUP_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def medians(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Exact median of several measures per group, in one pass over the rows.
 
     The measures are stacked so that all of them are ranked together.  A group
@@ -66,14 +65,12 @@ def medians(df: DataFrame, keys: Sequence[str], measures: Sequence[str], *,
     """
     stacked = (df.select(*keys, *[F.col(m).cast("double").alias(m) for m in measures])
                .unpivot(list(keys), list(measures), "_measure", "_value"))
-    found = exact_quantiles(stacked, [*keys, "_measure"], "_value", {"_median": 0.5},
-                            group_rows=group_rows, slice_rows=slice_rows)
+    found = exact_quantiles(stacked, [*keys, "_measure"], "_value", {"_median": 0.5})
     return found.groupBy(*keys).pivot("_measure", list(measures)).agg(F.first("_median"))
 
 
 def box_summary(df: DataFrame, keys: Sequence[str], value: str, *,
-                limits: tuple[float, float] | None = None, reach: float = 1.5,
-                group_rows: int = GROUP_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+                limits: tuple[float, float] | None = None, reach: float = 1.5) -> DataFrame:
     """Box-plot numbers per group: quartiles, whisker ends, counts.
 
     Axis ``limits`` drop values outside them before anything is computed, as a
@@ -84,8 +81,7 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str, *,
         df = df.where(F.col(value).between(*limits))
     counts = stage(value_counts(df, keys, value), "counts")
     boxes = exact_quantiles(counts, keys, value, {"lower": 0.25, "middle": 0.5, "upper": 0.75},
-                            weight="_n", staged=True, group_rows=group_rows,
-                            slice_rows=slice_rows)
+                            weight="_n", staged=True)
     v, n = F.col(value), F.col("_n")
     span = (F.col("upper") - F.col("lower")) * reach
     inside = v.between(F.col("lower") - span, F.col("upper") + span)

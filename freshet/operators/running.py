@@ -2,7 +2,7 @@
 
 A plain window puts a whole group into one task.  That is right while groups are
 small; with one group holding a third of a 100 TB table it is not.  The operators
-here measure the largest group first and, beyond ``GROUP_ROWS``, cut the ordered
+here measure the largest group first and, beyond a limit, cut the ordered
 rows into range slices, carry the slice totals forward, and finish each slice on
 its own.  The result is the same, whole, ordered running total either way.
 """
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.semantics import col
 from ..session import shared_dir
 
-#: largest group a single task orders on its own
+#: largest group a single task orders on its own, unless the session sets
+#: ``freshet.groupRows``
 GROUP_ROWS = 2_000_000
-#: rows per range slice beyond that
+#: rows per range slice beyond that, unless the session sets ``freshet.sliceRows``
 SLICE_ROWS = 1_000_000
 
 
@@ -38,8 +39,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    values: Mapping[str, Column | str], *, totals: Mapping[str, str] | None = None,
-                   staged: bool = False, group_rows: int = GROUP_ROWS,
-                   slice_rows: int = SLICE_ROWS) -> DataFrame:
+                   staged: bool = False) -> DataFrame:
     """Add running sums within ``keys`` in the order of ``order``.
 
     values   output column -> summed expression (first row up to this row)
@@ -53,6 +53,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     rows = df if staged else stage(df, "points")
     rows = rows.withColumns({inputs[o]: col(v) for o, v in values.items()})
 
+    conf = df.sparkSession.conf
+    group_rows = int(conf.get("freshet.groupRows", str(GROUP_ROWS)))
+    slice_rows = int(conf.get("freshet.sliceRows", str(SLICE_ROWS)))
     total = rows.count()  # from the file footers
     if total <= group_rows or _largest_group(rows, keys) <= group_rows:
         group = Window.partitionBy(*keys)
@@ -96,7 +99,7 @@ def _sliced(rows: DataFrame, keys, order, inputs, totals, slices: int) -> DataFr
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probabilities: Mapping[str, float], *, weight: str | None = None,
-                    staged: bool = False, group_rows: int = GROUP_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+                    staged: bool = False) -> DataFrame:
     """Exact interpolated quantiles per group: output column -> probability.
 
     Equal values are counted before anything is shuffled by group, then the
@@ -109,7 +112,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     else:
         counted = df.select(*keys, value, weight)
     ranked = running_totals(counted, keys, [value], {"_upto": weight}, totals={"_total": "_upto"},
-                            staged=staged, group_rows=group_rows, slice_rows=slice_rows)
+                            staged=staged)
     picks = []
     for i, p in enumerate(probabilities.values()):
         at = (F.col("_total") - 1) * F.lit(float(p))

@@ -208,6 +208,53 @@ def discharge_calendar(spark, sf_dir):
 
 
 # --- comparison -------------------------------------------------------------------
+#: irrigation type (line status) -> net share; crop -> wet factor
+NET_SHARE = {"O": 0.95, "F": 0.85}
+WET_FACTOR = {"MEDIUM": 1.1, "LARGE": 1.2, "STANDARD": 1.15, "SMALL": 1.05, "PROMO": 1.25}
+
+
+def grid_factors(spark, sf_dir):
+    """Season rows by irrigation type: factors joined on, incomplete rows out.
+
+    A (site, crop) with several types repeats its season rows; a crop without a
+    wet factor is incomplete.
+    """
+    rows = shipments(spark, sf_dir).join(crops(spark, sf_dir).drop("p_brand"), "part")
+    # One aggregate serves the season and the grid: it is written once.
+    cells = stage(rows.groupBy("site", "crop", "Year", "l_linestatus").agg(
+        F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n")), "cells")
+    season = cells.groupBy("site", "crop", "Year").agg(
+        F.sum("qty").alias("irrig"), F.sum("n").alias("n"))
+    shares = dims.literal_table(spark, ["Irrigation", "ML_Fraction"], list(NET_SHARE.items()))
+    wet = dims.literal_table(spark, ["crop", "WM_ML_factor"], list(WET_FACTOR.items()))
+    grid = cells.groupBy("site", "crop", F.col("l_linestatus").alias("Irrigation")).agg(
+        F.sum("n").cast("double").alias("Acres"))
+    grid = (grid.join(F.broadcast(shares), "Irrigation", "left")
+            .join(F.broadcast(wet), "crop", "left"))
+    out = season.join(grid, ["site", "crop"], "left").withColumns({
+        "irrig": F.col("irrig") * F.col("ML_Fraction"),
+        "wet_rows": F.col("n") * F.col("WM_ML_factor"),
+        "area_ha_opt": units.hectares("Acres")})
+    return sem.complete_cases(out.where(F.col("irrig") > 0)).select(
+        "site", "crop", "Year", "Irrigation", "irrig", "wet_rows", "Acres", "area_ha_opt")
+
+
+def basin_impact(spark, sf_dir):
+    """Comparison keyed without the planting date: every A/R row of a season, by
+    line status, meets every N row of that season."""
+    rows = shipments(spark, sf_dir).join(crops(spark, sf_dir).drop("p_brand"), "part")
+    season = stage(rows.groupBy(
+        "site", "crop", "Year", F.col("l_returnflag").alias("simulation"),
+        F.col("l_linestatus").alias("planting_date")).agg(
+        F.avg("l_quantity").alias("irrig"), _mean_price().alias("yield_kgha"),
+        F.count(F.lit(1)).cast("double").alias("Acres")), "basin")
+    out = compare(season.where(F.col("simulation").isin(SCENARIOS)), baseline_of(season))
+    return out.groupBy("crop", "Year", "simulation", "planting_date").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("streamflow_aug_acrft"), 6).alias("volume"),
+        F.max("WM_yield_loss").alias("largest_loss"),
+        F.min("Percentage_irrig").alias("least_irrig"))
+
+
 def unify_measure(spark, sf_dir):
     per_part = shipments(spark, sf_dir).groupBy("part").agg(
         F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("price"),
@@ -674,6 +721,22 @@ def site_key_build(spark, sf_dir):
                     k.merge_regions(F.col("s_name"), {"Supplier": "Site"}).alias("renamed"))
 
 
+def station_bridge(spark, sf_dir):
+    """Cells to sites, tied to stations, and the stations kept, without repeats."""
+    s = table(spark, sf_dir, "supplier")
+    cell = F.concat(k.five_decimals(F.col("s_suppkey") / 16), F.lit("_-"),
+                    k.five_decimals(F.col("s_nationkey") / 16))
+    cells = s.select("s_nationkey", k.grid_site_from_cell(cell).alias("site"))
+    outlets = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("station"),
+        "n_regionkey")
+    links = cells.join(outlets, "s_nationkey", "left")
+    coastal = table(spark, sf_dir, "region").where(
+        sem.in_values("r_name", ["ASIA", "EUROPE", "AFRICA"]))
+    kept = sem.is_in_table(links, coastal, {"n_regionkey": "r_regionkey"})
+    return kept.select("station", "site").distinct()
+
+
 def harvest_timing(spark, sf_dir):
     """Windows whose harvest comes after the target day."""
     daily = windows.tag_windows(daily_supply(spark, sf_dir), "DOY").withColumn(
@@ -706,7 +769,8 @@ def read_scenarios(spark, sf_dir):
 #: every registered query, in the order of the inventory
 QUERIES = [
     scenario_window_join, window_labels, ratio_null_on_zero, negated_membership,
-    table_membership, complete_cases, discharge_calendar, unify_measure, impact_vs_baseline,
+    table_membership, complete_cases, discharge_calendar, grid_factors, basin_impact,
+    unify_measure, impact_vs_baseline,
     price_outcome, impact_clamps, per_acre_measures, window_demand, impact_table,
     apportion_to_parts, field_to_grid, grid_rollup, gauge_rollup, supply_curve,
     nested_supply_curves, curve_slice, barter_price, rules_unpivot, rule_text_parse,
@@ -714,7 +778,7 @@ QUERIES = [
     aug_ratio, curve_lookup, mean_cost_matrix, met_year_counts, crop_mix_shares,
     crop_mix_wide, median_by_group, box_summary, impact_boxes, cost_per_acre_boxes,
     percent_summary, percent_bins, years_need_matrix, years_needing, placeholder_union,
-    union_distinct, water_right_merge, site_key_build, harvest_timing, read_scenarios,
+    union_distinct, water_right_merge, site_key_build, station_bridge, harvest_timing, read_scenarios,
 ]
 
 

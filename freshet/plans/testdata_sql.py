@@ -7,6 +7,8 @@ from . import testdata as td
 
 _WINDOWS = ", ".join(f"('{n}', {a}, {b}, '{s}', '{h}')" for n, a, b, s, h in fv.SCENARIO_WINDOWS)
 _UNITS = ", ".join(f"('{c}', CAST({f!r} AS DOUBLE))" for c, f in td.UNITS)
+_SHARES = ", ".join(f"('{c}', CAST({f!r} AS DOUBLE))" for c, f in td.NET_SHARE.items())
+_WET = ", ".join(f"('{c}', CAST({f!r} AS DOUBLE))" for c, f in td.WET_FACTOR.items())
 _GROUPS = ", ".join(f"('{c}', '{g}')" for c, g in td.GROUPS.items())
 
 
@@ -331,6 +333,34 @@ SELECT CAST(year(o_orderdate) AS INTEGER) AS "Year", CAST(month(o_orderdate) AS
        round(sum(o_totalprice), 2) AS "Discharge_cfs"
 FROM orders GROUP BY o_orderdate""",
 
+    "grid_factors": _with(SHIP, CROPPED, f"""shares(kind, share) AS (VALUES {_SHARES}),
+wet(crop, factor) AS (VALUES {_WET}),
+year_rows AS (
+  SELECT site, crop, "Year", sum(l_quantity) AS q, count(*) AS n FROM cropped GROUP BY ALL),
+grid_rows AS (
+  SELECT site, crop, l_linestatus AS kind, CAST(count(*) AS DOUBLE) AS acres
+  FROM cropped GROUP BY ALL)""") + """
+SELECT site, crop, "Year", kind AS "Irrigation", q * share AS irrig, n * factor AS wet_rows,
+       acres AS "Acres", acres * 0.405 AS area_ha_opt
+FROM year_rows JOIN grid_rows USING (site, crop) JOIN shares USING (kind) JOIN wet USING (crop)
+WHERE q * share > 0""",
+
+    "basin_impact": _with(SHIP, CROPPED, f"""season AS (
+  SELECT site, crop, "Year", l_returnflag AS simulation, l_linestatus AS planting_date,
+         avg(l_quantity) AS irrig, {MEAN_PRICE} AS yield_kgha, CAST(count(*) AS DOUBLE) AS acres
+  FROM cropped GROUP BY ALL),
+both_ AS (
+  SELECT s.crop, s."Year", s.simulation, s.planting_date, b.acres, s.irrig, b.irrig AS irrig0,
+         CASE WHEN b.irrig - s.irrig < 1 THEN 0 ELSE b.irrig - s.irrig END AS mm,
+         b.yield_kgha * (b.acres * 0.405) - s.yield_kgha * (b.acres * 0.405) AS lost
+  FROM season s JOIN season b ON s.site = b.site AND s.crop = b.crop AND s."Year" = b."Year"
+  WHERE b.simulation = '{td.BASE}' AND s.simulation IN {_in(td.SCENARIOS)})""") + """
+SELECT crop, "Year", simulation, planting_date, count(*) AS n,
+       round(sum(mm * 0.00328084 * acres), 6) AS volume,
+       max(CASE WHEN lost < 1 THEN 0 ELSE lost END) AS largest_loss,
+       min(irrig / NULLIF(irrig0, 0) * 100) AS least_irrig
+FROM both_ GROUP BY crop, "Year", simulation, planting_date""",
+
     "unify_measure": _with(SHIP, CROPPED) + f"""
 SELECT crop, CASE WHEN crop IN {_in(td.GRAIN)} THEN 'grain' ELSE 'hay' END AS kind,
        count(*) AS n,
@@ -591,6 +621,12 @@ SELECT s_suppkey, printf('%.5f', s_suppkey / 16.0::DOUBLE) || '_'
        replace(s_name, 'Supplier', 'Site') AS renamed
 FROM supplier""",
 
+    "station_bridge": """
+SELECT DISTINCT n_name AS station, printf('%.5f', s_suppkey / 16.0::DOUBLE) || 'N'
+       || printf('%.5f', s_nationkey / 16.0::DOUBLE) || 'W' AS site
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE r_name IN ('ASIA', 'EUROPE', 'AFRICA')""",
+
     "harvest_timing": _with(WIN, SHIP, CROPPED, DAILY) + """
 SELECT simulation, crop, count(*) AS n, sum(irrig1) AS qty, min(harvest_date) AS first_harvest
 FROM daily JOIN win ON "DOY" BETWEEN start_date AND stop_date

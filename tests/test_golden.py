@@ -1,6 +1,7 @@
 """Worked cases and seeded random checks against plain-Python models."""
 
 import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,18 @@ from freshet.operators import apportion, curve, flow, impact, report, running
 from freshet.functions import units
 
 
+@contextmanager
+def slicing(spark, rows):
+    """Force range slices for groups over ``rows`` rows."""
+    spark.conf.set("freshet.groupRows", str(rows))
+    spark.conf.set("freshet.sliceRows", str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset("freshet.groupRows")
+        spark.conf.unset("freshet.sliceRows")
+
+
 def rows_of(df, *columns):
     return [tuple(r) for r in df.select(*columns).collect()]
 
@@ -161,10 +174,10 @@ def test_any_need_keeps_whole_groups(spark):
 POINTS = [(1.0, 5.0, 2.0), (2.0, 10.0, 3.0), (2.0, 1.0, 4.0), (9.0, 4.0, 1.0)]
 
 
-def small_curve(spark, **options):
+def small_curve(spark):
     df = spark.createDataFrame([("a", i, c, v, s) for i, (c, v, s) in enumerate(POINTS)],
                                "g string, i int, c double, v double, s double")
-    return curve.supply_curve(df, ["g"], cost="c", volume="v", tie=["i"], size="s", **options)
+    return curve.supply_curve(df, ["g"], cost="c", volume="v", tie=["i"], size="s")
 
 
 def test_curve_case(spark):
@@ -226,8 +239,8 @@ def test_lookup_matches_model(spark, group_rows):
         needs[g] = float(rng.randint(1, 16))
     df = spark.createDataFrame([(g, i, c, v, s) for g, ps in points.items() for c, i, v, s in ps],
                                "g int, i int, c double, v double, s double")
-    c = curve.supply_curve(df, ["g"], cost="c", volume="v", tie=["i"], size="s",
-                           group_rows=group_rows, slice_rows=group_rows)
+    with slicing(spark, group_rows):
+        c = curve.supply_curve(df, ["g"], cost="c", volume="v", tie=["i"], size="s")
     need = spark.createDataFrame([(g, n) for g, n in needs.items()], "g int, n double")
     out = curve.curve_lookup(need, c, ["g"], amount="n", cost="c")
     got = {r.g: (r.MC_Cost, r.nearest_cum_stream, r.MC_Cost_50, r.nearest_cum_stream_50,
@@ -256,7 +269,8 @@ def test_sliced_totals_equal_plain_totals(spark):
     rows, df = skewed(spark)
     args = (df, ["k"], ["c", "i"], {"run": "v", "pos": F.lit(1)})
     plain = running.running_totals(*args, totals={"all": "run"})
-    sliced = running.running_totals(*args, totals={"all": "run"}, group_rows=50, slice_rows=300)
+    with slicing(spark, 300):
+        sliced = running.running_totals(*args, totals={"all": "run"})
     want, totals = {}, {}
     for k, c, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
         run, pos = totals.get(k, (0, 0))
@@ -286,8 +300,8 @@ def test_quantiles_match_builtin(spark, group_rows):
     clean = df.where("x IS NOT NULL AND NOT isnan(x)")
     want = clean.groupBy("k").agg(F.percentile("x", F.array(F.lit(.25), F.lit(.5), F.lit(.75)))
                                   .alias("q")).collect()
-    got = running.exact_quantiles(df, ["k"], "x", {"a": .25, "b": .5, "c": .75},
-                                  group_rows=group_rows, slice_rows=group_rows)
+    with slicing(spark, group_rows):
+        got = running.exact_quantiles(df, ["k"], "x", {"a": .25, "b": .5, "c": .75})
     got = {r.k: (r.a, r.b, r.c) for r in got.collect()}
     assert got == {r.k: pytest.approx(tuple(r.q)) for r in want}
 
@@ -296,8 +310,8 @@ def test_quantiles_match_builtin(spark, group_rows):
 def test_box_summary(spark, group_rows):
     data = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 30.0, 45.0]
     df = spark.createDataFrame([("a", x) for x in data], "k string, x double")
-    r = report.box_summary(df, ["k"], "x", limits=(0, 40), group_rows=group_rows,
-                           slice_rows=group_rows).first()
+    with slicing(spark, group_rows):
+        r = report.box_summary(df, ["k"], "x", limits=(0, 40)).first()
     assert (r.lower, r.middle, r.upper) == (3.0, 5.0, 7.0)
     assert (r.ymin, r.ymax, r.n, r.outliers) == (1.0, 8.0, 9, 1)
 
