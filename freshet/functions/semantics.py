@@ -45,7 +45,7 @@ def exact_sum(c: Column | str, digits: int) -> Column:
     overflow raises.
     """
     scale = 10.0 ** digits
-    return F.sum(F.round(col(c) * scale).cast("long")) / scale
+    return F.sum(F.rint(col(c) * scale).cast("long")) / scale
 
 
 def pair_max(a: Column, b: Column) -> Column:

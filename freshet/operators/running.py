@@ -20,9 +20,9 @@ from ..session import shared_dir
 
 #: largest group a single task orders on its own, unless the session sets
 #: ``freshet.groupRows``
-GROUP_ROWS = 2_000_000
+GROUP_ROWS = 4_000_000
 #: rows per range slice beyond that, unless the session sets ``freshet.sliceRows``
-SLICE_ROWS = 1_000_000
+SLICE_ROWS = 4_000_000
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -352,8 +352,11 @@ def fields(spark, sf_dir) -> DataFrame:
 
     The parts are written once; sizing the wholes and sharing them both read it.
     """
-    parts = stage(shipments(spark, sf_dir).groupBy("site", "part").agg(
-        F.sum("l_quantity").alias("Acres_PF")).join(crops(spark, sf_dir), "part"), "parts")
+    # Joined on the part first: that partitioning also serves the aggregate.
+    rows = shipments(spark, sf_dir).select("site", "part", "l_quantity")
+    parts = stage(rows.join(crops(spark, sf_dir), "part")
+                  .groupBy("site", "part", "crop", "p_brand")
+                  .agg(F.sum("l_quantity").alias("Acres_PF")), "parts")
     whole = parts.groupBy("site", "crop").agg(F.sum("Acres_PF").alias("whole_size"))
     listed = table(spark, sf_dir, "part").where(F.col("p_brand") == INTERRUPTIBLE_BRAND)
     kept = sem.not_in_table(parts.drop("p_brand"), listed, {"part": "p_partkey"})
@@ -428,8 +431,11 @@ def region_curve(spark, sf_dir) -> DataFrame:
                               volume="streamflow_aug_acrft", tie=["site"])
 
 
-def station_curve(spark, sf_dir) -> DataFrame:
+def station_curve(spark, sf_dir, **kept) -> DataFrame:
+    """Curves of the nested stations; ``kept`` picks whole curves by their keys,
+    which is done before they are built."""
     points = curve_points(spark, sf_dir).join(bridge(spark, sf_dir), "site")
+    points = curve.curve_slice(points, **kept)
     return curve.supply_curve(points, SUPPLY_KEYS, cost="cost_acrft",
                               volume="streamflow_aug_acrft", tie=["site"], size="Acres")
 
@@ -446,8 +452,8 @@ def nested_supply_curves(spark, sf_dir):
 
 
 def curve_slice(spark, sf_dir):
-    out = curve.curve_slice(station_curve(spark, sf_dir), Year=1998,
-                            simulation=fv.EXAMPLE_SCENARIOS, station=["ASIA", "NATION_7"])
+    out = station_curve(spark, sf_dir, Year=1998, simulation=fv.EXAMPLE_SCENARIOS,
+                        station=["ASIA", "NATION_7"])
     return out.select(*SUPPLY_KEYS, "site", "cost_acrft", "cum_streamflow")
 
 
@@ -459,23 +465,30 @@ def barter_price(spark, sf_dir):
 
 
 # --- flow and rules ---------------------------------------------------------------------
+def nation_days(spark, sf_dir) -> DataFrame:
+    """Daily quantity per nation.
+
+    A site ships at most a few items a day, so summing per site and day first
+    would shuffle the fact table for nothing; nation and day collapse map-side.
+    """
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("site"), "l_shipdate", "l_quantity")
+    return (rows.join(sites(spark, sf_dir), "site")
+            .groupBy("region", "basin", "l_shipdate").agg(F.sum("l_quantity").alias("q")))
+
+
 def region_days(spark, sf_dir) -> DataFrame:
     """Daily quantity per (region station, Year, Month, DOY)."""
-    li = table(spark, sf_dir, "lineitem")
-    per_site = li.groupBy(F.col("l_suppkey").alias("site"), "l_shipdate").agg(
-        F.sum("l_quantity").alias("q"))
-    daily = (per_site.join(sites(spark, sf_dir), "site")
-             .groupBy("basin", "l_shipdate").agg(F.sum("q").alias("Discharge_cfs")))
+    daily = nation_days(spark, sf_dir).groupBy("basin", "l_shipdate").agg(
+        F.sum("q").alias("Discharge_cfs"))
     return k.calendar_columns(daily, "l_shipdate").withColumnRenamed("basin", "station")
 
 
 def station_days(spark, sf_dir) -> DataFrame:
-    """Daily quantity of every station, from one scan, summed per site first."""
-    li = table(spark, sf_dir, "lineitem")
-    per_site = li.groupBy(F.col("l_suppkey").alias("site"), "l_shipdate").agg(
-        F.sum("l_quantity").alias("q"))
-    daily = (per_site.join(bridge(spark, sf_dir), "site")
-             .groupBy("station", "l_shipdate").agg(F.sum("q").alias("Discharge_cfs")))
+    """Daily quantity of every nested station, from one scan."""
+    nested = nation_days(spark, sf_dir).select(
+        F.explode(F.array("region", "basin")).alias("station"), "l_shipdate", "q")
+    daily = nested.groupBy("station", "l_shipdate").agg(F.sum("q").alias("Discharge_cfs"))
     return k.calendar_columns(daily, "l_shipdate").drop("l_shipdate")
 
 

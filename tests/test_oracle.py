@@ -35,8 +35,7 @@ def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
-def test_matches_sql(spark, duck, name):
+def check(spark, duck, name):
     got = QUERIES[name](spark, SF_DIR).toPandas()
     want = duck.execute(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -45,3 +44,22 @@ def test_matches_sql(spark, duck, name):
     differing = (a != b).any(axis=1)
     assert not differing.any(), (
         f"{differing.sum()} of {len(a)} rows differ\n{a[differing].head(5)}\n{b[differing].head(5)}")
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_matches_sql(spark, duck, name):
+    check(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", ["supply_curve", "nested_supply_curves", "curve_lookup",
+                                  "barter_price", "box_summary", "median_by_group",
+                                  "impact_boxes"])
+def test_matches_sql_with_hot_groups_sliced(spark, duck, name):
+    """The same results when every group of over 40 rows is cut into slices."""
+    spark.conf.set("freshet.groupRows", "40")
+    spark.conf.set("freshet.sliceRows", "500")
+    try:
+        check(spark, duck, name)
+    finally:
+        spark.conf.unset("freshet.groupRows")
+        spark.conf.unset("freshet.sliceRows")
