@@ -89,17 +89,26 @@ def crop_units(spark) -> DataFrame:
 
 
 def crop_prices(spark, sf_dir) -> DataFrame:
-    return (table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("crop"))
-            .agg((sem.exact_sum("p_retailprice", 2) / F.count(F.lit(1))).alias("mean_Price")))
+    """Mean price per crop, written out so that Spark knows it is small.
+
+    The planner would otherwise size it like the part table below it and join it
+    by shuffling all rows on a handful of crops.
+    """
+    return stage(table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("crop")).agg(
+        (sem.exact_sum("p_retailprice", 2) / F.count(F.lit(1))).alias("mean_Price")), "prices")
+
+
+def cropped(spark, sf_dir) -> DataFrame:
+    """Shipments with their crop."""
+    return shipments(spark, sf_dir).join(crops(spark, sf_dir).drop("p_brand"), "part")
 
 
 def _mean_price():
     return sem.exact_sum("l_extendedprice", 2) / F.count(F.lit(1))
 
 
-def seasonal(spark, sf_dir) -> DataFrame:
+def seasonal(rows: DataFrame) -> DataFrame:
     """irrig, yield_kgha, Acres by site, crop, Year and return flag."""
-    rows = shipments(spark, sf_dir).join(crops(spark, sf_dir).drop("p_brand"), "part")
     return rows.groupBy("site", "crop", "Year", F.col("l_returnflag").alias("simulation")).agg(
         F.avg("l_quantity").alias("irrig"), _mean_price().alias("yield_kgha"),
         F.count(F.lit(1)).cast("double").alias("Acres"))
@@ -148,7 +157,7 @@ def flag_impact(spark, sf_dir) -> DataFrame:
     The season is written once: both sides of the comparison read it, so the
     fact table is scanned and joined to its parts a single time.
     """
-    season = stage(seasonal(spark, sf_dir), "season")
+    season = stage(seasonal(cropped(spark, sf_dir)), "season")
     compared = compare(season.where(F.col("simulation").isin(SCENARIOS)), baseline_of(season))
     return impact.unit_costs(impact.clamp_impact(valued(spark, sf_dir, compared)))
 
@@ -219,7 +228,7 @@ def grid_factors(spark, sf_dir):
     A (site, crop) with several types repeats its season rows; a crop without a
     wet factor is incomplete.
     """
-    rows = shipments(spark, sf_dir).join(crops(spark, sf_dir).drop("p_brand"), "part")
+    rows = cropped(spark, sf_dir)
     # One aggregate serves the season and the grid: it is written once.
     cells = stage(rows.groupBy("site", "crop", "Year", "l_linestatus").agg(
         F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n")), "cells")
@@ -242,8 +251,7 @@ def grid_factors(spark, sf_dir):
 def basin_impact(spark, sf_dir):
     """Comparison keyed without the planting date: every A/R row of a season, by
     line status, meets every N row of that season."""
-    rows = shipments(spark, sf_dir).join(crops(spark, sf_dir).drop("p_brand"), "part")
-    season = stage(rows.groupBy(
+    season = stage(cropped(spark, sf_dir).groupBy(
         "site", "crop", "Year", F.col("l_returnflag").alias("simulation"),
         F.col("l_linestatus").alias("planting_date")).agg(
         F.avg("l_quantity").alias("irrig"), _mean_price().alias("yield_kgha"),
@@ -267,7 +275,7 @@ def unify_measure(spark, sf_dir):
 
 
 def impact_vs_baseline(spark, sf_dir):
-    season = stage(seasonal(spark, sf_dir), "season")
+    season = stage(seasonal(cropped(spark, sf_dir)), "season")
     out = compare(season.where(F.col("simulation").isin(SCENARIOS)), baseline_of(season))
     out = out.join(sites(spark, sf_dir).drop("basin"), "site")
     return out.select(
@@ -277,7 +285,7 @@ def impact_vs_baseline(spark, sf_dir):
 
 
 def price_outcome(spark, sf_dir):
-    out = impact.price_outcome(seasonal(spark, sf_dir).withColumn(
+    out = impact.price_outcome(seasonal(cropped(spark, sf_dir)).withColumn(
         "kg", F.col("yield_kgha") * units.hectares("Acres")), crop_prices(spark, sf_dir), "kg",
         units=crop_units(spark))
     return out.select("site", "crop", "Year", "simulation", "sold_unit", "economic_return")
@@ -302,13 +310,12 @@ def per_acre_measures(spark, sf_dir):
         sem.ratio("sold_unit_shut", "Acres").alias("Production_acre"))
 
 
-def daily_supply(spark, sf_dir) -> DataFrame:
+def daily_supply(rows: DataFrame) -> DataFrame:
     """Daily quantity per site and crop with the group's mean day as harvest day.
 
     Days are summed first, so the harvest window runs over at most the days of a
     year, and its partitioning serves the window aggregate that follows.
     """
-    rows = shipments(spark, sf_dir).join(crops(spark, sf_dir).drop("p_brand"), "part")
     daily = rows.groupBy("Year", "site", "crop", "DOY").agg(
         F.sum("l_quantity").alias("irrig1"), F.count(F.lit(1)).alias("n"))
     season = Window.partitionBy("Year", "site", "crop")
@@ -316,24 +323,30 @@ def daily_supply(spark, sf_dir) -> DataFrame:
     return daily.withColumn("harvest_date", F.floor(mean_day).cast("int"))
 
 
-def window_demand(spark, sf_dir):
-    return windows.window_demand(daily_supply(spark, sf_dir), ["Year", "site", "crop"],
+def demand_of(rows: DataFrame) -> DataFrame:
+    return windows.window_demand(daily_supply(rows), ["Year", "site", "crop"],
                                  day="DOY", measure="irrig1", harvest="harvest_date")
 
 
+def window_demand(spark, sf_dir):
+    return demand_of(cropped(spark, sf_dir))
+
+
 def impact_table(spark, sf_dir):
     """Impact per window, its volume taken from the daily window demand.
 
     Scenario rows are the A and R shipments of a window; the baseline is the N
-    season; a window without demand counts as zero volume.
+    season; a window without demand counts as zero volume.  Baseline, scenarios and
+    demand come from one written table, so the facts meet their parts once.
     """
-    rows = shipments(spark, sf_dir).join(crops(spark, sf_dir).drop("p_brand"), "part")
-    base = baseline_of(seasonal(spark, sf_dir))
+    rows = stage(cropped(spark, sf_dir).select(
+        "site", "crop", "Year", "DOY", "l_returnflag", "l_quantity", "l_extendedprice"), "cropped")
+    base = baseline_of(seasonal(rows))
     scenario = windows.tag_windows(rows.where(F.col("l_returnflag").isin(SCENARIOS)), "DOY")
     scenario = scenario.groupBy("site", "crop", "Year", "simulation").agg(
         F.avg("l_quantity").alias("irrig"), _mean_price().alias("yield_kgha"))
     out = impact.clamp_impact(valued(spark, sf_dir, compare(scenario, base)))
-    out = out.join(window_demand(spark, sf_dir), ["Year", "site", "crop", "simulation"], "left")
+    out = out.join(demand_of(rows), ["Year", "site", "crop", "simulation"], "left")
     out = out.withColumn("irrigation_demand_mm",
                          F.coalesce("irrigation_demand_mm", F.lit(0.0)))
     out = impact.unit_costs(out.withColumns({
@@ -612,7 +625,7 @@ def met_year_counts(spark, sf_dir):
 # --- reports ----------------------------------------------------------------------------
 def crop_acres(spark, sf_dir) -> DataFrame:
     """Mean area per site over the years, summed per station and display group."""
-    season = seasonal(spark, sf_dir).where(F.col("simulation") == SCENARIOS[0])
+    season = seasonal(cropped(spark, sf_dir)).where(F.col("simulation") == SCENARIOS[0])
     group = F.create_map(*[F.lit(x) for pair in GROUPS.items() for x in pair])
     per_site = (season.groupBy("site", "crop").agg(F.avg("Acres").alias("Acres"))
                 .withColumn("group1", group[F.col("crop")])
@@ -752,7 +765,7 @@ def station_bridge(spark, sf_dir):
 
 def harvest_timing(spark, sf_dir):
     """Windows whose harvest comes after the target day."""
-    daily = windows.tag_windows(daily_supply(spark, sf_dir), "DOY").withColumn(
+    daily = windows.tag_windows(daily_supply(cropped(spark, sf_dir)), "DOY").withColumn(
         "target_harvest_date", F.col("start_date") + fv.HARVEST_GRACE_DAYS)
     late = daily.where(F.col("harvest_date") > F.col("target_harvest_date"))
     return late.groupBy("simulation", "crop").agg(
@@ -763,7 +776,7 @@ def harvest_timing(spark, sf_dir):
 def read_scenarios(spark, sf_dir):
     """Seasonal rows written as one result file folder per flag, then read back."""
     root = f"{shared_dir(spark)}/scenario-files-{uuid.uuid4().hex}"
-    season = stage(seasonal(spark, sf_dir), "season")
+    season = stage(seasonal(cropped(spark, sf_dir)), "season")
     for flag in (BASE, *SCENARIOS):
         (season.where(F.col("simulation") == flag).select(
             F.concat(F.col("Year").cast("string"), F.lit("-09-30(273)")).alias("YYYY-MM-DD(DOY)"),
