@@ -119,8 +119,9 @@ def not_in_table(df: DataFrame, other: DataFrame, on: dict[str, str]) -> DataFra
 
 
 def _membership(df: DataFrame, other: DataFrame, on: dict[str, str], how: str) -> DataFrame:
+    # Distinct keys: repeats combine before the shuffle, which the join reuses.
     keys = {right: f"_member_{i}" for i, right in enumerate(on.values())}
-    small = other.select(*[F.col(r).alias(a) for r, a in keys.items()])
+    small = other.select(*[F.col(r).alias(a) for r, a in keys.items()]).distinct()
     condition = [F.col(left) == F.col(keys[right]) for left, right in on.items()]
     return df.join(small, condition, how)
 

@@ -45,6 +45,7 @@ def test_negated_membership_keeps_null(spark):
     listed = spark.createDataFrame([("a",), (None,)], "y string")
     assert set(values(sem.not_in_table(df, listed, {"x": "y"}), "x")) == {"b", None}
     assert values(sem.is_in_table(df, listed, {"x": "y"}), "x") == ["a"]
+    assert values(sem.is_in_table(df, listed.union(listed), {"x": "y"}), "x") == ["a"]
 
 
 def test_null_keys_join(spark):
