@@ -52,6 +52,7 @@ LAYOUT = {
 }
 
 GRID_KEYS = ["crop", "site", "region", "Irrigation"]
+COMPARED_KEYS = ["Year", *GRID_KEYS, "planting_date"]
 CELL_KEYS = ["crop", "region", "site", "lat", "long", "Grid_Number"]
 FLOW_KEYS = ["SITENAME", "Year", "simulation"]
 
@@ -165,14 +166,17 @@ class Study:
             ["Grid_Number", "Acres", "CropArea", "lat", "long", "WR_DOC_ID"], distinct=True),
             "baseline_returns")
 
-    @cached_property
+    @property
     def scenario_rows(self) -> DataFrame:
-        """Scenario and baseline rows of known (crop, site, region, Year)."""
+        """Scenario and baseline rows without repeats.
+
+        Partitioned by the comparison keys first: the distinct and the comparison
+        then share that one shuffle.  Rows of an unknown (crop, site, region, Year)
+        need no filter of their own, the comparison drops them.
+        """
         rows = with_grid_factors(impact.unify_yield(self.inputs.scenarios), self.inputs.grids,
                                  positive=True, complete=False)
-        known = ["crop", "site", "region", "Year"]
-        return (rows.unionByName(self.baseline)
-                .join(self.baseline_returns.select(*known), known, "left_semi").distinct())
+        return rows.unionByName(self.baseline).repartition(*COMPARED_KEYS).distinct()
 
     @cached_property
     def impact(self) -> DataFrame:
@@ -182,8 +186,7 @@ class Study:
         from the window demand.
         """
         rows = compared(self.scenario_rows, self.baseline_returns, self.inputs.prices,
-                        ["Year", *GRID_KEYS, "planting_date"],
-                        ["Grid_Number", "Acres", "lat", "long"])
+                        COMPARED_KEYS, ["Grid_Number", "Acres", "lat", "long"])
         rows = impact.clamp_impact(rows).join(
             self.inputs.window_demand, ["Year", "site", "crop", "region", "simulation"], "left")
         rows = rows.withColumns({
@@ -518,10 +521,7 @@ class Basin:
     def impact(self) -> DataFrame:
         rows = with_grid_factors(impact.unify_yield(self.inputs.scenarios), self.inputs.grids,
                                  positive=False, complete=True)
-        known = ["crop", "site", "region"]
-        rows = rows.unionByName(self.baseline).join(
-            self.baseline_returns.select(*known), known, "left_semi")
-        rows = compared(rows, self.baseline_returns, self.inputs.prices,
+        rows = compared(rows.unionByName(self.baseline), self.baseline_returns, self.inputs.prices,
                         ["Year", "region", "crop", "site"],
                         ["Grid_Number", "Acres", "HUC10_NAME", "lat", "long"])
         rows = impact.unit_costs(impact.clamp_impact(rows), per_volume="cost_acrft",

@@ -336,3 +336,17 @@ def test_write_results(spark, root, study, tmp_path):
     table = spark.read.csv(f"{tmp_path}/count_years", header=True)
     assert table.columns[0] == "station_code" and table.count() == 3
     assert spark.read.parquet(f"{tmp_path}/supply_curves").count() == study.supply_curves.count()
+
+
+def test_distinct_and_comparison_share_a_shuffle(spark, study):
+    """The scenario side is shuffled once for its distinct and its comparison."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = study.baseline_returns.select(*plans.COMPARED_KEYS, "Acres")
+        joined = study.scenario_rows.join(base, plans.COMPARED_KEYS, "left")
+        text = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    top = text[:text.index("Union")]
+    assert top.count("Exchange") == 1 and "REPARTITION_BY_COL" in top
