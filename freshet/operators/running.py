@@ -19,9 +19,9 @@ from ..functions.semantics import col
 from ..session import shared_dir
 
 #: largest group a single task orders on its own, unless the session sets
-#: ``freshet.groupRows``
+#: ``spark.freshet.groupRows``
 GROUP_ROWS = 4_000_000
-#: rows per range slice beyond that, unless the session sets ``freshet.sliceRows``
+#: rows per range slice beyond that, unless the session sets ``spark.freshet.sliceRows``
 SLICE_ROWS = 4_000_000
 
 
@@ -54,8 +54,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     rows = rows.withColumns({inputs[o]: col(v) for o, v in values.items()})
 
     conf = df.sparkSession.conf
-    group_rows = int(conf.get("freshet.groupRows", str(GROUP_ROWS)))
-    slice_rows = int(conf.get("freshet.sliceRows", str(SLICE_ROWS)))
+    group_rows = int(conf.get("spark.freshet.groupRows", str(GROUP_ROWS)))
+    slice_rows = int(conf.get("spark.freshet.sliceRows", str(SLICE_ROWS)))
     total = rows.count()  # from the file footers
     if total <= group_rows or _largest_group(rows, keys) <= group_rows:
         group = Window.partitionBy(*keys)

@@ -258,7 +258,7 @@ def basin_impact(spark, sf_dir):
         F.count(F.lit(1)).cast("double").alias("Acres")), "basin")
     out = compare(season.where(F.col("simulation").isin(SCENARIOS)), baseline_of(season))
     return out.groupBy("crop", "Year", "simulation", "planting_date").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("streamflow_aug_acrft"), 6).alias("volume"),
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("streamflow_aug_acrft"), 9).alias("volume"),
         F.max("WM_yield_loss").alias("largest_loss"),
         F.min("Percentage_irrig").alias("least_irrig"))
 

@@ -356,7 +356,7 @@ both_ AS (
   FROM season s JOIN season b ON s.site = b.site AND s.crop = b.crop AND s."Year" = b."Year"
   WHERE b.simulation = '{td.BASE}' AND s.simulation IN {_in(td.SCENARIOS)})""") + """
 SELECT crop, "Year", simulation, planting_date, count(*) AS n,
-       round(sum(mm * 0.00328084 * acres), 6) AS volume,
+       round(sum(mm * 0.00328084 * acres), 9) AS volume,
        max(CASE WHEN lost < 1 THEN 0 ELSE lost END) AS largest_loss,
        min(irrig / NULLIF(irrig0, 0) * 100) AS least_irrig
 FROM both_ GROUP BY crop, "Year", simulation, planting_date""",

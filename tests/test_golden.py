@@ -13,13 +13,13 @@ from freshet.functions import units
 @contextmanager
 def slicing(spark, rows):
     """Force range slices for groups over ``rows`` rows."""
-    spark.conf.set("freshet.groupRows", str(rows))
-    spark.conf.set("freshet.sliceRows", str(rows))
+    spark.conf.set("spark.freshet.groupRows", str(rows))
+    spark.conf.set("spark.freshet.sliceRows", str(rows))
     try:
         yield
     finally:
-        spark.conf.unset("freshet.groupRows")
-        spark.conf.unset("freshet.sliceRows")
+        spark.conf.unset("spark.freshet.groupRows")
+        spark.conf.unset("spark.freshet.sliceRows")
 
 
 def rows_of(df, *columns):

@@ -56,10 +56,10 @@ def test_matches_sql(spark, duck, name):
                                   "impact_boxes"])
 def test_matches_sql_with_hot_groups_sliced(spark, duck, name):
     """The same results when every group of over 40 rows is cut into slices."""
-    spark.conf.set("freshet.groupRows", "40")
-    spark.conf.set("freshet.sliceRows", "500")
+    spark.conf.set("spark.freshet.groupRows", "40")
+    spark.conf.set("spark.freshet.sliceRows", "500")
     try:
         check(spark, duck, name)
     finally:
-        spark.conf.unset("freshet.groupRows")
-        spark.conf.unset("freshet.sliceRows")
+        spark.conf.unset("spark.freshet.groupRows")
+        spark.conf.unset("spark.freshet.sliceRows")
