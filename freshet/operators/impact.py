@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -76,8 +76,31 @@ def impact_vs_baseline(scenario: DataFrame, baseline: DataFrame, keys: Sequence[
     ``base_total`` are the area totals the loss is taken on.  Percentages are
     NULL for a zero baseline.
     """
-    joined = scenario.join(baseline, list(keys), "left")
-    return joined.withColumns({
+    return compare_columns(
+        scenario.join(baseline, list(keys), "left"), supply=supply, base_supply=base_supply,
+        output=output, base_output=base_output, total=total, base_total=base_total, floor=floor,
+        saved_out=saved_out, loss_out=loss_out)
+
+
+def beside_baseline(rows: DataFrame, keys: Sequence[str], is_baseline: Column,
+                    columns: Mapping[str, Column | str]) -> DataFrame:
+    """Put the baseline's values on every row of its key, for one table of both.
+
+    Equal to joining the baseline rows on ``keys`` as long as there is one per
+    key, but with a single shuffle and the table computed once.  A group holds
+    one row per scenario.
+    """
+    group = Window.partitionBy(*keys)
+    return rows.withColumns({out: F.max(F.when(is_baseline, col(c))).over(group)
+                             for out, c in columns.items()})
+
+
+def compare_columns(df: DataFrame, *, supply: str, base_supply: str, output: str,
+                    base_output: str, total: Column | str, base_total: Column | str,
+                    floor: float = 1.0, saved_out: str = "streamflow_aug_mm",
+                    loss_out: str = "WM_yield_loss") -> DataFrame:
+    """The comparison of :func:`impact_vs_baseline` on rows that carry both sides."""
+    return df.withColumns({
         saved_out: floor_to_zero(F.col(base_supply) - F.col(supply), floor),
         loss_out: floor_to_zero(col(base_total) - col(total), floor),
         "Percentage_irrig": percent(supply, base_supply),

@@ -125,13 +125,33 @@ def baseline_of(season: DataFrame) -> DataFrame:
                            F.col("WM_yield_optimal_kgha") * units.hectares("Acres"))
 
 
+SIDES = {"supply": "irrig", "base_supply": "irrig_optimal_mm", "output": "yield_kgha",
+         "base_output": "WM_yield_optimal_kgha", "base_total": "total_WM_yield_optimal_kg"}
+
+
+def own_total():
+    return F.col("yield_kgha") * units.hectares("Acres")
+
+
 def compare(scenario: DataFrame, baseline: DataFrame) -> DataFrame:
     """The comparison, on scenario rows that have a baseline."""
-    out = impact.impact_vs_baseline(
-        scenario.drop("Acres"), baseline, IMPACT_KEYS, supply="irrig",
-        base_supply="irrig_optimal_mm", output="yield_kgha", base_output="WM_yield_optimal_kgha",
-        total=F.col("yield_kgha") * units.hectares("Acres"),
-        base_total="total_WM_yield_optimal_kg")
+    return volumes(impact.impact_vs_baseline(scenario.drop("Acres"), baseline, IMPACT_KEYS,
+                                             total=own_total(), **SIDES))
+
+
+def compare_within(season: DataFrame) -> DataFrame:
+    """The same where scenarios and baseline are one table with one row per flag."""
+    beside = impact.beside_baseline(
+        season, IMPACT_KEYS, F.col("simulation") == BASE,
+        {"irrig_optimal_mm": "irrig", "WM_yield_optimal_kgha": "yield_kgha", "_acres": "Acres"})
+    beside = beside.where(F.col("simulation").isin(SCENARIOS)).withColumn(
+        "Acres", F.col("_acres")).drop("_acres").withColumn(
+        "total_WM_yield_optimal_kg",
+        F.col("WM_yield_optimal_kgha") * units.hectares("Acres"))
+    return volumes(impact.compare_columns(beside, total=own_total(), **SIDES))
+
+
+def volumes(out: DataFrame) -> DataFrame:
     return out.where(F.col("Acres").isNotNull()).withColumns({
         "total_WM_yield_kg": F.col("yield_kgha") * units.hectares("Acres"),
         "streamflow_aug_acrft": units.mm_to_acre_feet("streamflow_aug_mm", "Acres"),
@@ -152,13 +172,8 @@ def valued(spark, sf_dir, compared: DataFrame) -> DataFrame:
 
 
 def flag_impact(spark, sf_dir) -> DataFrame:
-    """Clamped, valued impact of flags A and R against N.
-
-    The season is written once: both sides of the comparison read it, so the
-    fact table is scanned and joined to its parts a single time.
-    """
-    season = stage(seasonal(cropped(spark, sf_dir)), "season")
-    compared = compare(season.where(F.col("simulation").isin(SCENARIOS)), baseline_of(season))
+    """Clamped, valued impact of flags A and R against N, from one scan."""
+    compared = compare_within(seasonal(cropped(spark, sf_dir)))
     return impact.unit_costs(impact.clamp_impact(valued(spark, sf_dir, compared)))
 
 

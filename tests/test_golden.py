@@ -60,6 +60,18 @@ def test_impact_case(spark):
     assert r.Revenue_loss == pytest.approx(797.2441, abs=1e-4)
 
 
+def test_baseline_beside_equals_join(spark):
+    rng = random.Random(2)
+    rows = [(k, s, float(rng.randint(1, 9))) for k in range(30) for s in ("N", "A", "R")
+            if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "k int, s string, x double")
+    base = df.where("s = 'N'").select("k", F.col("x").alias("x0"))
+    want = sorted(map(tuple, df.join(base, ["k"], "left").select("k", "s", "x", "x0").collect()),
+                  key=str)
+    got = impact.beside_baseline(df, ["k"], F.col("s") == "N", {"x0": "x"})
+    assert sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_small_differences_vanish(spark):
     r = impact.clamp_impact(
         compared(spark, (99.1, 10100.0), (100.0, 10000.0, 10.0))).first()
