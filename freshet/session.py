@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Container
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+PARTITIONS_PER_CORE = 4
+
 _fallback_dirs: dict[str, str] = {}
 
 
@@ -26,17 +30,26 @@ def build_session(app: str = "freshet", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**RUNTIME_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate(), keep=conf)
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session somebody else created."""
+def tune(spark: SparkSession, keep: Container[str] = ()) -> SparkSession:
+    """Apply the run-time settings, apart from ``keep``, to an existing session."""
     for key, value in RUNTIME_SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if key not in keep and spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if not is_local(spark) and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        # The default of 200 is far too few at scale; AQE merges what is too many.
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set(INITIAL_PARTITIONS, str(max(
+            PARTITIONS_PER_CORE * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables, one sub-folder per application.
 
@@ -46,7 +59,9 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = _fallback_dirs.setdefault(app, tempfile.mkdtemp(prefix="freshet-"))
+        if app not in _fallback_dirs:
+            _fallback_dirs[app] = tempfile.mkdtemp(prefix="freshet-")
+        named = _fallback_dirs[app]
     return f"{named.rstrip('/')}/freshet-{app}"
