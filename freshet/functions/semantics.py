@@ -68,6 +68,14 @@ def number(text: Column | str) -> Column:
     return col(text).try_cast("double")
 
 
+def first_match(arms: Iterable[tuple[Column, Column]]) -> Column:
+    """Value of the first arm whose condition holds, NULL if none does."""
+    out = None
+    for condition, value in arms:
+        out = F.when(condition, value) if out is None else out.when(condition, value)
+    return out
+
+
 def in_values(c: Column | str, values: Sequence) -> Column:
     """Set membership that is never NULL: NULL is not a member."""
     return F.coalesce(col(c).isin(list(values)), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import fixed_values as fv
-from ..functions.semantics import col, floor_to_zero, in_values, percent, ratio
+from ..functions.semantics import col, first_match, floor_to_zero, in_values, percent, ratio
 from ..functions.units import clamp_above
 
 
@@ -20,11 +20,9 @@ def unify_measure(df: DataFrame, category: str,
 
     ``groups`` maps a group name to (categories, source).  Rows in no group drop.
     """
-    value = label = None
-    for name, (members, source) in groups.items():
-        inside = in_values(category, members)
-        value = (F if value is None else value).when(inside, col(source))
-        label = (F if label is None else label).when(inside, F.lit(name))
+    inside = {name: in_values(category, members) for name, (members, _) in groups.items()}
+    label = first_match((inside[name], F.lit(name)) for name in groups)
+    value = first_match((inside[name], col(source)) for name, (_, source) in groups.items())
     df = df.withColumn("_group", label).where(F.col("_group").isNotNull()).withColumn(out, value)
     return df.withColumnRenamed("_group", group_out) if group_out else df.drop("_group")
 

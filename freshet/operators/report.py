@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.semantics import col, half_even, null_safe_join, ratio
+from ..functions.semantics import col, first_match, half_even, null_safe_join, ratio
 from .running import exact_quantiles, stage, value_counts
 
 
@@ -30,14 +30,15 @@ def bin_percent(value: Column | str, *, closed: bool = True) -> Column:
     outside every bin.  NULL stays NULL.
     """
     v = col(value)
-    bins = fv.CLOSED_PERCENT_BINS if closed else fv.OPEN_PERCENT_BINS
-    label = None
-    for i, (low, high, text) in enumerate(bins):
+    arms = []
+    for i, (low, high, text) in enumerate(fv.CLOSED_PERCENT_BINS if closed
+                                          else fv.OPEN_PERCENT_BINS):
         above = v >= low if closed and i == 0 else v > low
         below = v < high if high == 100 else v <= high
-        label = (F if label is None else label).when(above & below, F.lit(text))
-    label = label.when(v == 100, F.lit(fv.FULL_PERCENT_LABEL))
-    return label.when(v.isNotNull(), F.lit(fv.NO_PERCENT_LABEL))
+        arms.append((above & below, F.lit(text)))
+    arms.append((v == 100, F.lit(fv.FULL_PERCENT_LABEL)))
+    arms.append((v.isNotNull(), F.lit(fv.NO_PERCENT_LABEL)))
+    return first_match(arms)
 
 
 def percent_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
