@@ -80,9 +80,15 @@ def read_table(spark: SparkSession, path: str, columns: Mapping[str, tuple[str,
 
 
 def folder_name(file: str) -> Column:
-    """Name of the folder that holds ``file``, from the path of the row's file."""
-    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    return F.regexp_extract(path, "([^/]+)/" + re.escape(file), 1)
+    """Name of the folder that holds ``file``, from the path of the row's file.
+
+    Evaluated for every row, so plain cuts instead of a pattern; only a name with
+    escaped characters is decoded.
+    """
+    name = F.substring_index(
+        F.substring_index(F.col("_metadata.file_path"), f"/{file}", 1), "/", -1)
+    escaped = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.when(name.contains("%"), escaped).otherwise(name)
 
 
 # --- simulation output ------------------------------------------------------------
