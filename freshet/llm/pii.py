@@ -173,8 +173,9 @@ def query(spark, sf_dir: str) -> DataFrame:
             ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
     base = F.filter("spans", lambda s: s["kind"].isin(BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-              for k in BASE_KINDS]
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"),
+        "doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"))
