@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import packing, pii, sharding, token_counts, token_store
 
 QUERIES = {
+    "op2_sharding": sharding.query,
+    "op6_token_store": token_store.query,
+    "op7_token_counts": token_counts.query,
+    "op8_packing": packing.query,
     "op9_pii": pii.query,
 }
 SQL: dict[str, str] = {}
