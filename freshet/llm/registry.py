@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, pii, sharding, token_counts, token_store
+from . import packing, pii, sharding, token_counts, token_store, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_sharding": sharding.query,
     "op6_token_store": token_store.query,
     "op7_token_counts": token_counts.query,
