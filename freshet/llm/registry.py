@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, pii, sharding, token_counts, token_store, toxicity
+from . import jaccard, packing, pii, sharding, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_sharding": sharding.query,
+    "op4_jaccard": jaccard.query,
     "op6_token_store": token_store.query,
     "op7_token_counts": token_counts.query,
     "op8_packing": packing.query,

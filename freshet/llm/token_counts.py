@@ -80,7 +80,7 @@ def attribute(docs: DataFrame, tokenizer: str, *, sections: str | None = None, r
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"),
-                       *[F.col(sections).alias("sections")] * bool(sections))
+                       *([F.col(sections).alias("sections")] if sections else []))
     table: dict[str, np.ndarray] = {}
 
     def fn(ids, texts, given=None):
