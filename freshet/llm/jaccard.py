@@ -246,10 +246,11 @@ def _blocks(members: DataFrame, limit: float) -> DataFrame:
 
 
 def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: str = "doc_id",
-            text: str = "text") -> DataFrame:
+            text: str = "text", keys=None) -> DataFrame:
     """(doc_id, n_shingles, class_id, n_links, component_id) of every row of ``docs``.
 
     class_id   least id with the same set; n_links: rows that link with this one, copies included
+    keys       (set, text) -> 64-bit keys on which sets that link meet; None takes the prefixes
     """
     small_batches(docs.sparkSession)
     limit = Fraction(str(threshold))
@@ -261,20 +262,23 @@ def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: s
         .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
     # a number of its own, as an id may stand on several texts; written, so it stays the same
     classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(profile))
+    rarity = None if keys else docs.sparkSession.sparkContext.broadcast(_rarity(profile))
 
     def firsts(ids, texts):
         import xxhash
 
-        keys, digests = [], []
+        met, digests = [], []
         for t in texts:
             own = shingles(words(t), width)
             digests.append(xxhash.xxh3_128_digest(own.tobytes()))
             n = len(own)
-            own = _rarest_first(own, rarity.value)[:n - -(-n * num // (both - num)) + 1] if n else own
-            keys.append(own.view(np.int64))
-        flat = pa.array(np.concatenate(keys) if keys else [], pa.int64())
-        at = pa.array(np.cumsum([0] + [len(k) for k in keys]), pa.int32())
+            if n and keys:
+                own = keys(own, t)
+            elif n:
+                own = _rarest_first(own, rarity.value)[:n - -(-n * num // (both - num)) + 1]
+            met.append(own.view(np.int64))
+        flat = pa.array(np.concatenate(met), pa.int64())
+        at = pa.array(np.cumsum([0] + [len(k) for k in met]), pa.int32())
         return [ids, digests, pa.ListArray.from_arrays(at, flat)]
 
     prefixes = map_texts(rows, firsts, "doc_id long, digest binary, keys array<long>")

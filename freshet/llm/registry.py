@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, pii, sharding, token_counts, token_store, toxicity
+from . import decontamination, fingerprints, jaccard, packing, pii, sharding, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_sharding": sharding.query,
     "op4_jaccard": jaccard.query,
+    "op5_decontamination": decontamination.query,
     "op6_token_store": token_store.query,
     "op7_token_counts": token_counts.query,
     "op8_packing": packing.query,
     "op9_pii": pii.query,
+    "op10_fingerprints": fingerprints.query,
 }
 SQL: dict[str, str] = {}
