@@ -45,7 +45,7 @@ TASK_BYTES = 8 << 20
 # --- passes over the texts ------------------------------------------------------
 def _profile(rows: DataFrame, width: int) -> DataFrame:
     """Per document: size and digest of its set.  Per task: counters of its shingles, in chunks."""
-    ddl = "doc_id long, n long, digest binary, task int, chunk int, counts binary"
+    ddl = "doc_id long, n long, digest binary, mark long, task int, chunk int, counts binary"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -61,11 +61,11 @@ def _profile(rows: DataFrame, width: int) -> DataFrame:
             n = len(ids)
             yield arrow_batch(schema, [ids, [len(s) for s in sets],
                                        [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                                       [None] * n, [None] * n, [None] * n])
+                                       batch.column(2), [None] * n, [None] * n, [None] * n])
         task = TaskContext.get().partitionId()
         for c, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
             if part.any():
-                yield arrow_batch(schema, [[None], [None], [None], [task], [c], [part.tobytes()]])
+                yield arrow_batch(schema, [[None], [None], [None], [None], [task], [c], [part.tobytes()]])
 
     return rows.mapInArrow(run, ddl)
 
@@ -246,18 +246,21 @@ def _blocks(members: DataFrame, limit: float) -> DataFrame:
 
 
 def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: str = "doc_id",
-            text: str = "text", keys=None) -> DataFrame:
+            text: str = "text", keys=None, mark=None) -> DataFrame:
     """(doc_id, n_shingles, class_id, n_links, component_id) of every row of ``docs``.
 
     class_id   least id with the same set; n_links: rows that link with this one, copies included
     keys       (set, text) -> 64-bit keys on which sets that link meet; None takes the prefixes
+    mark       an expression over ``docs`` (a long) to carry along as column ``mark``
     """
     small_batches(docs.sparkSession)
     limit = Fraction(str(threshold))
     num, both = limit.numerator, limit.numerator + limit.denominator
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                       (F.lit(None) if mark is None else mark).cast("long").alias("mark"))
     profile = stage(_profile(rows, width), "profile")
-    sized = profile.where("digest is not null").select("doc_id", "n", "digest")
+    sized = profile.where("digest is not null").select("doc_id", "n", "digest", "mark")
+    rows = rows.drop("mark")
     classes = sized.where("n > 0 and doc_id is not null").groupBy("digest") \
         .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
     # a number of its own, as an id may stand on several texts; written, so it stays the same
@@ -300,7 +303,7 @@ def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: s
         F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("component_id", "doc_id").alias("component_id"))
+        F.coalesce("component_id", "doc_id").alias("component_id"), *(["mark"] if mark is not None else []))
 
 
 def _linked(rows: DataFrame, members: DataFrame, width: int, num: int, both: int) -> DataFrame:

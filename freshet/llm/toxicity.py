@@ -230,6 +230,21 @@ def score(docs: DataFrame, model: tuple | None, *, id_column: str = "doc_id", te
         .withColumnRenamed("doc_id", id_column)
 
 
+def keep_clean(docs: DataFrame, model: tuple | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model does not call toxic."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            if sent.value is not None and batch.num_rows:
+                batch = batch.filter(pa.array(logits(sent.value, batch.column(at).to_pylist()) < 0))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id"):
     return F.pmod(crc_of_id(column), F.lit(FOLDS)) == 0
 
