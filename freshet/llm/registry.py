@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, jaccard, packing, pii, sharding, token_counts, token_store, toxicity
+from . import decontamination, fingerprints, jaccard, language_model, packing, pii, sharding, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_sharding": sharding.query,
+    "op3_language_model": language_model.query,
     "op4_jaccard": jaccard.query,
     "op5_decontamination": decontamination.query,
     "op6_token_store": token_store.query,
