@@ -44,7 +44,7 @@ from ._common import arrow_batch, arrow_schema, crc_of_id, documents, hash_words
 BLOCK_TOKENS = 500_000
 #: entries of a cell, roughly
 CELL_ENTRIES = 3_000_000
-STRENGTH = 20.0
+STRENGTH = 500.0
 FOLDS, HELD_OUT = 7, 2
 #: no word holds a space
 START, END = (int(h) for h in hash_words([b" start", b" end"]))
