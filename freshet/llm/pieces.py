@@ -4,9 +4,10 @@ A byte-pair tokenizer splits a text into pre-tokens and merges inside each, so a
 between pre-tokens, each part encoded by the library once, and the ids joined: the same
 ids as for the whole text.  Cuts are made where no pre-token can reach across:
 
-* before a single space between two visible characters.  Byte-level tokenizers join that space
-  to what follows; tokenizers that drop white space lose it either way.
-* between a letter and one closing mark at the end of such a part.
+* at a single space or line feed between two visible characters.  Byte-level tokenizers join the
+  space to what follows and make the line feed a pre-token; tokenizers that drop white space lose both.
+* between a letter and one closing mark at the end of such a part (letters up to U+012F, which no
+  normalizer turns into a letter with a mark behind it).
 """
 
 from __future__ import annotations
@@ -18,9 +19,15 @@ import re
 import numpy as np
 
 #: parts remembered in each of two generations; longer parts are never kept
-KEPT, LONGEST = 350_000, 48
+KEPT, LONGEST = 500_000, 48
 #: what some library may count as white space and Python does not
-_CUT = re.compile("(?<=[^\\s\\u180e\\u200b\\u2060\\ufeff]) (?=[^\\s\\u180e\\u200b\\u2060\\ufeff])")
+_CUT, _LINE = (re.compile(f"(?<=[^\\s\\u180e\\u200b\\u2060\\ufeff]){c}(?=[^\\s\\u180e\\u200b\\u2060\\ufeff])") for c in " \n")
+#: white space, or nearly, at which a text is not simply lines of words with single spaces
+_ODD_ASCII = ["  ", " \n", "\n ", "\n\n", *"\t\r\v\f\x1c\x1d\x1e\x1f"]
+_ODD = [*_ODD_ASCII, *map(chr, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F,
+                                0x2060, 0x3000, 0xFEFF])]
+#: stands before the key of a part that no space came before
+HEAD = "\0"
 _MARKS = frozenset(".,;:!?")
 
 _encoders: dict[str, "PieceEncoder"] = {}
@@ -59,54 +66,59 @@ class PieceEncoder:
             out[i] = len(token)
         return out
 
-    def _library(self, parts: list[str]) -> list[bytes]:
+    def _library(self, keys: list[str]) -> list[bytes]:
+        parts = keys if self.lowered else [k[1:] if k[0] == HEAD else " " + k for k in keys]
         return [np.array(e.ids, self.dtype).tobytes()
                 for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
         """Ids of parts not met before."""
-        halves = {p: (p[:-1], p[-1]) for p in parts
-                  if len(p) > 2 and p[-1] in _MARKS and p[-2].isalpha()}
-        single = [p for p in parts if p not in halves]
+        mark = "" if self.lowered else HEAD
+        halves = {k: (k[:-1], mark + k[-1]) for k in keys
+                  if len(k) > 2 and k[-1] in _MARKS and k[-2].isalpha() and k[-2] < "\u0130"}
+        single = [k for k in keys if k not in halves]
         for pair in halves.values():
             single += [h for h in pair if h not in self.young and h not in self.old]
         single = list(dict.fromkeys(single))
         found = dict(zip(single, self._library(single)))
         known = lambda h: found.get(h) or self.young.get(h) or self.old.get(h) or b""
-        for part, (word, mark) in halves.items():
-            found[part] = known(word) + known(mark)
+        for key, (word, closing) in halves.items():
+            found[key] = known(word) + known(closing)
         return found
 
+    def _parts(self, text: str) -> list[str]:
+        """Keys of the text's parts: a part that stood behind a space as it is, others behind ``HEAD``."""
+        if self.lowered:
+            if "<|" not in text:  # lower-casing could make a special token
+                text = text.encode().lower().decode()
+            return [p for p in text.replace("\n", " ").split(" ") if p]
+        if HEAD in text:
+            return [HEAD + text]
+        regular = not any(map(text.__contains__, _ODD_ASCII if text.isascii() else _ODD)) \
+            and text[0] not in " \n" and text[-1] not in " \n"
+        parts: list[str] = []
+        for line in text.split("\n") if regular else _LINE.split(text):
+            own = line.split(" ") if regular else _CUT.split(line)
+            own[0] = HEAD + own[0]
+            parts += own
+            parts.append(HEAD + "\n")
+        parts.pop()
+        return parts
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text; NULL and empty texts have none."""
-        split, unseen = [], set()
-        for text in texts:
-            if not text:
-                split.append([])
-                continue
-            if self.lowered:
-                if "<|" not in text:  # lower-casing could make a special token
-                    text = text.encode().lower().decode()
-                parts = [p for p in text.split(" ") if p]
-            else:
-                first, *rest = _CUT.split(text)
-                parts = [first, *[" " + p for p in rest]]
-            split.append(parts)
-            unseen.update(p for p in parts if p not in self.young)
-        again = {}
-        for p in list(unseen):
-            if p in self.old:
-                again[p] = self.old[p]
-                unseen.discard(p)
-        now = {**again, **self._learn(unseen)} if unseen or again else {}
+        split = [self._parts(text) if text else [] for text in texts]
+        unseen = set().union(*split).difference(self.young)
+        again = {k: self.old[k] for k in unseen if k in self.old}
+        now = {**again, **self._learn(unseen.difference(again))} if unseen else {}
         if len(self.young) + len(now) > KEPT:
             self.old, self.young = self.young, {}
             lookup = {**self.old, **now}
         else:
             lookup = None
-        self.young.update((p, v) for p, v in now.items() if len(p) <= LONGEST)
+        self.young.update((k, v) for k, v in now.items() if len(k) <= LONGEST)
         if lookup is None:
-            extra = {p: v for p, v in now.items() if len(p) > LONGEST}
+            extra = {k: v for k, v in now.items() if len(k) > LONGEST}
             lookup = {**self.young, **extra} if extra else self.young
         get = lookup.__getitem__
         return [np.frombuffer(b"".join(map(get, parts)), self.dtype) for parts in split]

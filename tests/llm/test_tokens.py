@@ -156,7 +156,7 @@ def test_token_counts_against_offsets(make, odd, texts, libraries, rule):
 
 def test_token_counts_of_given_sections(spark):
     df = spark.createDataFrame(
-        [(1, "hello world again", [(0, 8), (8, 99), (None, 2)]), (2, "abc", []), (3, None, [(0, 4)]), (4, "abc", None)],
+        [(1, "hello world again", [(0, 7), (7, 99), (None, 2)]), (2, "abc", []), (3, None, [(0, 4)]), (4, "abc", None)],
         "doc_id long, text string, own array<struct<start:int,end:int>>")
     got = {r["doc_id"]: r for r in token_counts.attribute(df, BYTE, sections="own", rule="first").collect()}
     assert [s["n_tokens"] for s in got[1]["sections"]] == [2, 1]  # " world" starts in the first
