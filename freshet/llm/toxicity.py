@@ -10,8 +10,8 @@ it negative (over-fitting) the step goes the other way.  Two stages learn so, on
 
 1. words: a linear classifier over hashed words and word starts (4, 5 and 6 bytes), a document
    being the mean of its distinct words' features;
-2. documents: a linear classifier over how high a document's words score: the highest, the mean of the
-   three highest, and the mean of all.
+2. documents: a linear classifier over how high a document's words score: the highest, and the mean of the
+   three highest (of what is above 0).
 
 A few words thus decide whatever the length of the text around them.
 
@@ -45,7 +45,7 @@ STARTS = (4, 5, 6)
 KEPT = 400_000
 TOP = 3
 #: gradients below this share of the largest are not brought up to its step length
-DAMPED = 0.05
+DAMPED = 0.3
 
 
 # --- features -------------------------------------------------------------------
@@ -98,12 +98,13 @@ def pooled(keys: np.ndarray, weights: np.ndarray, table) -> np.ndarray:
     features, words_at, docs_at = table
     score = _sums(np.append(weights, 0.0)[_places(keys, features)], words_at)
     ends = np.append(docs_at[1:], len(words_at))
-    out = np.zeros((len(docs_at), 3))
+    out = np.zeros((len(docs_at), 2))
     for i, (a, b) in enumerate(zip(docs_at, ends)):
         if b > a:
             own = score[a:b]
             top = np.partition(own, b - a - TOP)[-TOP:] if b - a > TOP else own
-            out[i] = top.max(), np.maximum(top, 0).sum() / TOP, own.mean()
+            top = np.maximum(top, 0)
+            out[i] = top.max(), top.sum() / TOP
     return out
 
 
@@ -169,14 +170,14 @@ def train(texts: list[str | None], toxic: np.ndarray, prior: float) -> tuple:
     x = pooled(keys, w, table)
     centre, spread = x.mean(0), x.std(0) + 1e-9
     x = np.column_stack([(x - centre) / spread, np.ones(len(x))])
-    top = _adam(4, 400, 0.1, lambda v: x.T @ risk_gradient(x @ v, toxic, prior))
-    slope = top[:3] / spread
-    return keys, w, np.append(slope, top[3] - slope @ centre)
+    top = _adam(3, 400, 0.1, lambda v: x.T @ risk_gradient(x @ v, toxic, prior))
+    slope = top[:2] / spread
+    return keys, w, np.append(slope, top[2] - slope @ centre)
 
 
 def logits(model: tuple, texts: list[str | None]) -> np.ndarray:
     keys, weights, top = model
-    return pooled(keys, weights, _table(texts)) @ top[:3] + top[3]
+    return pooled(keys, weights, _table(texts)) @ top[:2] + top[2]
 
 
 # --- on Spark -------------------------------------------------------------------
