@@ -31,14 +31,14 @@ def rollup_parts(whole: DataFrame, parts: DataFrame, keys: Sequence[str], *,
     """Apportion and sum back to the whole's rows in one step.
 
     Summing ``m * f`` over the parts of a row is ``m`` times the sum of ``f``, so
-    the parts are reduced to one row per key first: no row is multiplied by its
+    the parts' fractions are summed to one row per key first: no row is multiplied by its
     parts, and a key with very many parts is combined before the shuffle.
-    ``whole_size`` must be the same for all parts of a key.  Missing measures
+    Each part counts by its own whole, which may differ within a key.  Missing measures
     count as 0, as in a sum that skips them.
     """
     shares = parts.groupBy(*keys).agg(
-        sum_or_zero(part_size).alias("_size"), F.max(whole_size).alias("_whole"),
-        F.count(F.lit(1)).alias("_parts")).withColumn("_fraction", ratio("_size", "_whole")).drop("_whole")
+        sum_or_zero(part_size).alias("_size"), F.sum(ratio(part_size, whole_size)).alias("_fraction"),
+        F.count(F.lit(1)).alias("_parts"))
     joined = whole.join(shares, list(keys))
     zero = F.lit(0.0)
     out = joined.withColumns({

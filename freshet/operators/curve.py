@@ -18,8 +18,7 @@ def supply_curve(points: DataFrame, keys: Sequence[str], *, cost: str, volume: s
 
     Rows with any missing value or an infinite cost are left out.  ``tie`` must
     make a row unique within its group; it fixes the order among equal costs.
-    With ``size`` the running size is added as well, as :func:`curve_lookup`
-    needs it.
+    With ``size`` the running size is added as well.
     """
     points = complete_cases(points).where(finite(cost))
     values = {out: volume}
@@ -29,59 +28,52 @@ def supply_curve(points: DataFrame, keys: Sequence[str], *, cost: str, volume: s
 
 
 def curve_lookup(need: DataFrame, curve: DataFrame, keys: Sequence[str], *, amount: str,
-                 cost: str, cum: str = "cum_streamflow", cum_size: str = "cum_size",
-                 half: float = 0.5) -> DataFrame:
+                 cost: str, cum: str = "cum_streamflow", size: str = "Acres",
+                 order: Sequence[str] | None = None, half: float = 0.5) -> DataFrame:
     """Price a required amount on the curve; one row per key of ``need``.
 
-    The largest requirement of a key counts.  Its cost is that of the first step
-    whose cumulative volume reaches it (met), else that of the last step (not
+    The largest requirement of a key counts.  It is priced by one step of the curve: the first, in
+    ``order``, whose cumulative volume reaches it (met), else the last one (not
     met, and the volume priced is the requirement itself).  A key without a curve
-    costs 0.  The cost of the ``half`` requirement is looked up as well; where no
+    costs 0.  The ``half`` requirement is looked up in the same way; where no
     step reaches it, the *first* step is used.  The total is the marginal cost at
     the requirement times the whole requirement, not the area under the curve.
+    The size is that of all steps that neither cost more nor lie beyond the volume priced.
 
-    Volumes and sizes must not be negative, so that both running columns only
-    grow along the curve.  Then "first step at or above" is a minimum and the
-    look-up is one join and one combinable aggregate, with no ordering.
+    ``order`` (default: cost, cumulative volume) must order the steps of a key up to steps alike in
+    cost and volume.  Where a key has several curves, as a station with
+    cells in two regions, it begins with what tells the curves apart.
     """
     keys = list(keys)
     need = need.groupBy(*keys).agg(F.max(amount).alias("need"))
-    joined = curve.select(*keys, cost, cum, cum_size).join(need, keys)
+    joined = curve.select(*dict.fromkeys([*keys, *(order or ()), cost, cum, size])).join(need, keys)
 
-    c, v, s = F.col(cost), F.col(cum), F.col(cum_size)
-    reaches = v >= F.col("need")
-    reaches_half = v >= F.col("need") * half
+    c, v = F.col(cost), F.col(cum)
+    rank = F.struct(*(order or [cost, cum]))
+    step = F.struct(c.alias("cost"), v.alias("cum"))
+    reaches, reaches_half = v >= F.col("need"), v >= F.col("need") * half
     found = joined.groupBy(*keys).agg(
-        F.min(F.when(reaches, c)).alias("_hit_cost"),
-        F.min(F.when(reaches, v)).alias("_hit_cum"),
-        # among steps tied on volume and cost the whole tie contributes
-        F.min(F.when(reaches, F.struct(v, c, -s))).alias("_hit"),
-        F.max(c).alias("_last_cost"), F.max(s).alias("_all_size"),
-        F.min(F.when(reaches_half, c)).alias("_half_cost"),
-        F.min(F.when(reaches_half, v)).alias("_half_cum"),
-        F.min(c).alias("_first_cost"), F.min(v).alias("_first_cum"))
-
-    met = F.col("_hit_cost").isNotNull()
-    empty = F.col("_last_cost").isNull()
-    zero = F.lit(0.0)
-    met_half = F.col("_half_cost").isNotNull()
-    hit_size = -F.col("_hit")["col3"]
-    return (need.join(found, keys, "left").select(
+        F.min_by(step, F.when(reaches, rank)).alias("_hit"),
+        F.max_by(step, rank).alias("_last"),
+        F.coalesce(F.min_by(step, F.when(reaches_half, rank)), F.min_by(step, rank)).alias("_half"))
+    priced = need.join(found, keys, "left").select(
         *keys, "need",
-        F.when(met, "YES").when(~empty, "NO").alias("meets_need"),
-        F.when(met, F.col("_hit_cost")).when(~empty, F.col("_last_cost"))
-        .otherwise(zero).alias("MC_Cost"),
-        F.when(met, F.col("_hit_cum")).when(~empty, F.col("need"))
-        .otherwise(zero).alias("nearest_cum_stream"),
-        F.when(met_half, F.col("_half_cost")).when(~empty, F.col("_first_cost"))
-        .otherwise(zero).alias("MC_Cost_50"),
-        F.when(met_half, F.col("_half_cum")).when(~empty, F.col("_first_cum"))
-        .otherwise(zero).alias("nearest_cum_stream_50"),
-        F.when(met, hit_size).when(~empty, F.col("_all_size"))
-        .otherwise(zero).alias("Contributing_acres"))
-        .withColumn("Total_Cost", F.col("MC_Cost") * F.col("need"))
-        .withColumns({"Cost_acre": ratio("Total_Cost", "Contributing_acres"),
-                      "cost_AF": ratio("Total_Cost", "need")}))
+        F.when(F.col("_hit").isNotNull(), "YES").when(F.col("_last").isNotNull(), "NO")
+        .alias("meets_need"),
+        F.coalesce("_hit.cost", "_last.cost", F.lit(0.0)).alias("MC_Cost"),
+        F.when(F.col("_hit").isNotNull(), F.col("_hit.cum")).when(F.col("_last").isNotNull(), F.col("need"))
+        .otherwise(0.0).alias("nearest_cum_stream"),
+        F.coalesce("_half.cost", F.lit(0.0)).alias("MC_Cost_50"),
+        F.coalesce("_half.cum", F.lit(0.0)).alias("nearest_cum_stream_50"))
+    sizes = (curve.select(*keys, c.alias("_c"), v.alias("_v"), F.col(size).alias("_s"))
+             .join(priced.select(*keys, "MC_Cost", "nearest_cum_stream"), keys)
+             .where((F.col("_c") <= F.col("MC_Cost")) & (F.col("_v") <= F.col("nearest_cum_stream")))
+             .groupBy(*keys).agg(F.sum("_s").alias("Contributing_acres")))
+    return (priced.join(sizes, keys, "left")
+            .withColumn("Contributing_acres", F.coalesce("Contributing_acres", F.lit(0.0)))
+            .withColumn("Total_Cost", F.col("MC_Cost") * F.col("need"))
+            .withColumns({"Cost_acre": ratio("Total_Cost", "Contributing_acres"),
+                          "cost_AF": ratio("Total_Cost", "need")}))
 
 
 def curve_slice(curve: DataFrame, **equal) -> DataFrame:

@@ -3,8 +3,7 @@
 Group sizes: the keys here are (station, year, window), and rows are one per day,
 so a group never holds more than the days of a year.  The windows below can stay
 plain windows at any scale, and all of them share one partitioning, hence one
-shuffle.  :func:`one_per_day` establishes the one-row-per-day property by a
-combinable aggregate where the input does not have it.
+shuffle.  Rows that break the one-row-per-day property fail instead of being dropped.
 """
 
 from __future__ import annotations
@@ -94,15 +93,6 @@ def deficit_days(df: DataFrame, *, flow: str = "Discharge_cfs", rule: str = "MIF
 
 
 # --- runs of days ---------------------------------------------------------------
-def one_per_day(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
-    """One row per (keys, day): of duplicates, the row with the largest values."""
-    rest = [c for c in df.columns if c not in {*keys, day}]
-    if not rest:
-        return df.dropDuplicates([*keys, day])
-    return (df.groupBy(*keys, day).agg(F.max(F.struct(*rest)).alias("_row"))
-            .select(*keys, day, "_row.*").select(*df.columns))
-
-
 def keep_groups_with(df: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:
     """All rows of the groups in which any row satisfies ``condition``."""
     group = Window.partitionBy(*keys)
@@ -114,16 +104,18 @@ def consecutive_runs(df: DataFrame, keys: Sequence[str], day: str, *,
                      where: Column | None = None, unique: bool = False) -> DataFrame:
     """Days that have the day before or after in their group as well.
 
-    ``where`` selects the days that count.  Set ``unique`` when rows already are
-    one per (keys, day).
+    ``where`` selects the days that count.  Rows that repeat in all columns count once (set
+    ``unique`` where there are none); two different rows for one day of a group fail.
     """
     if where is not None:
         df = df.where(where)
     if not unique:
-        df = one_per_day(df, keys, day)
+        df = df.distinct()
     by_day = Window.partitionBy(*keys).orderBy(day)
     d = F.col(day)
-    return (df.withColumns({"_prev": d - F.lag(day).over(by_day),
+    before = d - F.lag(day).over(by_day)
+    return (df.withColumns({"_prev": F.when(before == 0, F.raise_error(F.lit(
+                                f"two different rows for one {day} of {', '.join(keys)}"))).otherwise(before),
                             "_next": F.lead(day).over(by_day) - d})
             .where((F.col("_prev") == 1) | (F.col("_next") == 1)).drop("_prev", "_next"))
 

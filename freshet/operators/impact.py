@@ -84,13 +84,16 @@ def beside_baseline(rows: DataFrame, keys: Sequence[str], is_baseline: Column,
                     columns: Mapping[str, Column | str]) -> DataFrame:
     """Put the baseline's values on every row of its key, for one table of both.
 
-    Equal to joining the baseline rows on ``keys`` as long as there is one per
-    key, but with a single shuffle and the table computed once.  A group holds
-    one row per scenario.
+    Equal to joining the baseline rows on ``keys``, but with a single shuffle and the
+    table computed once.  A group holds one row per scenario; a second baseline
+    row would have to multiply the others, so it fails.
     """
     group = Window.partitionBy(*keys)
-    return rows.withColumns({out: F.max(F.when(is_baseline, col(c))).over(group)
-                             for out, c in columns.items()})
+    row = F.max(F.when(is_baseline, F.struct(*[col(c).alias(out) for out, c in columns.items()]))).over(group)
+    several = F.count(F.when(is_baseline, 1)).over(group) > 1
+    beside = rows.withColumn("_base", F.when(several, F.raise_error(F.lit(
+        f"more than one baseline row for a key of {', '.join(keys)}"))).otherwise(row))
+    return beside.withColumns({out: F.col("_base")[out] for out in columns}).drop("_base")
 
 
 def compare_columns(df: DataFrame, *, supply: str, base_supply: str, output: str,

@@ -1,10 +1,9 @@
 """Running totals and exact order statistics that survive a hot group.
 
-A plain window puts a whole group into one task.  That is right while groups are
-small; with one group holding a third of a 100 TB table it is not.  The operators
-here measure the largest group first and, beyond a limit, cut the ordered
-rows into range slices, carry the slice totals forward, and finish each slice on
-its own.  The result is the same, whole, ordered running total either way.
+A plain window puts a whole group into one task.  With one group holding a third of a
+100 TB table that is too much, so the ordered rows are always cut into range slices: the totals of the
+slices are carried forward, and each slice is finished on its own.  There is one algorithm
+for every size, and its result does not depend on the number of slices.
 """
 
 from __future__ import annotations
@@ -12,17 +11,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import col
-from ..session import shared_dir
-
-#: largest group a single task orders on its own, unless the session sets
-#: ``spark.freshet.groupRows``
-GROUP_ROWS = 4_000_000
-#: rows per range slice beyond that, unless the session sets ``spark.freshet.sliceRows``
-SLICE_ROWS = 4_000_000
+from ..session import INITIAL_PARTITIONS, shared_dir
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -50,39 +43,19 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     totals = dict(totals or {})
     inputs = {out: f"_in_{i}" for i, out in enumerate(values)}
+    # read for the bounds, the slice totals and the result
     rows = df if staged else stage(df, "points")
     rows = rows.withColumns({inputs[o]: col(v) for o, v in values.items()})
-
-    conf = df.sparkSession.conf
-    group_rows = int(conf.get("spark.freshet.groupRows", str(GROUP_ROWS)))
-    slice_rows = int(conf.get("spark.freshet.sliceRows", str(SLICE_ROWS)))
-    total = rows.count()  # from the file footers
-    if total <= group_rows or _largest_group(rows, keys) <= group_rows:
-        group = Window.partitionBy(*keys)
-        upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = rows.withColumns({o: F.sum(c).over(upto) for o, c in inputs.items()})
-        if totals:
-            out = out.withColumns({t: F.sum(inputs[o]).over(group) for t, o in totals.items()})
-        return out.drop(*inputs.values())
-    return _sliced(rows, keys, order, inputs, totals, -(-total // slice_rows))
-
-
-def _largest_group(rows: DataFrame, keys: Sequence[str]) -> int:
-    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
-
-
-def _sliced(rows: DataFrame, keys, order, inputs, totals, slices: int) -> DataFrame:
-    # The slice number must not change once assigned, hence the second write.
-    cut = stage(rows.repartitionByRange(slices, *[F.col(c) for c in [*keys, *order]])
-                .withColumn("_slice", F.spark_partition_id()), "slices")
+    cut = rows.withColumn("_slice", _slice_of(rows, [*keys, *order]))
     sums = cut.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(c) for c in inputs.values()])
 
     # One row per (group, slice): at most one per group plus one per slice overall.
+    # A sum of nothing stays NULL, as in a plain window.
     group = Window.partitionBy(*keys)
     before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     heads = sums.select(
         *keys, "_slice",
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in inputs.values()],
+        *[F.sum(c).over(before).alias(c) for c in inputs.values()],
         *[F.sum(inputs[o]).over(group).alias(t) for t, o in totals.items()],
         F.lit(0).alias("_body"))
 
@@ -97,6 +70,39 @@ def _sliced(rows: DataFrame, keys, order, inputs, totals, slices: int) -> DataFr
             .drop("_body", "_slice", *inputs.values()))
 
 
+def slice_count(spark: SparkSession) -> int:
+    """As many slices as the session has shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               int(spark.conf.get(INITIAL_PARTITIONS, None) or 1))
+
+
+def _slice_of(rows: DataFrame, order: Sequence[str]) -> Column:
+    """Number of the range slice a row belongs to, by comparing it with the slices' first rows.
+
+    Spark's range partitioning finds about equal slices; only the first row of each, one
+    small row per partition, is kept.  Compared with fixed bounds, a row has the
+    same slice in every run and after every retry.
+    """
+    key = F.struct(*[F.col(c) for c in order])
+    ranged = rows.select(*order).repartitionByRange(slice_count(rows.sparkSession), *order)
+    first = ranged.groupBy(F.spark_partition_id().alias("_part")).agg(F.min(key).alias("first"))
+    types = rows.select(*order).schema
+    bounds = sorted_rows(first.select("first.*"), order)
+    if len(bounds) < 2:
+        return F.lit(0)
+    table = F.array(*[F.struct(*[F.lit(v).cast(t.dataType).alias(t.name) for v, t in zip(b, types)])
+                      for b in bounds[1:]])
+    steps = [1 << i for i in reversed(range((len(bounds) - 1).bit_length()))]
+    inside = lambda n: (n < len(bounds)) & (F.get(table, n - 1) <= key)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
+                       lambda at, step: F.when(inside(at + step), at + step).otherwise(at))
+
+
+def sorted_rows(first: DataFrame, order: Sequence[str]) -> list:
+    """One row per slice, in order."""
+    return first.orderBy(*order).collect()
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probabilities: Mapping[str, float], *, weight: str | None = None,
                     staged: bool = False) -> DataFrame:

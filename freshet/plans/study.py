@@ -20,7 +20,7 @@ from ..functions import fixed_values as fv
 from ..functions import keys as k
 from ..functions import semantics as sem
 from ..operators import apportion, curve, flow, impact, report, windows
-from ..operators.running import running_totals, stage
+from ..operators.running import stage
 from ..sources import readers, sinks, tables
 
 #: input name -> path under the data folder; override with ``load(layout=...)``
@@ -384,10 +384,12 @@ class Study:
             .select("SITENO", "Year", "DOY", "Discharge_cfs"), "DOY")
         rules = self.inputs.rules.select("SITENO", "DOY", "MIFR_rules")
         gauges = self.inputs.gauges.select("SITENO").distinct()
+        # A station's flow gains what all its regions save, so that it has one row per day.
+        augmentation = self.station_augmentation.groupBy("SITENAME", "SITENO", "Year", "simulation").agg(
+            F.sum("streamflow_aug_cfs").alias("streamflow_aug_cfs"))
         rows = (days.drop("start_date", "stop_date").join(rules, ["SITENO", "DOY"])
                 .join(gauges, "SITENO", "left_semi")
-                .join(self.station_augmentation.drop("Streamflow_aug_vol_acft"),
-                      ["SITENO", "Year", "simulation"])
+                .join(augmentation, ["SITENO", "Year", "simulation"])
                 .distinct())
         ranks = dims.stations(self.spark).select(
             F.col("station").alias("SITENAME"), "station_code", "station_rank")
@@ -436,12 +438,9 @@ class Study:
     def priced_needs(self) -> DataFrame:
         """Cost of the required pulse per station, year and scenario."""
         late = self.supply_curves.where(F.col("harvest_date1") > F.col("target_harvest_date"))
-        # Cumulative volumes stay those of the full curve; the acreage counts late rows.
-        late = running_totals(late, FLOW_KEYS, ["cost_acrft", "cum_streamflow", "crop", "site",
-                                                "lat", "long", "Grid_Number"],
-                              {"cum_size": "Acres"})
-        return stage(curve.curve_lookup(self.need_runs, late, FLOW_KEYS, amount="Req_aug_Acft",
-                                        cost="cost_acrft"), "priced")
+        # Cumulative volumes stay those of the full curve of each region.
+        return stage(curve.curve_lookup(self.need_runs, late, FLOW_KEYS, amount="Req_aug_Acft", cost="cost_acrft",
+                                        order=["region", "cost_acrft", "cum_streamflow"]), "priced")
 
     @property
     def priced_days(self) -> DataFrame:

@@ -27,7 +27,7 @@ from ..functions import fixed_values as fv
 from ..functions import keys as k
 from ..functions import semantics as sem
 from ..operators import apportion, curve, flow, impact, report, windows
-from ..operators.running import stage
+from ..operators.running import running_totals, stage
 from ..session import shared_dir, tune
 from ..sources import readers
 
@@ -414,12 +414,66 @@ def grid_impact(spark, sf_dir) -> DataFrame:
         "cost_acr": sem.ratio("Revenue_loss", "Acres")})
 
 
-def field_to_grid(spark, sf_dir):
-    return grid_impact(spark, sf_dir).select(
+def _rounded_grid(rows: DataFrame) -> DataFrame:
+    """Sums of shares, rounded a little off the ties that the order of adding would decide."""
+    rows = rows.withColumns({c: F.round(F.col(c) + 1.23457e-8, 6)
+                             for c in ("streamflow_aug_acrft", "streamflow_aug_cfs")})
+    rows = rows.withColumns({c: F.round(F.col(c) + 1.23457e-4, 2)
+                             for c in ("WM_yield_loss", "Revenue_loss", "cost_acrft", "cost_acr")})
+    return rows.select(
         "site", "crop", "Year", "simulation", "Acres", "Acres_PF", "streamflow_aug_acrft",
         "streamflow_aug_cfs", "WM_yield_loss", "Revenue_loss", "cost_acrft", "cost_acr")
 
 
+def field_to_grid(spark, sf_dir):
+    return _rounded_grid(grid_impact(spark, sf_dir))
+
+
+def field_to_grid_unequal(spark, sf_dir):
+    """Parts that share wholes of their own: the quantity of their line status in the cell."""
+    rows = cropped(spark, sf_dir)
+    parts = rows.groupBy("site", "crop", "l_linestatus", "part").agg(F.sum("l_quantity").alias("Acres_PF"))
+    whole = parts.groupBy("site", "crop", "l_linestatus").agg(F.sum("Acres_PF").alias("whole_size"))
+    rolled = apportion.rollup_parts(
+        flag_impact(spark, sf_dir), parts.join(whole, ["site", "crop", "l_linestatus"]), ["site", "crop"],
+        part_size="Acres_PF", whole_size="whole_size", size_out="Acres_PF",
+        measures={m: m for m in ("streamflow_aug_acrft", "streamflow_aug_cfs", "WM_yield_loss", "Revenue_loss")})
+    return _rounded_grid(rolled.withColumns({
+        "cost_acrft": sem.ratio("Revenue_loss", "streamflow_aug_acrft"),
+        "cost_acr": sem.ratio("Revenue_loss", "Acres")}))
+
+
+def field_rights(spark, sf_dir):
+    """Fields joined to their grid row and their right, incomplete ones and interruptible rights out.
+
+    A field is a part of a site and line status; its right is named by its least tax, and has no
+    name where that is zero.
+    """
+    rows = cropped(spark, sf_dir)
+    key = ["site", "crop", "l_linestatus"]
+    grids = rows.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("Acres")).where("Acres > 4")
+    owned = rows.groupBy(*key, "part")
+    parts = owned.agg(F.sum("l_quantity").alias("Acres_PF")).join(grids, key, "left")
+    number = F.round(F.min("l_tax") * 100).cast("int")
+    rights = owned.agg(F.when(number > 0, F.concat(F.lit("WR"), number.cast("string"))).alias("WRDocID"))
+    listed = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("WR"), F.col("r_regionkey").cast("string")).alias("WR_Doc_ID"))
+    fields = sem.complete_cases(parts.join(rights, [*key, "part"]))
+    fields = fields.withColumn("fraction_acres", sem.ratio("Acres_PF", "Acres"))
+    return sem.not_in_table(fields, listed, {"WRDocID": "WR_Doc_ID"})
+
+
+def daily_demand(spark, sf_dir):
+    """Days joined to the baseline's harvest date, once per line status it was planted under."""
+    rows = cropped(spark, sf_dir)
+    base = rows.where(F.col("l_returnflag") == BASE).groupBy(
+        "Year", "site", "crop", F.col("l_linestatus").alias("Irrigation")).agg(
+        F.floor(F.avg("DOY")).cast("int").alias("harvest_date"))
+    daily = rows.groupBy("Year", "site", "crop", "DOY").agg(F.sum("l_quantity").alias("irrig1"))
+    return windows.window_demand(daily.join(base, ["Year", "site", "crop"]), ["Year", "site", "crop", "Irrigation"],
+                                 day="DOY", measure="irrig1", harvest="harvest_date")
+
+
 def site_totals(spark, sf_dir) -> DataFrame:
     return apportion.rollup_grid(
         grid_impact(spark, sf_dir), ["site", "Year", "simulation"],
@@ -443,6 +497,19 @@ def gauge_rollup(spark, sf_dir):
 
 
 # --- supply curves -------------------------------------------------------------------
+#: tells the lines apart; order and number alone do not
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def running_totals_nulls(spark, sf_dir):
+    """Running and group totals of a value that is missing where there is no discount."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_linestatus", F.month("l_shipdate").alias("Month"), *LINE,
+        F.when(F.col("l_discount") > 0.05, F.col("l_quantity")).alias("qty"))
+    out = running_totals(rows, ["l_linestatus", "Month"], LINE, {"run": "qty"}, totals={"total": "run"})
+    return out.select("l_linestatus", "Month", *LINE, "run", "total")
+
+
 def curve_points(spark, sf_dir) -> DataFrame:
     """Volume, loss and area per site, Year and window: summed before any join."""
     tagged = windows.tag_windows(shipments(spark, sf_dir), "DOY")
@@ -615,7 +682,24 @@ def priced_need(spark, sf_dir, runs: DataFrame) -> DataFrame:
 
 
 def curve_lookup(spark, sf_dir):
-    return priced_need(spark, sf_dir, need_runs(spark, sf_dir))
+    # the runs feed two joins
+    return priced_need(spark, sf_dir, stage(need_runs(spark, sf_dir), "runs"))
+
+
+def curve_lookup_regions(spark, sf_dir):
+    """Curves per nation, looked up by region: a station with several curves, one step of one of them."""
+    points = curve_points(spark, sf_dir).join(sites(spark, sf_dir).withColumnRenamed("basin", "station"), "site")
+    curves = curve.supply_curve(points, ["station", "region", "Year", "simulation"], cost="cost_acrft",
+                                volume="streamflow_aug_acrft", tie=["site"])
+    need = flow.required_pulse(stage(need_runs(spark, sf_dir), "runs"), SUPPLY_KEYS, "DOY", "MIFR_Dff")
+    return curve.curve_lookup(need, curves, SUPPLY_KEYS, amount="Req_aug_Acft", cost="cost_acrft",
+                              order=["region", "cost_acrft", "cum_streamflow"])
+
+
+def need_days_with_pulse(spark, sf_dir):
+    """Every run day with its group's required pulse."""
+    out = flow.with_required_pulse(need_runs(spark, sf_dir), SUPPLY_KEYS, "DOY", "MIFR_Dff")
+    return out.select(*SUPPLY_KEYS, "DOY", "MIFR_Dff", "Req_aug", "Req_aug_Acft", "Fiftyp_aug")
 
 
 def met_runs(spark, sf_dir) -> DataFrame:
@@ -813,10 +897,11 @@ QUERIES = [
     table_membership, complete_cases, discharge_calendar, grid_factors, basin_impact,
     unify_measure, impact_vs_baseline,
     price_outcome, impact_clamps, per_acre_measures, window_demand, impact_table,
-    apportion_to_parts, field_to_grid, grid_rollup, gauge_rollup, supply_curve,
+    apportion_to_parts, field_to_grid, field_to_grid_unequal, field_rights, daily_demand, grid_rollup, gauge_rollup, running_totals_nulls,
+    supply_curve,
     nested_supply_curves, curve_slice, barter_price, rules_unpivot, rule_text_parse,
     rules_to_days, deficit_verdicts, any_need_groups, consecutive_runs, required_pulse,
-    aug_ratio, curve_lookup, mean_cost_matrix, met_year_counts, crop_mix_shares,
+    aug_ratio, need_days_with_pulse, curve_lookup, curve_lookup_regions, mean_cost_matrix, met_year_counts, crop_mix_shares,
     crop_mix_wide, median_by_group, box_summary, impact_boxes, cost_per_acre_boxes,
     percent_summary, percent_bins, years_need_matrix, years_needing, placeholder_union,
     union_distinct, water_right_merge, site_key_build, station_bridge, harvest_timing, read_scenarios,

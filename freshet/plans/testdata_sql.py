@@ -101,12 +101,23 @@ fields AS (
   WHERE p_brand <> '{td.INTERRUPTIBLE_BRAND}')"""
 GRID = """grid AS (
   SELECT i.site, i.crop, i."Year", i.simulation, i.acres, sum(part_size) AS part_acres,
-         max(acrft) * (sum(part_size) / NULLIF(max(whole_size), 0)) AS acrft,
-         max(cfs) * (sum(part_size) / NULLIF(max(whole_size), 0)) AS cfs,
-         max(loss) * (sum(part_size) / NULLIF(max(whole_size), 0)) AS loss,
-         max(money_loss) * (sum(part_size) / NULLIF(max(whole_size), 0)) AS money_loss
+         sum(acrft * fraction) AS acrft, sum(cfs * fraction) AS cfs, sum(loss * fraction) AS loss,
+         sum(money_loss * fraction) AS money_loss
   FROM impact i JOIN fields f ON i.site = f.site AND i.crop = f.crop
   GROUP BY i.site, i.crop, i."Year", i.simulation, i.acres)"""
+UNEQUAL_FIELDS = """parts AS (
+  SELECT site, crop, l_linestatus, part, sum(l_quantity) AS part_size FROM cropped GROUP BY ALL),
+fields AS (
+  SELECT site, crop, part_size,
+         part_size / NULLIF(sum(part_size) OVER (PARTITION BY site, crop, l_linestatus), 0) AS fraction
+  FROM parts)"""
+GRID_ROWS = """
+SELECT site, crop, "Year", simulation, acres AS "Acres", part_acres AS "Acres_PF",
+       round(acrft + 1.23457e-8, 6) AS streamflow_aug_acrft, round(cfs + 1.23457e-8, 6) AS streamflow_aug_cfs,
+       round(loss + 1.23457e-4, 2) AS "WM_yield_loss", round(money_loss + 1.23457e-4, 2) AS "Revenue_loss",
+       round(money_loss / NULLIF(acrft, 0) + 1.23457e-4, 2) AS cost_acrft,
+       round(money_loss / NULLIF(acres, 0) + 1.23457e-4, 2) AS cost_acr
+FROM grid"""
 SITE_TOTALS = """site_totals AS (
   SELECT site, "Year", simulation, sum(acres) AS acres, sum(acrft) AS acrft, sum(cfs) AS cfs,
          sum(money_loss) AS money_loss
@@ -202,7 +213,7 @@ pulse AS (
   SELECT station, "Year", simulation, max(larger) AS req,
          max(larger) * 1296000 / 43560 AS req_acft
   FROM larger GROUP BY ALL)"""
-LOOKUP = PULSE + ",\n" + ",\n".join([SHIP, POINTS, _curve("station", "bridge")]) + """,
+_PRICED = """,
 need AS (SELECT station, "Year", simulation, req_acft AS need FROM pulse),
 j AS (SELECT n.station, n."Year", n.simulation, n.need, c.cost, c.cum, c.rn, c.acres
       FROM need n JOIN curve c ON n.station = c.station AND n."Year" = c."Year"
@@ -236,6 +247,24 @@ priced AS (
          coalesce(mc, 0) * n.need / NULLIF(n.need, 0) AS cost_af
   FROM need n LEFT JOIN choice USING (station, "Year", simulation)
               LEFT JOIN areas USING (station, "Year", simulation))"""
+LOOKUP = PULSE + ",\n" + ",\n".join([SHIP, POINTS, _curve("station", "bridge")]) + _PRICED
+#: several curves a station, one after the other
+LOOKUP_REGIONS = PULSE + ",\n" + ",\n".join([SHIP, POINTS]) + """,
+nations AS (
+  SELECT basin AS station, region, "Year", simulation, site, acres, vol, cost,
+         sum(vol) OVER (PARTITION BY basin, region, "Year", simulation ORDER BY cost, site
+                        ROWS UNBOUNDED PRECEDING) AS cum
+  FROM points JOIN sites USING (site) WHERE cost IS NOT NULL),
+curve AS (
+  SELECT nations.*, row_number() OVER (PARTITION BY station, "Year", simulation
+                                       ORDER BY region, cost, site) AS rn FROM nations)""" + _PRICED
+PRICED_ROWS = """
+SELECT station, "Year", simulation, need AS need, meets AS meets_need,
+       mc AS "MC_Cost", vol AS nearest_cum_stream, mc50 AS "MC_Cost_50",
+       vol50 AS nearest_cum_stream_50, acres AS "Contributing_acres",
+       cost_total AS "Total_Cost", cost_acre AS "Cost_acre",
+       cost_af AS "cost_AF"
+FROM priced"""
 MET = LOOKUP + """,
 able AS (SELECT * FROM runs WHERE can = 'YES'),
 met AS (
@@ -426,12 +455,41 @@ SELECT i.site, i.crop, part, count(*) AS n, max(fraction) AS fraction,
 FROM impact i JOIN fields f ON i.site = f.site AND i.crop = f.crop
 GROUP BY i.site, i.crop, part""",
 
-    "field_to_grid": _with(FLAG_IMPACT, FIELDS, GRID) + """
-SELECT site, crop, "Year", simulation, acres AS "Acres", part_acres AS "Acres_PF",
-       acrft AS streamflow_aug_acrft, cfs AS streamflow_aug_cfs, loss AS "WM_yield_loss",
-       money_loss AS "Revenue_loss", money_loss / NULLIF(acrft, 0) AS cost_acrft,
-       money_loss / NULLIF(acres, 0) AS cost_acr
-FROM grid""",
+    "field_to_grid": _with(FLAG_IMPACT, FIELDS, GRID) + GRID_ROWS,
+
+    "field_to_grid_unequal": _with(FLAG_IMPACT, UNEQUAL_FIELDS, GRID) + GRID_ROWS,
+
+    "field_rights": _with(SHIP, CROPPED, """grids AS (
+  SELECT site, crop, l_linestatus, CAST(count(*) AS DOUBLE) AS acres FROM cropped GROUP BY ALL
+  HAVING count(*) > 4),
+owned AS (
+  SELECT site, crop, l_linestatus, part, sum(l_quantity) AS part_size,
+         CAST(round(min(l_tax) * 100) AS INTEGER) AS number
+  FROM cropped GROUP BY ALL)""") + """
+SELECT site, crop, l_linestatus, part, part_size AS "Acres_PF", acres AS "Acres",
+       'WR' || number AS "WRDocID", part_size / NULLIF(acres, 0) AS fraction_acres
+FROM owned JOIN grids USING (site, crop, l_linestatus)
+WHERE number > 0 AND number NOT IN (SELECT r_regionkey FROM region)""",
+
+    "daily_demand": _with(WIN, SHIP, CROPPED, """base AS (
+  SELECT "Year", site, crop, l_linestatus AS "Irrigation", CAST(floor(avg("DOY")) AS INTEGER) AS harvest_date
+  FROM cropped WHERE l_returnflag = 'N' GROUP BY ALL),
+days AS (SELECT "Year", site, crop, "DOY", sum(l_quantity) AS irrig1 FROM cropped GROUP BY ALL)""") + """
+SELECT "Year", site, crop, "Irrigation", simulation, start_date + 5 AS target_harvest_date,
+       sum(CASE WHEN harvest_date >= start_date AND harvest_date <= start_date + 5 THEN 0 ELSE irrig1 END)
+         AS irrigation_demand_mm
+FROM days JOIN base USING ("Year", site, crop) JOIN win ON "DOY" BETWEEN start_date AND stop_date
+GROUP BY ALL""",
+
+    "running_totals_nulls": """
+WITH rows_ AS (
+  SELECT l_linestatus, CAST(month(l_shipdate) AS INTEGER) AS "Month", l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+         CASE WHEN l_discount > 0.05 THEN l_quantity END AS qty FROM lineitem)
+SELECT l_linestatus, "Month", l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+       sum(qty) OVER (PARTITION BY l_linestatus, "Month" ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
+                      ROWS UNBOUNDED PRECEDING) AS run,
+       sum(qty) OVER (PARTITION BY l_linestatus, "Month") AS total
+FROM rows_""",
 
     "grid_rollup": _with(FLAG_IMPACT, FIELDS, GRID, SITE_TOTALS, SITES) + """
 SELECT region, site, "Year", simulation, acres AS "T_Acres",
@@ -509,13 +567,14 @@ FROM (SELECT larger.*, max(larger) OVER (PARTITION BY station, "Year", simulatio
       FROM larger WHERE larger IS NOT NULL)
 WHERE larger = most""",
 
-    "curve_lookup": _with(LOOKUP) + """
-SELECT station, "Year", simulation, need AS need, meets AS meets_need,
-       mc AS "MC_Cost", vol AS nearest_cum_stream, mc50 AS "MC_Cost_50",
-       vol50 AS nearest_cum_stream_50, acres AS "Contributing_acres",
-       cost_total AS "Total_Cost", cost_acre AS "Cost_acre",
-       cost_af AS "cost_AF"
-FROM priced""",
+    "curve_lookup": _with(LOOKUP) + PRICED_ROWS,
+
+    "curve_lookup_regions": _with(LOOKUP_REGIONS) + PRICED_ROWS,
+
+    "need_days_with_pulse": _with(PULSE) + """
+SELECT station, "Year", simulation, "DOY", d AS "MIFR_Dff", req AS "Req_aug",
+       req_acft AS "Req_aug_Acft", req_acft * 0.5 AS "Fiftyp_aug"
+FROM runs JOIN pulse USING (station, "Year", simulation)""",
 
     "mean_cost_matrix": _with(MET) + """
 SELECT station, simulation, 'Yes_Need' AS "Aug_Need", 'YES' AS "Can_meet_MIFR",

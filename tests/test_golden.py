@@ -11,15 +11,13 @@ from freshet.functions import units
 
 
 @contextmanager
-def slicing(spark, rows):
-    """Force range slices for groups over ``rows`` rows."""
-    spark.conf.set("spark.freshet.groupRows", str(rows))
-    spark.conf.set("spark.freshet.sliceRows", str(rows))
+def slicing(spark, slices):
+    """Cut ordered groups into so many range slices."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(slices))
     try:
         yield
     finally:
-        spark.conf.unset("spark.freshet.groupRows")
-        spark.conf.unset("spark.freshet.sliceRows")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def rows_of(df, *columns):
@@ -72,6 +70,13 @@ def test_baseline_beside_equals_join(spark):
     assert sorted(map(tuple, got.collect()), key=str) == want
 
 
+def test_a_second_baseline_row_fails(spark):
+    df = spark.createDataFrame([(1, "N", 1.0, 9.0), (1, "N", 5.0, 2.0), (1, "A", 0.0, 0.0)],
+                               "k int, s string, x double, y double")
+    with pytest.raises(Exception, match="more than one baseline row"):
+        impact.beside_baseline(df, ["k"], F.col("s") == "N", {"x0": "x", "y0": "y"}).collect()
+
+
 def test_small_differences_vanish(spark):
     r = impact.clamp_impact(
         compared(spark, (99.1, 10100.0), (100.0, 10000.0, 10.0))).first()
@@ -93,11 +98,13 @@ def test_consecutive_case(spark):
     assert got == [150, 151, 155, 156, 157]
 
 
-def test_duplicate_days_count_once(spark):
-    df = spark.createDataFrame([("a", 1, 5.0), ("a", 1, 7.0), ("a", 2, 1.0), ("a", 4, 1.0)],
-                               "g string, d int, x double")
-    got = sorted(rows_of(flow.consecutive_runs(df, ["g"], "d"), "d", "x"))
-    assert got == [(1, 7.0), (2, 1.0)]
+def test_repeated_days_count_once_and_different_ones_fail(spark):
+    schema = "g string, d int, x double"
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 1, 5.0), ("a", 2, 1.0), ("a", 4, 1.0)], schema)
+    assert sorted(rows_of(flow.consecutive_runs(df, ["g"], "d"), "d", "x")) == [(1, 5.0), (2, 1.0)]
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 1, 7.0), ("a", 2, 1.0)], schema)
+    with pytest.raises(Exception, match="two different rows"):
+        flow.consecutive_runs(df, ["g"], "d").collect()
 
 
 def test_required_pulse_case(spark):
@@ -210,7 +217,7 @@ def test_curve_leaves_out_missing_and_infinite(spark):
 def test_lookup_case(spark, need, want):
     df = spark.createDataFrame([("a", need), ("empty", need)], "g string, n double")
     out = {r.g: r for r in curve.curve_lookup(df, small_curve(spark), ["g"], amount="n",
-                                              cost="c").collect()}
+                                              cost="c", size="s").collect()}
     r = out["a"]
     assert (r.MC_Cost, r.nearest_cum_stream, r.meets_need, r.MC_Cost_50, r.nearest_cum_stream_50,
             r.Contributing_acres, r.Total_Cost, r.Cost_acre) == want[:7] + (
@@ -239,8 +246,8 @@ def model_lookup(points, need):
     return (cost, vol, half[0], half[1], size)
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 3])
-def test_lookup_matches_model(spark, group_rows):
+@pytest.mark.parametrize("slices", [1, 13])
+def test_lookup_matches_model(spark, slices):
     rng = random.Random(11)
     points, needs = {}, {}
     for g in range(80):
@@ -251,16 +258,36 @@ def test_lookup_matches_model(spark, group_rows):
         needs[g] = float(rng.randint(1, 16))
     df = spark.createDataFrame([(g, i, c, v, s) for g, ps in points.items() for c, i, v, s in ps],
                                "g int, i int, c double, v double, s double")
-    with slicing(spark, group_rows):
+    with slicing(spark, slices):
         c = curve.supply_curve(df, ["g"], cost="c", volume="v", tie=["i"], size="s")
     need = spark.createDataFrame([(g, n) for g, n in needs.items()], "g int, n double")
-    out = curve.curve_lookup(need, c, ["g"], amount="n", cost="c")
+    out = curve.curve_lookup(need, c, ["g"], amount="n", cost="c", size="s")
     got = {r.g: (r.MC_Cost, r.nearest_cum_stream, r.MC_Cost_50, r.nearest_cum_stream_50,
                  r.Contributing_acres) for r in out.collect()}
     assert got == {g: model_lookup([(c, v, s) for c, _, v, s in ps], needs[g])
                    for g, ps in points.items()}
 
 
+def test_lookup_takes_one_row_of_a_station_with_two_curves(spark):
+    steps = [("R1", 1.0, 5.0, 1.0), ("R1", 9.0, 30.0, 2.0), ("R2", 2.0, 4.0, 4.0), ("R2", 3.0, 40.0, 8.0)]
+    c = spark.createDataFrame([("a", *r) for r in steps], "g string, r string, c double, v double, s double")
+    need = spark.createDataFrame([("a", 25.0)], "g string, n double")
+    got = curve.curve_lookup(need, c, ["g"], amount="n", cost="c", cum="v", size="s", order=["r", "c", "v"]).first()
+    assert (got.MC_Cost, got.nearest_cum_stream, got.MC_Cost_50, got.nearest_cum_stream_50) == (9, 30, 9, 30)
+    assert got.Contributing_acres == 1 + 2 + 4  # neither dearer nor beyond 30
+
+
+@pytest.mark.parametrize("slices", [1, 2, 5])
+def test_running_totals_of_missing_values(spark, slices):
+    rows = [("a", 1, None), ("a", 2, 3), ("a", 3, None), ("a", 4, 1), ("b", 1, None), (None, 1, None), (None, 2, 4)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    with slicing(spark, slices):
+        out = running.running_totals(df, ["k"], ["i"], {"run": "v"}, totals={"all": "run"})
+        got = {(r.k, r.i): (r.run, r["all"]) for r in out.collect()}
+    assert got == {("a", 1): (None, 4), ("a", 2): (3, 4), ("a", 3): (3, 4), ("a", 4): (4, 4),
+                   ("b", 1): (None, None), (None, 1): (None, 4), (None, 2): (4, 4)}
+
+
 def test_barter(spark):
     out = curve.barter_price(small_curve(spark), ["g"], price=2.0, target=10.0, cutoff=15.0,
                              size="s", cost="c").first()
@@ -280,8 +307,9 @@ def skewed(spark, n=6000):
 def test_sliced_totals_equal_plain_totals(spark):
     rows, df = skewed(spark)
     args = (df, ["k"], ["c", "i"], {"run": "v", "pos": F.lit(1)})
-    plain = running.running_totals(*args, totals={"all": "run"})
-    with slicing(spark, 300):
+    with slicing(spark, 1):
+        plain = running.running_totals(*args, totals={"all": "run"})
+    with slicing(spark, 23):
         sliced = running.running_totals(*args, totals={"all": "run"})
     want, totals = {}, {}
     for k, c, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
@@ -303,8 +331,8 @@ def test_slices_are_balanced(spark):
     assert max(sizes) < 3 * 6000 / 12
 
 
-@pytest.mark.parametrize("group_rows", [100_000, 20])
-def test_quantiles_match_builtin(spark, group_rows):
+@pytest.mark.parametrize("slices", [1, 13])
+def test_quantiles_match_builtin(spark, slices):
     rng = random.Random(9)
     rows = [(rng.choice("abb"), rng.choice([None, float("nan"), round(rng.gauss(0, 5), 1)])
              if rng.random() < 0.1 else round(rng.gauss(0, 5), 1)) for _ in range(900)]
@@ -312,17 +340,17 @@ def test_quantiles_match_builtin(spark, group_rows):
     clean = df.where("x IS NOT NULL AND NOT isnan(x)")
     want = clean.groupBy("k").agg(F.percentile("x", F.array(F.lit(.25), F.lit(.5), F.lit(.75)))
                                   .alias("q")).collect()
-    with slicing(spark, group_rows):
+    with slicing(spark, slices):
         got = running.exact_quantiles(df, ["k"], "x", {"a": .25, "b": .5, "c": .75})
     got = {r.k: (r.a, r.b, r.c) for r in got.collect()}
     assert got == {r.k: pytest.approx(tuple(r.q)) for r in want}
 
 
-@pytest.mark.parametrize("group_rows", [100_000, 3])
-def test_box_summary(spark, group_rows):
+@pytest.mark.parametrize("slices", [1, 13])
+def test_box_summary(spark, slices):
     data = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 30.0, 45.0]
     df = spark.createDataFrame([("a", x) for x in data], "k string, x double")
-    with slicing(spark, group_rows):
+    with slicing(spark, slices):
         r = report.box_summary(df, ["k"], "x", limits=(0, 40)).first()
     assert (r.lower, r.middle, r.upper) == (3.0, 5.0, 7.0)
     assert (r.ymin, r.ymax, r.n, r.outliers) == (1.0, 8.0, 9, 1)
@@ -352,6 +380,14 @@ def test_parts_of_a_covered_whole_sum_to_it(spark):
         ("a", 1998, 60.0, 4.0, 2), ("a", 1999, 0.0, 4.0, 2), ("b", 1998, 5.0, 2.0, 1)]
 
 
+def test_parts_of_unequal_wholes(spark):
+    whole = spark.createDataFrame([("a", 100.0)], "k string, m double")
+    parts = spark.createDataFrame([("a", 5.0, 10.0), ("a", 5.0, 50.0)], "k string, size double, all double")
+    rolled = apportion.rollup_parts(whole, parts, ["k"], part_size="size", whole_size="all", measures={"m": "m"},
+                                    size_out="area")
+    assert rolled.first().m == pytest.approx(60.0)
+
+
 def test_nested_stations_each_get_the_site(spark):
     grid = spark.createDataFrame([("s1", 1, 5.0), ("s1", 1, 2.0), ("s2", 1, 3.0)],
                                  "site string, Year int, v double")

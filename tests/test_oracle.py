@@ -7,13 +7,14 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+from freshet.plans import testdata, testdata_sql
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = testdata.registered()
+ORACLE = testdata_sql.statements()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,7 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
 
 
 def check(spark, duck, name):
@@ -51,15 +53,13 @@ def test_matches_sql(spark, duck, name):
     check(spark, duck, name)
 
 
-@pytest.mark.parametrize("name", ["supply_curve", "nested_supply_curves", "curve_lookup",
-                                  "barter_price", "box_summary", "median_by_group",
-                                  "impact_boxes"])
-def test_matches_sql_with_hot_groups_sliced(spark, duck, name):
-    """The same results when every group of over 40 rows is cut into slices."""
-    spark.conf.set("spark.freshet.groupRows", "40")
-    spark.conf.set("spark.freshet.sliceRows", "500")
-    try:
-        check(spark, duck, name)
-    finally:
-        spark.conf.unset("spark.freshet.groupRows")
-        spark.conf.unset("spark.freshet.sliceRows")
+@pytest.mark.parametrize("name", ["supply_curve", "nested_supply_curves", "running_totals_nulls", "box_summary",
+                                  "median_by_group"])
+def test_matches_sql_for_other_slice_counts(spark, duck, name):
+    """The same results for one slice and for many."""
+    for slices in ("1", "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", slices)
+        try:
+            check(spark, duck, name)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")

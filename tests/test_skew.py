@@ -1,7 +1,7 @@
 """Every query with a third of the facts on one site and a third on one part.
 
 Nothing derived may be broadcast, joins split hot keys at a few kilobytes and
-ordered groups are cut into slices; the results must not change.
+the results must not change.
 """
 
 import duckdb
@@ -15,8 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
-    "spark.freshet.groupRows": "30",
-    "spark.freshet.sliceRows": "100",
 }
 
 
