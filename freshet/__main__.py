@@ -1,4 +1,4 @@
-"""Run the whole study: ``python -m freshet DATA OUT [--basin] [--layout FILE]``.
+"""Run the whole study: ``python -m freshet DATA OUT [--basin] [--daily] [--layout FILE]``.
 
 Use ``spark-submit`` with this module's file to run it on a cluster; set
 ``spark.checkpoint.dir`` to a folder all executors share.
@@ -10,7 +10,7 @@ import argparse
 import json
 
 from freshet.plans import study as plans
-from freshet.session import build_session
+from freshet.session import build_session, release
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -18,6 +18,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("data", help="folder with the input files")
     parser.add_argument("out", help="folder for the result tables")
     parser.add_argument("--basin", action="store_true", help="run the single basin as well")
+    parser.add_argument("--daily", action="store_true", help="take the window demand from the daily file")
     parser.add_argument("--layout", help="JSON file: input name -> path under the data folder")
     args = parser.parse_args(argv)
 
@@ -27,7 +28,8 @@ def main(argv: list[str] | None = None) -> None:
             layout = json.load(f)
     spark = build_session("freshet-study")
     basin = plans.load_basin(spark, args.data, layout) if args.basin else None
-    plans.write_results(plans.load(spark, args.data, layout), args.out, basin)
+    plans.write_results(plans.load(spark, args.data, layout, daily=args.daily), args.out, basin)
+    release(spark)
 
 
 if __name__ == "__main__":

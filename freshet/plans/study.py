@@ -9,7 +9,7 @@ inputs from a folder, :func:`write_results` writes every result.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,7 +131,7 @@ def compared(rows: DataFrame, baseline: DataFrame, prices: DataFrame, keys: list
 # --- the study -------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Inputs:
-    """Input tables as the readers return them; the optional ones may be missing."""
+    """Input tables as the readers return them."""
 
     baseline: DataFrame
     scenarios: DataFrame
@@ -553,8 +553,12 @@ class Basin:
 
 
 # --- files ---------------------------------------------------------------------------------
-def load(spark: SparkSession, data: str, layout: Mapping[str, str] | None = None) -> Study:
-    """Read the study's inputs from ``data``; ``layout`` overrides file paths."""
+def load(spark: SparkSession, data: str, layout: Mapping[str, str] | None = None, *,
+         daily: bool = False) -> Study:
+    """Read the study's inputs from ``data``; ``layout`` overrides file paths.
+
+    daily   take the window demand from the daily file rather than from a ready table
+    """
     path = {n: f"{data.rstrip('/')}/{p}" for n, p in {**LAYOUT, **(layout or {})}.items()}
     efficiency = readers.read_table(spark, path["efficiency"], tables.IRRIGATION_EFFICIENCY)
     moisture = readers.read_table(spark, path["moisture"], tables.MOISTURE)
@@ -566,10 +570,10 @@ def load(spark: SparkSession, data: str, layout: Mapping[str, str] | None = None
         [readers.read_wide_rules(spark, p) for p in readers.matching_files(spark, path["rules"])],
         tables.RULE_IDS, readers.read_calendar(spark, path["calendar"]),
         readers.read_rule_gauges(spark, path["rule_gauges"]))
-    return Study(Inputs(
+    inputs = Inputs(
         baseline=readers.read_baseline(spark, path["baseline"]),
         scenarios=readers.read_scenarios(spark, path["scenarios"]),
-        window_demand=readers.read_table(spark, path["window_demand"], tables.WINDOW_DEMAND),
+        window_demand=None if daily else readers.read_table(spark, path["window_demand"], tables.WINDOW_DEMAND),
         grids=readers.read_crop_grids(spark, path["grids"], efficiency, moisture),
         prices=readers.read_table(spark, path["prices"], tables.PRICE),
         water_rights=readers.read_water_rights(spark, path["water_rights"]),
@@ -578,7 +582,12 @@ def load(spark: SparkSession, data: str, layout: Mapping[str, str] | None = None
         bridge=reduce(DataFrame.unionByName, bridges),
         gauges=readers.read_gauges(spark, path["gauges"]),
         rules=rules,
-        discharge=readers.read_discharge(spark, path["discharge"])))
+        discharge=readers.read_discharge(spark, path["discharge"]))
+    if daily:
+        events = readers.read_daily_baseline(spark, path["daily"], inputs.grids)
+        demand = window_demand(events, Study(inputs).baseline, readers.read_windows(spark, path["windows"]))
+        inputs = replace(inputs, window_demand=stage(demand, "demand"))
+    return Study(inputs)
 
 
 def load_basin(spark: SparkSession, data: str, layout: Mapping[str, str] | None = None) -> Basin:
@@ -595,15 +604,14 @@ def load_basin(spark: SparkSession, data: str, layout: Mapping[str, str] | None
 def load_window_demand(spark: SparkSession, data: str,
                        layout: Mapping[str, str] | None = None) -> DataFrame:
     """Window demand from the daily file, for inputs that include one."""
-    path = {n: f"{data.rstrip('/')}/{p}" for n, p in {**LAYOUT, **(layout or {})}.items()}
-    study = load(spark, data, layout)
-    daily = readers.read_daily_baseline(spark, path["daily"], study.inputs.grids)
-    return window_demand(daily, study.baseline, readers.read_windows(spark, path["windows"]))
+    return load(spark, data, layout, daily=True).inputs.window_demand
 
 
 def write_results(study: Study, out: str, basin: Basin | None = None) -> None:
     """Every result as Parquet; the years matrix as CSV as well."""
     results = {
+        "window_demand": study.inputs.window_demand,
+        "station_bridge": study.inputs.bridge,
         "impact": study.impact,
         "panel_medians": study.panel_medians(),
         "panel_cost_medians": study.panel_medians("Cost_acre"),
@@ -626,7 +634,7 @@ def write_results(study: Study, out: str, basin: Basin | None = None) -> None:
         "met_years": study.met_years,
     }
     if basin is not None:
-        results |= {"basin_supply_curve": basin.supply_curve, "basin_barter": basin.barter()}
+        results |= {"basin_impact": basin.impact, "basin_supply_curve": basin.supply_curve, "basin_barter": basin.barter()}
     for name, df in results.items():
         renamed = df.toDF(*[c.replace(" ", "_") for c in df.columns])
         renamed.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}")

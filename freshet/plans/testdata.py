@@ -726,9 +726,8 @@ def crop_acres(spark, sf_dir) -> DataFrame:
     """Mean area per site over the years, summed per station and display group."""
     season = seasonal(cropped(spark, sf_dir)).where(F.col("simulation") == SCENARIOS[0])
     group = F.create_map(*[F.lit(x) for pair in GROUPS.items() for x in pair])
-    per_site = (season.groupBy("site", "crop").agg(F.avg("Acres").alias("Acres"))
-                .withColumn("group1", group[F.col("crop")])
-                .groupBy("site", "group1").agg(sem.sum_or_zero("Acres").alias("Acres")))
+    per_site = apportion.two_level_mean_sum(season.withColumn("group1", group[F.col("crop")]),
+                                            ["site", "group1", "crop"], ["site", "group1"], "Acres", "Acres")
     return (per_site.join(bridge(spark, sf_dir), "site")
             .groupBy("station", "group1").agg(F.sum("Acres").alias("Acres")))
 

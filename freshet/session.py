@@ -65,3 +65,9 @@ def shared_dir(spark: SparkSession) -> str:
             _fallback_dirs[app] = tempfile.mkdtemp(prefix="freshet-")
         named = _fallback_dirs[app]
     return f"{named.rstrip('/')}/freshet-{app}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the written tables of this application, once nobody reads its results any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

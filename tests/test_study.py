@@ -350,3 +350,11 @@ def test_distinct_and_comparison_share_a_shuffle(spark, study):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     top = text[:text.index("Union")]
     assert top.count("Exchange") == 1 and "REPARTITION_BY_COL" in top
+
+
+def test_demand_from_the_daily_file(spark, root):
+    """The command line's --daily: the same table as computed on its own."""
+    study = plans.load(spark, str(root), daily=True)
+    assert study.inputs.window_demand.count() > 0
+    ready = plans.load(spark, str(root)).inputs.window_demand
+    assert set(ready.columns) <= set(study.inputs.window_demand.columns)
