@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,6 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from ..operators.running import stage
 from ..session import tune
 
-__all__ = ["BATCH_ROWS", "crc32", "documents", "hash_words", "map_texts", "mix", "stage", "words"]
-
 #: rows of an Arrow batch; texts can be long, so far fewer than Spark's default
 BATCH_ROWS = 1000
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -47,12 +45,16 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(parsed)
 
 
-def map_texts(df: DataFrame, fn: Callable[..., list | Iterator[list]], schema: str) -> DataFrame:
-    """Run ``fn(*columns as Python lists) -> output columns`` over every Arrow batch of ``df``."""
+def map_texts(df: DataFrame, fn: Callable[..., list], schema: str, memory: tuple[str, ...] = ("words",)) -> DataFrame:
+    """Run ``fn(*columns as Python lists) -> output columns`` over every Arrow batch of ``df``.
+
+    memory   names of what ``fn`` remembers between batches and tasks
+    """
     small_batches(df.sparkSession)
     out = arrow_schema(schema)
 
     def run(batches):
+        only(*memory)
         for batch in batches:
             if batch.num_rows:
                 yield arrow_batch(out, fn(*(c.to_pylist() for c in batch.columns)))
@@ -100,11 +102,40 @@ class _Words(dict):
 _words = _Words()
 
 
+#: what a worker remembers, by name: functions that forget it
+_forget: dict[str, Callable[[], None]] = {"words": _words.clear}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    _forget[name] = forget
+
+
+def only(*names: str) -> None:
+    """Forget what other operators left in this worker: workers serve many stages, one after the other."""
+    for name, forget in _forget.items():
+        if name not in names:
+            forget()
+
+
 def hash_words(tokens: list[bytes]) -> np.ndarray:
     """64-bit hashes of the words, in order."""
     return np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, so that high bytes of zero cost nothing once compressed."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def deltas(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
 def shingles(tokens: list[bytes], width: int) -> np.ndarray:
     """Distinct hashes of the runs of ``width`` words, ascending; fewer words make one run.
 

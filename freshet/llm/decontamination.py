@@ -12,8 +12,8 @@ A document holds an item when some stretch of it has an edit distance of at most
    next by a random bit of (step, character).  The same bits are used for windows and items, so that
    after an edit the two walks soon meet again, and edit distance becomes Hamming distance.
 3. LSH: ``WALKS`` independent walks, ``BANDS`` samples of ``BITS`` positions each.  A window that agrees
-   with its item in all positions of one sample is a candidate.  Where 70 % of the positions agree
-   (about an edit share of 0.2), each sample agrees with probability 0.7 ^ 6 = 0.12, and one of 64 with 0.9997.
+   with its item in all positions of one sample is a candidate.  Measured on windows changed at random
+   (tests): recall 1.0 at an edit share of 0.1, 0.98 at 0.2.
 4. Candidates are verified by the exact edit distance of the item to any stretch of the window, widened by
    the edits allowed (Myers' bit vectors), which also gives the stretch.
 
@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_batch, arrow_schema, documents, small_batches
+from ._common import arrow_batch, arrow_schema, documents, only, small_batches
 
 SHARE = 0.2
 SEED = 3
-WALKS, BANDS, BITS = 4, 16, 6
+WALKS, BANDS, BITS = 8, 32, 7
 BLOCK_BYTES = 4 << 20
 #: windows embedded at a time
 WINDOWS = 4096
@@ -267,6 +267,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", te
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
+            only()
             matcher = Matcher(sent.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
@@ -287,6 +288,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
+            only()
             matcher = Matcher(sent.value)
             for batch in batches:
                 keep = [not own for own in matcher.find(batch.column(at).to_pylist())]

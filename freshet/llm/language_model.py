@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from ._common import arrow_batch, arrow_schema, crc_of_id, documents, hash_words, mix, small_batches, stage, words
+from ._common import arrow_batch, arrow_schema, crc_of_id, deltas, documents, hash_words, mix, only, packed, small_batches, stage, unpacked, words
 
 BLOCK_TOKENS = 500_000
 #: entries of a cell, roughly
@@ -70,6 +70,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     schema = arrow_schema(BLOCK_DDL)
 
     def run(batches):
+        only("words")
         number = TaskContext.get().partitionId() << 32
         ids, held, hashed, size = [], [], [], 0
         for batch in batches:
@@ -121,20 +122,6 @@ class Grams:
         return np.append(np.searchsorted(self.keys, bounds), len(self.keys))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers byte plane by byte plane, so that high bytes of zero cost nothing once compressed."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-
-
-def _unpacked(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
-
-
-def _deltas(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
-
-
 # --- counting -------------------------------------------------------------------
 ASK_DDL = "cell int, block long, keys binary, counts binary, unigram binary"
 ANSWER_DDL = "block long, cell int, at binary, counts binary, distinct long"
@@ -148,7 +135,7 @@ def _asked(blocks: DataFrame, cells: int) -> DataFrame:
             for row in batch.to_pylist():
                 g = Grams(row)
                 bounds = g.cells(cells)
-                out = [(c, row["block"], _packed(_deltas(g.keys[a:b])), _packed(g.counts[a:b]),
+                out = [(c, row["block"], packed(deltas(g.keys[a:b])), packed(g.counts[a:b]),
                         np.packbits(g.unigram[a:b]).tobytes())
                        for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
                 yield arrow_batch(schema, list(map(list, zip(*out))))
@@ -159,8 +146,8 @@ def _asked(blocks: DataFrame, cells: int) -> DataFrame:
 def _answer(table: pa.Table) -> pa.Table:
     """Add a cell's counts up; tell each block what it does not know, and the number of distinct tokens."""
     blocks = table.column("block").to_pylist()
-    keys = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    counts = [_unpacked(c, np.uint32) for c in table.column("counts").to_pylist()]
+    keys = [np.cumsum(unpacked(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+    counts = [unpacked(c, np.uint32) for c in table.column("counts").to_pylist()]
     unigram = np.concatenate([np.unpackbits(np.frombuffer(u, np.uint8), count=len(k)).astype(bool)
                               for u, k in zip(table.column("unigram").to_pylist(), keys)])
     joined = np.concatenate(keys)
@@ -178,7 +165,7 @@ def _answer(table: pa.Table) -> pa.Table:
         mine = sums[at:at + len(own)].astype(np.int64)
         at += len(own)
         other = np.flatnonzero(mine != own)
-        out.append((block, cell, _packed(_deltas(other.astype(np.uint32))), _packed(mine[other].astype(np.uint64)), 0))
+        out.append((block, cell, packed(deltas(other.astype(np.uint32))), packed(mine[other].astype(np.uint64)), 0))
     out[0] = (*out[0][:4], distinct)
     schema = arrow_schema_answer
     return pa.Table.from_batches([arrow_batch(schema, list(map(list, zip(*out))))], schema=schema)
@@ -224,8 +211,8 @@ def _scored(row: dict, answers: list[dict], cells: int, n_train: int, distinct:
     counts = g.counts.astype(np.int64)
     bounds = g.cells(cells)
     for a in answers:
-        at = np.cumsum(_unpacked(a["at"], np.uint32), dtype=np.int64)
-        counts[bounds[a["cell"]] + at] = _unpacked(a["counts"], np.uint64).astype(np.int64)
+        at = np.cumsum(unpacked(a["at"], np.uint32), dtype=np.int64)
+        counts[bounds[a["cell"]] + at] = unpacked(a["counts"], np.uint64).astype(np.int64)
     by_gram = np.empty_like(counts)
     by_gram[g.order] = counts
     n = len(g.hashes)

@@ -18,6 +18,8 @@ import re
 
 import numpy as np
 
+from ._common import only, remembers
+
 #: parts remembered in each of two generations; longer parts are never kept
 KEPT, LONGEST = 500_000, 48
 #: what some library may count as white space and Python does not
@@ -31,11 +33,14 @@ HEAD = "\0"
 _MARKS = frozenset(".,;:!?")
 
 _encoders: dict[str, "PieceEncoder"] = {}
+remembers("pieces", _encoders.clear)
 
 
 def encoder(path: str) -> "PieceEncoder":
-    """The worker's encoder for a tokenizer file."""
+    """The worker's encoder for a tokenizer file; one is kept."""
+    only("pieces")
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 

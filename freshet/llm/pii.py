@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, map_texts, small_batches
+from ._common import documents, map_texts, only, small_batches
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "iban", "national"]
@@ -147,7 +147,7 @@ def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     return map_texts(rows, lambda ids, texts: [ids, [spans(t) for t in texts]],
-                     f"doc_id {kind}, spans {SPANS}").withColumnRenamed("doc_id", id_column)
+                     f"doc_id {kind}, spans {SPANS}", ()).withColumnRenamed("doc_id", id_column)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -156,6 +156,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        only()
         for b in batches:
             clean = pa.array([redacted(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(

@@ -104,7 +104,8 @@ def attribute(docs: DataFrame, tokenizer: str, *, sections: str | None = None, r
         return [ids, totals, outside, out]
 
     kind = dict(rows.dtypes)["doc_id"]
-    return map_texts(rows, fn, f"doc_id {kind}, doc_tokens long, outside_tokens long, sections {OUT}") \
+    return map_texts(rows, fn, f"doc_id {kind}, doc_tokens long, outside_tokens long, sections {OUT}",
+                     ("pieces",)) \
         .withColumnRenamed("doc_id", id_column)
 
 

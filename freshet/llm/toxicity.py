@@ -34,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_batch, arrow_schema, crc_of_id, documents, map_texts, small_batches, words
+from ._common import arrow_batch, arrow_schema, crc_of_id, documents, map_texts, only, remembers, small_batches, words
 
-MAX_TOXIC, MAX_UNLABELLED = 3_000, 5_000
+MAX_TOXIC, MAX_UNLABELLED = 2_500, 3_500
 #: documents that a feature must come from
 LEAST = 3
 FOLDS = 5
 STARTS = (4, 5, 6)
 #: words a worker remembers
-KEPT = 400_000
+KEPT = 150_000
 TOP = 3
 #: gradients below this share of the largest are not brought up to its step length
 DAMPED = 0.3
@@ -50,6 +50,7 @@ DAMPED = 0.3
 
 # --- features -------------------------------------------------------------------
 _memory: dict[bytes, tuple[int, ...]] = {}
+remembers("toxicity", _memory.clear)
 
 
 def _features(word: bytes) -> tuple[int, ...]:
@@ -77,7 +78,7 @@ def _table(texts: list[str | None]):
         for w in dict.fromkeys(words(text)):
             words_at.append(len(features))
             features.extend(_features(w))
-    return np.array(features, np.uint64), np.array(words_at, np.int64), np.array(docs_at, np.int64)
+    return np.frombuffer(features, np.uint64), np.frombuffer(words_at, np.int64), np.array(docs_at, np.int64)
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -90,7 +91,8 @@ def _places(keys: np.ndarray, features: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(features), np.int64)
     at = np.minimum(np.searchsorted(keys, features), len(keys) - 1)
-    return np.where(keys[at] == features, at, len(keys))
+    at[keys[at] != features] = len(keys)
+    return at
 
 
 def pooled(keys: np.ndarray, weights: np.ndarray, table) -> np.ndarray:
@@ -149,16 +151,19 @@ def train(texts: list[str | None], toxic: np.ndarray, prior: float) -> tuple:
     per_word = np.diff(np.append(words_at, len(features)))
     doc = np.repeat(np.repeat(np.arange(len(texts), dtype=np.int32), counts), per_word)
     # features of one or two documents teach nothing that carries over
-    order = np.lexsort((doc, features))
-    new = np.ones(len(order), bool)
-    new[1:] = (features[order[1:]] != features[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
-    keys, documents_of = np.unique(features[order[new]], return_counts=True)
-    keys = keys[documents_of >= LEAST]
-    del order, new
+    bounds = np.append(words_at, len(features))[np.append(docs_at, len(words_at))]
+    own = [np.unique(features[a:b]) for a, b in zip(bounds, bounds[1:])]
+    joined = np.concatenate(own)
+    del own
+    joined.sort()
+    first = np.flatnonzero(np.concatenate([[True], joined[1:] != joined[:-1]]))
+    keys = joined[first[np.diff(np.append(first, len(joined))) >= LEAST]]
+    del joined, first
     at = _places(keys, features)
     keep = at < len(keys)
-    cols, rows = at[keep], doc[keep]
-    values = (1 / np.sqrt(np.maximum(counts, 1)))[rows]
+    cols, rows = at[keep].astype(np.int32), doc[keep]
+    del at, keep, doc
+    values = (1 / np.sqrt(np.maximum(counts, 1))).astype(np.float32)[rows]
     size = len(keys)
 
     def words_gradient(w):
@@ -206,6 +211,7 @@ def classifier(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
     schema = arrow_schema("keys binary, weights binary, top binary")
 
     def fit(table):
+        only("toxicity")
         table = table.sort_by([("_id", "ascending"), ("_p", "ascending")])
         toxic = np.array(table.column("_p").to_pylist(), bool)
         model = train(table.column("_text").to_pylist(), toxic, prior)
@@ -227,7 +233,7 @@ def score(docs: DataFrame, model: tuple | None, *, id_column: str = "doc_id", te
         return [ids, p.tolist(), (p >= 0.5).astype(int).tolist()]
 
     kind = dict(rows.dtypes)["doc_id"]
-    return map_texts(rows, fn, f"doc_id {kind}, score double, predicted int") \
+    return map_texts(rows, fn, f"doc_id {kind}, score double, predicted int", ("toxicity",)) \
         .withColumnRenamed("doc_id", id_column)
 
 
@@ -238,6 +244,7 @@ def keep_clean(docs: DataFrame, model: tuple | None, text: str = "text") -> Data
     at = docs.columns.index(text)
 
     def run(batches):
+        only("toxicity")
         for batch in batches:
             if sent.value is not None and batch.num_rows:
                 batch = batch.filter(pa.array(logits(sent.value, batch.column(at).to_pylist()) < 0))
