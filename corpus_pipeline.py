@@ -44,12 +44,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         .join(ranked, "component_id") \
         .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"),
                 (F.struct("doc_id", "mark") == F.col("first")).alias("_stays"))
-    marked = docs.withColumn("_body", body).join(
-        stays, (F.col("doc_id") == F.col("_id")) & (F.col("_body") == F.col("_mark")), "left")
+    # as a struct, so that no name of the documents meets one of these
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), body.alias("_body"))
+    marked = rows.join(stays, (F.col("_doc") == F.col("_id")) & (F.col("_body") == F.col("_mark")), "left")
     # the join has brought rows alike in id and text together
-    again = F.row_number().over(Window.partitionBy("doc_id", "_body").orderBy("_id"))
+    again = F.row_number().over(Window.partitionBy("_doc", "_body").orderBy("_id"))
     return marked.withColumn("_again", again) \
-        .where("_stays is null or _stays and _again = 1").select(*docs.columns)
+        .where("_stays is null or _stays and _again = 1").select("_row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_batch, arrow_schema, documents, map_texts, shingles, small_batches, words
+from ._common import arrow_batch, arrow_schema, documents, map_texts, only, shingles, small_batches, words
 
 ENTRIES, WIDTH, BANDS = 128, 5, 32
 #: shingles hashed at a time
@@ -92,7 +92,8 @@ def near_duplicates(docs: DataFrame, threshold: str | float = "0.8", id_column:
 
         return np.array([xxhash.xxh3_64_intdigest(b.tobytes(), seed=i) for i, b in enumerate(sig)], np.uint64)
 
-    return cluster(docs, width=WIDTH, threshold=threshold, id_column=id_column, text=text, keys=bands)
+    return cluster(docs, width=WIDTH, threshold=threshold, id_column=id_column, text=text, keys=bands,
+                   keys_per_set=BANDS)
 
 
 def with_edited(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,6 +133,7 @@ def with_edited(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     schema = arrow_schema(out_ddl)
 
     def compare(batches):
+        only("words")
         waiting = None  # (part, id, text, signature) of a row whose next has not come yet
         done: list[tuple] = []
         for batch in batches:
