@@ -5,11 +5,11 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
+from freshet.plans import testdata
 from freshet.operators import apportion, flow, windows
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
+QUERIES = testdata.registered()
 
 
 def plan(df) -> str:

@@ -3,10 +3,10 @@
 import pandas as pd
 import pytest
 
-import __spark_entry__ as entry_points
+from freshet.plans import testdata
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
+QUERIES = testdata.registered()
 
 
 def frame(spark, name) -> pd.DataFrame:
