@@ -8,7 +8,11 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
    counters may be shared; its size is fixed, and it is all that is broadcast.
 3. Sets of n shingles that link share one of the first n - ceil(threshold * n) + 1 of each.  Classes that meet
    on such a shingle are candidates; the components of "meets" are the cells.  Every link lies within a
-   cell, and a class belongs to one cell at most, so its set is sent once.
+   cell, and a class belongs to one cell at most, so its set is sent once.  Of those that share a
+   shingle only neighbours by size meet, and only where their sizes allow a link: runs of sizes
+   in which each is at least the threshold's share of the next.  A task joins its own classes to runs and
+   sends one class and the range of sizes for each, packed in sorted arrays by ranges of the hash, so
+   that a hot shingle is a few entries per task.
 4. A cell's sets are stored in a trie in global order, frequent shingles first so that copies share their
    paths.  Each set walks the trie once: the overlap with a path is carried down to all sets
    below it, and a subtree is left as soon as what remains of the set and of the subtree's
@@ -34,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._clusters import components
-from ._common import arrow_batch, arrow_schema, documents, map_texts, shingles, small_batches, stage, words
+from ._common import arrow_batch, arrow_schema, deltas, documents, map_texts, only, packed, shingles, small_batches, stage, unpacked, words
 
-SLOT_BITS, CHUNK_BITS, FAN_IN = 20, 16, 64
+SLOT_BITS, CHUNK_BITS, FAN_IN = 22, 18, 64
 BLOCK = 600
-#: bytes of sets of a task, roughly
-TASK_BYTES = 8 << 20
+#: keys that a task gathers before it sends them, and keys of a range, roughly
+HELD_KEYS, RANGE_KEYS = 1_500_000, 2_000_000
 
 
 # --- passes over the texts ------------------------------------------------------
@@ -49,6 +53,7 @@ def _profile(rows: DataFrame, width: int) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batches):
+        only("words")
         import xxhash
 
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
@@ -198,12 +203,94 @@ def _root(parent: list[int], i: int) -> int:
 
 
 # --- on Spark -------------------------------------------------------------------
-def _cells(meets: DataFrame) -> DataFrame:
-    """(rep, cell) for classes that meet another; meets: (rep, key)."""
-    hubs = meets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")) \
-        .where("hub <> _last").select("key", "hub")
-    edges = meets.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    return components(edges.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
+SENT_DDL = "range int, keys binary, owner binary, low binary, more binary, nodes binary, ties binary"
+
+
+def _runs(keys: np.ndarray, nodes: np.ndarray, low: np.ndarray, high: np.ndarray, num: int, den: int):
+    """Join what shares a key in runs of sizes that can link: (first of each run, its largest size, ties).
+
+    Entries are ranges of sizes; the ties name entries that are in one run.
+    """
+    order = np.lexsort((nodes, low, keys))
+    keys, low, high = keys[order], low[order], high[order]
+    same = keys[1:] == keys[:-1]
+    # largest size so far within the key: sizes stay below 2^40
+    group = np.concatenate([[0], np.cumsum(~same)])
+    reach = np.maximum.accumulate(high + (group << 40)) - (group << 40)
+    new = np.ones(len(keys), bool)
+    new[1:] = ~same | (reach[:-1] * den < low[1:] * num)
+    run = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(keys)) - 1
+    return order[first], reach[last], np.stack([order[~new], order[first[run[~new]]]], 1)
+
+
+def _sent(keys: np.ndarray, owner: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, ranges: int,
+          num: int, den: int) -> list[tuple]:
+    """Rows of one task: runs of its nodes by key, and ties of the nodes in them."""
+    own = sizes[owner]
+    first, most, tied = _runs(keys, nodes[owner], own, own, num, den)
+    ties = np.unique(np.stack([nodes[owner[tied[:, 0]]], nodes[owner[tied[:, 1]]]], 1), axis=0)
+    keys, owner, low = keys[first], owner[first], own[first]
+    width = (1 << 64) // ranges + 1
+    bounds = np.append(np.searchsorted(keys, np.array(
+        [min(i * width, (1 << 64) - 1) for i in range(ranges)], np.uint64)), len(keys))
+    out = []
+    for r, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        if b > a:
+            there, at = np.unique(owner[a:b], return_inverse=True)
+            out.append((r, packed(deltas(keys[a:b])), packed(at.astype(np.uint32)), packed(low[a:b].astype(np.uint32)),
+                        packed((most[a:b] - low[a:b]).astype(np.uint32)), nodes[there].tobytes(), None))
+    if len(ties):
+        out.append((int(ties[0, 0] % np.uint64(ranges)), *[None] * 5, ties.tobytes()))
+    return out
+
+
+def _met(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Ties of the nodes that meet on a key of this range, and those that the tasks found."""
+    ties, keys, nodes, low, high = [np.empty((0, 2), np.uint64)], [], [], [], []
+    for row in table.to_pylist():
+        if row["ties"] is not None:
+            ties.append(np.frombuffer(row["ties"], np.uint64).reshape(-1, 2))
+        else:
+            keys.append(np.cumsum(unpacked(row["keys"], np.uint64), dtype=np.uint64))
+            nodes.append(np.frombuffer(row["nodes"], np.uint64)[unpacked(row["owner"], np.uint32)])
+            low.append(unpacked(row["low"], np.uint32).astype(np.int64))
+            high.append(low[-1] + unpacked(row["more"], np.uint32))
+    if keys:
+        node = np.concatenate(nodes)
+        tied = _runs(np.concatenate(keys), node, np.concatenate(low), np.concatenate(high), num, den)[2]
+        ties.append(np.stack([node[tied[:, 0]], node[tied[:, 1]]], 1))
+    found = np.unique(np.concatenate(ties), axis=0).view(np.int64)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def _cells(rows: DataFrame, firsts, ranges: int, num: int, den: int) -> DataFrame:
+    """(node, cell) of the nodes that meet another; ``firsts`` gives (keys of all texts, counts, nodes, sizes)."""
+    schema = arrow_schema(SENT_DDL)
+
+    def run(batches):
+        only("words")
+        held, owners, nodes, sizes, size = [], [], [], [], 0
+        for batch in batches:
+            keys, counts, own, n = firsts(batch.column(1).to_pylist())
+            sizes.append(n)
+            owners.append(np.repeat(np.arange(len(own)) + sum(map(len, nodes)), counts))
+            held.append(keys)
+            nodes.append(own)
+            size += len(keys)
+            if size > HELD_KEYS:
+                yield from sent(held, owners, nodes, sizes)
+                held, owners, nodes, sizes, size = [], [], [], [], 0
+        if size:
+            yield from sent(held, owners, nodes, sizes)
+
+    def sent(*parts):
+        for row in _sent(*map(np.concatenate, parts), ranges, num, den):
+            yield arrow_batch(schema, [[v] for v in row])
+
+    ties = rows.mapInArrow(run, SENT_DDL).groupBy("range").applyInArrow(lambda t: _met(t, num, den), "a long, b long")
+    return components(ties).select("node", F.col("component").alias("cell"))
 
 
 def _blocks(members: DataFrame, limit: float) -> DataFrame:
@@ -246,16 +333,18 @@ def _blocks(members: DataFrame, limit: float) -> DataFrame:
 
 
 def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: str = "doc_id",
-            text: str = "text", keys=None, mark=None) -> DataFrame:
+            text: str = "text", keys=None, keys_per_set: int = 0, mark=None) -> DataFrame:
     """(doc_id, n_shingles, class_id, n_links, component_id) of every row of ``docs``.
 
     class_id   least id with the same set; n_links: rows that link with this one, copies included
     keys       (set, text) -> 64-bit keys on which sets that link meet; None takes the prefixes
+    keys_per_set  how many these are
     mark       an expression over ``docs`` (a long) to carry along as column ``mark``
     """
     small_batches(docs.sparkSession)
     limit = Fraction(str(threshold))
-    num, both = limit.numerator, limit.numerator + limit.denominator
+    num, den = limit.numerator, limit.denominator
+    both = num + den
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"),
                        (F.lit(None) if mark is None else mark).cast("long").alias("mark"))
     profile = stage(_profile(rows, width), "profile")
@@ -267,27 +356,28 @@ def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: s
     classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     rarity = None if keys else docs.sparkSession.sparkContext.broadcast(_rarity(profile))
 
-    def firsts(ids, texts):
+    def firsts(texts):
         import xxhash
 
-        met, digests = [], []
+        met, nodes, sizes = [], [], []
         for t in texts:
             own = shingles(words(t), width)
-            digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+            nodes.append(int.from_bytes(xxhash.xxh3_128_digest(own.tobytes())[:8], "big"))
             n = len(own)
+            sizes.append(n)
             if n and keys:
                 own = keys(own, t)
             elif n:
                 own = _rarest_first(own, rarity.value)[:n - -(-n * num // (both - num)) + 1]
-            met.append(own.view(np.int64))
-        flat = pa.array(np.concatenate(met), pa.int64())
-        at = pa.array(np.cumsum([0] + [len(k) for k in met]), pa.int32())
-        return [ids, digests, pa.ListArray.from_arrays(at, flat)]
-
-    prefixes = map_texts(rows, firsts, "doc_id long, digest binary, keys array<long>")
-    meets = prefixes.join(classes.select("digest", "rep", F.col("least").alias("doc_id")), ["digest", "doc_id"]) \
-        .select("rep", F.explode("keys").alias("key"))
-    members = stage(_cells(meets).join(classes, "rep"), "members")
+            met.append(own)
+        return np.concatenate(met), [len(k) for k in met], np.array(nodes, np.uint64), np.array(sizes, np.int64)
+
+    per_set = F.lit(keys_per_set) if keys else F.col("n") - F.ceil(F.col("n") * num / (both - num)) + 1
+    total = sized.where("n > 0").agg(F.sum(per_set)).first()[0] or 0
+    # classes that share the first half of a digest are one node: that can only widen a cell
+    node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
+    cells = _cells(rows, firsts, max(16, -(-int(total) // RANGE_KEYS)), num, den)
+    members = stage(classes.withColumn("node", node).join(cells, "node"), "members")
     linked = _linked(rows, members, width, num, both)
     top = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = linked.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -308,24 +398,27 @@ def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: s
 
 def _linked(rows: DataFrame, members: DataFrame, width: int, num: int, both: int) -> DataFrame:
     """(rep, links, root) from every task a class takes part in."""
-    wanted = members.select(F.col("least").alias("doc_id"), "rep", F.col("digest").alias("want"))
-    texts = rows.join(wanted, "doc_id").select("rep", "text", "want")
-
-    def sets(ids, bodies, want):
-        import xxhash
-
-        out = [shingles(words(t), width).tobytes() for t in bodies]
-        # of an id's texts only the class's own counts
-        return [ids, [s if xxhash.xxh3_128_digest(s) == w else None for s, w in zip(out, want)]]
-
-    own = map_texts(texts, sets, "rep long, shingles binary").where("shingles is not null").dropDuplicates(["rep"])
+    tasks = _blocks(members.select("rep", "cell", "copies", "n"), num / (both - num)) \
+        .groupBy("rep").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
+    wanted = members.join(tasks, "rep").select(F.col("least").alias("doc_id"), "rep", "copies", "digest", "tasks")
+    # texts are half the size of their sets; those of one id that are not the class's own are told by the digest
+    sent = rows.join(wanted, "doc_id").select("rep", "copies", "digest", "text", F.explode("tasks").alias("t")) \
+        .select("rep", "copies", "digest", "text", "t.side", "t.task")
     ddl = "rep long, links long, root long"
     schema = arrow_schema(ddl)
 
     def join(table):
-        reps, sides = table.column("rep").to_pylist(), table.column("side").to_pylist()
-        copies = table.column("copies").to_pylist()
-        found = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
+        import xxhash
+
+        only("words")
+        reps, sides, copies, found = [], [], [], []
+        for row in table.to_pylist():
+            own = shingles(words(row["text"]), width)
+            if row["rep"] not in reps[-1:] and xxhash.xxh3_128_digest(own.tobytes()) == row["digest"]:
+                reps.append(row["rep"])
+                sides.append(row["side"])
+                copies.append(row["copies"])
+                found.append(own)
         parent, total = list(range(len(reps))), [0] * len(reps)
         for i, others in links(found, num, both):
             for j in others:
@@ -336,8 +429,7 @@ def _linked(rows: DataFrame, members: DataFrame, width: int, num: int, both: int
         roots = [reps[_root(parent, i)] for i in range(len(reps))]
         return pa.Table.from_batches([arrow_batch(schema, [reps, total, roots])], schema=schema)
 
-    tasks = _blocks(members.select("rep", "cell", "copies", "n"), num / (both - num))
-    return stage(tasks.join(own, "rep").groupBy("task").applyInArrow(join, ddl), "linked")
+    return stage(sent.groupBy("task").applyInArrow(lambda t: join(t.sort_by("rep")), ddl), "linked")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
