@@ -4,16 +4,17 @@ Texts and items are compared as their words (letters and digits) in lower case w
 A document holds an item when some stretch of it has an edit distance of at most
 ``SHARE`` of the item's length to the item.
 
-1. Windows: where a run of ``SEED`` words of an item stands in the document, an item-sized window is laid so
-   that the two runs lie upon each other.  (An item within the edit share whose every run of three words is
-   broken would be missed; nothing else is lost here.  Windows at all other places are far
-   from the item by their words already.)
+1. Windows: every item is cut into pieces of ``PIECE`` characters, which are looked for with up to one edit.
+   So many edits as are allowed for the item leave some of its pieces whole or with one edit (an edit takes one
+   from twice the number of pieces), at places shifted against each other by no more than that number.  Where so
+   many pieces stand in a document within such a shift, item-sized windows are laid, one by each piece.  Items
+   too short for it are cut finer, into pieces looked for as they are.  This loses nothing: no item within the
+   edit share goes without a window.
 2. The CGK walk reads a window from left to right, repeating the present character or going on to the
    next by a random bit of (step, character).  The same bits are used for windows and items, so that
    after an edit the two walks soon meet again, and edit distance becomes Hamming distance.
 3. LSH: ``WALKS`` independent walks, ``BANDS`` samples of ``BITS`` positions each.  A window that agrees
-   with its item in all positions of one sample is a candidate.  Measured on windows changed at random
-   (tests): recall 1.0 at an edit share of 0.1, 0.98 at 0.2.
+   with its item in all positions of one sample is a candidate.
 4. Candidates are verified by the exact edit distance of the item to any stretch of the window, widened by
    the edits allowed (Myers' bit vectors), which also gives the stretch.
 
@@ -28,6 +29,7 @@ in one document the nearest counts.  Items alike are found each.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,16 @@ from pyspark.sql import functions as F
 from ._common import arrow_batch, arrow_schema, documents, only, small_batches
 
 SHARE = 0.2
-SEED = 3
+#: characters of a piece, what a 64-bit word holds
+PIECE = 8
 WALKS, BANDS, BITS = 8, 32, 7
 BLOCK_BYTES = 4 << 20
 #: windows embedded at a time
 WINDOWS = 4096
+#: characters of documents counted at a time, and items
+CHUNK, GROUP = 1 << 17, 1024
+#: bits of a piece's hash
+SLOTS = 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -51,6 +58,160 @@ def _codes(text: str) -> np.ndarray:
     return (points % 255 + 1).astype(np.uint8)
 
 
+@cache
+def _lower() -> np.ndarray:
+    """Lower case of every letter and digit, 0 for all other characters."""
+    out = np.zeros(0x110000, np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalnum():
+            out[i] = ord(c.lower()[0])
+    return out
+
+
+def _body(text: str | None) -> np.ndarray:
+    """Code points of the words in lower case, with single spaces between."""
+    if not text:
+        return np.empty(0, np.uint32)
+    if "\u0130" in text or "\u03a3" in text:  # their lower case is two characters, or depends on the place
+        return np.frombuffer(" ".join(w.lower() for w in _WORD.findall(text)).encode("utf-32-le"), np.uint32)
+    points = _lower()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    inside = points != 0
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    points = points[keep]
+    points[points == 0] = 32
+    a = int(len(points) and points[0] == 32)
+    return points[a:len(points) - int(len(points) > a and points[-1] == 32)]
+
+
+def _text(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le")
+
+
+def _expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every one among ``count`` in a row: whose it is, and its number within."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _words64(codes: np.ndarray) -> np.ndarray:
+    """The eight characters from every place on, the first in the lowest byte; 0 behind the end."""
+    padded = np.zeros(len(codes) + 8, np.uint64)
+    padded[:len(codes)] = codes
+    out = padded[:len(codes) + 1].copy()
+    for k in range(1, 8):
+        out |= padded[k:k + len(codes) + 1] << np.uint64(8 * k)
+    return out
+
+
+#: the lowest bytes of a word, by their number
+_LOW = [np.uint64((1 << 8 * k) - 1) for k in range(9)]
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def _slots(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the lowest ``width`` bytes: the others leave the word when multiplied."""
+    factor = np.uint64((_FACTOR << 8 * (8 - width)) & (1 << 64) - 1)
+    return (words * factor) >> np.uint64(64 - SLOTS)
+
+
+class _Table:
+    """Pieces by the hash of some bytes."""
+
+    def __init__(self, words: np.ndarray, pieces: np.ndarray, width: int):
+        slots = _slots(words, width).astype(np.int64)
+        self.width, order = width, np.argsort(slots, kind="stable")
+        self.pieces = pieces[order]
+        self.count = np.bincount(slots, minlength=1 << SLOTS)
+        self.first = np.cumsum(self.count) - self.count
+        self.known = self.count > 0
+
+    def met(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, place) wherever a piece has the hash of the word."""
+        slots = _slots(words, self.width)
+        at = np.flatnonzero(self.known[slots])
+        slots = slots[at]
+        owner, inside = _expand(self.count[slots])
+        return self.pieces[self.first[slots][owner] + inside], at[owner]
+
+
+class _Pieces:
+    """Pieces of one width, of some items: (number, text, edits allowed).
+
+    near: pieces count twice as they are, once with an edit; otherwise once as they are
+    """
+
+    def __init__(self, width: int, near: bool, items: list[tuple]):
+        self.near = near
+        self.number = np.array([i for i, _, _ in items])
+        self.spare = np.array([k for _, _, k in items])
+        self.least = np.array([(1 + near) * (len(t) // width) - k for _, t, k in items])
+        self.reach = max(len(t) for _, t, _ in items) + width
+        item, before, words = [], [], []
+        for n, (_, t, _) in enumerate(items):
+            own = np.arange(len(t) // width) * width
+            item.append(np.full(len(own), n))
+            before.append(own)
+            words.append(_words64(_codes(t))[own])
+        self.item, self.before = np.concatenate(item), np.concatenate(before)
+        words, every = np.concatenate(words), np.arange(len(self.item))
+        self.whole = _Table(words, every, width)
+        if near:  # without one of their characters
+            less = [words & _LOW[i] | words >> np.uint64(8) & ~_LOW[i] for i in range(width)]
+            self.cut = _Table(np.concatenate(less), np.tile(every, width), width - 1)
+
+    def _met(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, place where its item would begin, how often it counts) of the pieces met."""
+        words = _words64(codes)
+        words, following = words[:-1], words[1:]
+        found = [(*self.whole.met(words), 1 + self.near)]
+        if self.near:
+            changes = words ^ following
+            for i in range(PIECE):  # without the i-th character: a piece longer by it, or changed in it
+                left = following ^ changes & _LOW[i]
+                found += [(*self.whole.met(left), 1), (*self.cut.met(left), 1)]
+        size = len(codes) + 1
+        key = np.concatenate([(piece * size + at) * 2 + 2 - often for piece, at, often in found])
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1])[:len(key)]]
+        piece, at = np.divmod(key >> 1, size)
+        often = 2 - (key & 1) if self.near else np.ones(len(key), np.int64)
+        return piece, at - self.before[piece], often
+
+    def laid(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, item) of windows: wherever enough pieces meet within the edits allowed."""
+        piece, at, often = self._met(codes)
+        item = self.item[piece]
+        # the count of the pieces from each place on, as far as they may shift
+        apart = len(codes) + 3 * self.reach
+        key = item * apart + at + self.reach
+        order = np.argsort(key)
+        for strict in (False, True):  # once more with what is left, different pieces alone
+            key, item, piece, often = key[order], item[order], piece[order], often[order]
+            upto = np.concatenate([[0], np.cumsum(often)])
+            ends = np.searchsorted(key, key + self.spare[item], "right")  # the spare is below the reach
+            begins = np.arange(len(key))
+            enough = np.flatnonzero(upto[ends] - upto[begins] >= self.least[item])
+            if strict:
+                enough = enough[self._different(piece, often, begins[enough], ends[enough]) >= self.least[item[enough]]]
+            n = len(key) + 1
+            steps = np.bincount(begins[enough], minlength=n) - np.bincount(ends[enough], minlength=n)
+            order = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+        key = np.unique(key[order])
+        return key % apart - self.reach, self.number[key // apart]
+
+    @staticmethod
+    def _different(piece, often, begins, ends) -> np.ndarray:
+        """The sum over the different pieces of every range, each at the most it counts."""
+        owner, inside = _expand(ends - begins)
+        row = begins[owner] + inside
+        key = (owner * (int(piece.max(initial=0)) + 1) + piece[row]) * 2 + (2 - often[row])
+        key.sort()
+        best = key[np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1])[:len(key)]]
+        return np.bincount((best >> 1) // (int(piece.max(initial=0)) + 1), 2 - (best & 1), minlength=len(begins))
+
+
 def walk(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """CGK embedding of rows of characters; bits[step, character] tells whether to go on."""
     n, width = windows.shape
@@ -106,36 +267,27 @@ class Matcher:
 
     def __init__(self, items: list[tuple], share: float = SHARE, seed: int = 11):
         self.share = share
-        self.items, vocabulary = [], {}
-        for key, text in items:
-            own = [w.lower() for w in _WORD.findall(text or "")]
-            if own:
-                self.items.append((key, own, " ".join(own)))
-                for w in own:
-                    vocabulary.setdefault(w, len(vocabulary) + 1)
-        self.vocabulary, self.size = vocabulary, len(vocabulary) + 1
+        bodies = [(key, _text(_body(text))) for key, text in items]
+        self.items = [(key, t) for key, t in bodies if t]
         if not self.items:
             return
-        #: run of words -> (item, words before the run), by the run's length
-        self.seeds: dict[int, tuple] = {}
-        runs: dict[int, list] = {}
-        for i, (_, own, _) in enumerate(self.items):
-            width = min(SEED, len(own))
-            ids = np.array([vocabulary[w] for w in own])
-            runs.setdefault(width, []).extend((c, i, j) for j, c in enumerate(self._runs(ids, width).tolist()))
-        for width, rows in runs.items():
-            rows.sort()
-            table = np.array(rows, dtype=np.int64)
-            self.seeds[width] = table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy()
-        lengths = np.array([len(t) for _, _, t in self.items])
-        self.width = int(lengths.max())
+        cut: dict[int, list] = {}
+        for i, (_, t) in enumerate(self.items):
+            spare = int(share * len(t))
+            near = 2 * (len(t) // PIECE) > spare
+            width = PIECE if near else next(w for w in range(PIECE, 0, -1) if len(t) // w > spare)
+            cut.setdefault((width, near), []).append((i, t, spare))
+        self.pieces = [_Pieces(*kind, rows[i:i + GROUP])
+                       for kind, rows in sorted(cut.items()) for i in range(0, len(rows), GROUP)]
+        lengths = np.array([len(t) for _, t in self.items])
+        self.lengths, self.width = lengths, int(lengths.max())
         random = np.random.default_rng(seed)
         self.bits = random.integers(0, 2, (WALKS, 3 * self.width, 256)).astype(np.int64)
         # samples of positions along the item's own walk
         self.samples = (random.random((WALKS, len(self.items), BANDS, BITS))
                         * (3 * lengths)[None, :, None, None]).astype(np.int64)
         codes = np.zeros((len(self.items), self.width), np.uint8)
-        for row, (_, _, t) in zip(codes, self.items):
+        for row, (_, t) in zip(codes, self.items):
             row[:len(t)] = _codes(t)
         every = np.arange(len(self.items))
         self.keys = [self._keys(walk(codes, b), s, every) for b, s in zip(self.bits, self.samples)]
@@ -144,28 +296,35 @@ class Matcher:
     def _keys(out, samples, item):
         return np.take_along_axis(out, samples[item].reshape(len(item), -1), 1).reshape(len(item), BANDS, BITS)
 
-    def _runs(self, ids: np.ndarray, width: int) -> np.ndarray:
-        """A number for every run; vocabularies of a block stay below 2^21 words."""
-        n = max(0, len(ids) - width + 1)
-        code = np.zeros(n, np.int64)
-        for k in range(width):
-            code = code * self.size + ids[k:k + n]
-        return code
-
-    def _windows(self, ids: np.ndarray) -> np.ndarray:
-        """(first word, item) of windows laid over the seeds of one text."""
-        found = []
-        for width, (codes, item, before) in self.seeds.items():
-            runs = self._runs(ids, width)
-            known = np.ones(len(runs), bool)
-            for k in range(width):
-                known &= ids[k:k + len(runs)] > 0
-            at = np.flatnonzero(known)
-            low = np.searchsorted(codes, runs[at], "left")
-            count = np.searchsorted(codes, runs[at], "right") - low
-            pick = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            found.append(np.stack([np.maximum(np.repeat(at, count) - before[pick], 0), item[pick]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    def _windows(self, texts: dict[int, np.ndarray]) -> list[tuple]:
+        """(text, begin, item) of windows laid over the pieces met, some texts at a time."""
+        reach = self.width + int(self.share * self.width) + 1  # of a stretch, wholly within one part of its text
+        out, parts, used = [], [], 0
+
+        def count():
+            codes = np.zeros(used, np.uint8)
+            starts = np.array([at for _, _, at, _ in parts])
+            for _, _, at, own in parts:
+                codes[at:at + len(own)] = own
+            for pieces in self.pieces:
+                begin, item = pieces.laid(codes)
+                # a window may begin before its text, by no more than the edits allowed
+                middle = np.clip(begin + self.lengths[item] // 2, 0, used - 1)
+                part = np.searchsorted(starts, middle, "right") - 1
+                out.extend((parts[n][0], max(0, parts[n][1] + a - parts[n][2]), i)
+                           for n, a, i in zip(part.tolist(), begin.tolist(), item.tolist()))
+
+        for d, codes in texts.items():
+            for low in range(0, max(1, len(codes) - reach), CHUNK):
+                own = codes[low:low + CHUNK + reach]
+                if parts and used + len(own) > CHUNK:
+                    count()
+                    parts, used = [], 0
+                parts.append((d, low, used, own))
+                used += len(own) + self.width  # nothing reaches from one part into another
+        if parts:
+            count()
+        return sorted(set(out))
 
     def candidates(self, windows: list[tuple[np.ndarray, int]]) -> np.ndarray:
         """Which of the windows (characters, item) share a sample with their item."""
@@ -181,39 +340,45 @@ class Matcher:
                 out[i:i + len(part)] |= (own == keys[item]).all(2).any(1)
         return out
 
+    def _stretches(self, windows: list[tuple]) -> list[tuple]:
+        """(text, item, beginnings) of windows of one item no further apart than the edits allowed."""
+        out: list[tuple] = []
+        for d, a, i in sorted(windows, key=lambda w: (w[0], w[2], w[1])):
+            if out and out[-1][:2] == (d, i) and a - out[-1][2][0] <= int(self.share * len(self.items[i][1])):
+                out[-1][2].append(a)
+            else:
+                out.append((d, i, [a]))
+        return out
+
+    def _near(self, codes: dict[int, np.ndarray], places: list[tuple]) -> set[tuple]:
+        """Those of the windows (text, begin, item) that are candidates."""
+        windows = [(codes[d][a:a + len(self.items[i][1])], i) for d, a, i in places]
+        return {places[k] for k in np.flatnonzero(self.candidates(windows)).tolist()}
+
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For every text its hits (item id, start, end, distance), offsets in the text as it is."""
         hits: list[list[tuple]] = [[] for _ in texts]
         if not self.items:
             return hits
-        get = self.vocabulary.get
-        windows, places, bodies = [], [], {}
-        for d, text in enumerate(texts):
-            own = [w.lower() for w in _WORD.findall(text or "")]
-            ids = np.fromiter((get(w, 0) for w in own), np.int64, len(own))
-            laid = self._windows(ids)
-            if not len(laid):
-                continue
-            body = " ".join(own)
-            first = np.concatenate([[0], np.cumsum([len(w) + 1 for w in own])])
-            bodies[d] = body, first
-            codes = _codes(body)
-            for w, i in laid.tolist():
-                a = int(first[w])
-                windows.append((codes[a:a + len(self.items[i][2])], i))
-                places.append((d, a, i))
-        for k in np.flatnonzero(self.candidates(windows)).tolist():
-            d, a, i = places[k]
-            key, _, item = self.items[i]
-            body, _ = bodies[d]
+        bodies = {d: body for d, text in enumerate(texts) if len(body := _body(text))}
+        codes = {d: (body % 255 + 1).astype(np.uint8) for d, body in bodies.items()}
+        stretches = self._stretches(self._windows(codes))
+        near = self._near(codes, [(d, a, i) for d, i, places in stretches for a in places])
+        for d, i, places in stretches:
+            key, item = self.items[i]
             spare = int(self.share * len(item))
-            low = max(0, a - spare)
-            distance, start, end = nearest(item, body[low:a + len(item) + spare])
+            low, high = max(0, places[0] - spare), places[-1] + spare
+            # where no piece tells the beginning well enough: windows at all places it can be at
+            if not any((d, a, i) in near for a in places) and \
+                    not self._near(codes, [(d, a, i) for a in range(low, min(high, len(codes[d]) - 1) + 1)]):
+                continue
+            distance, start, end = nearest(item, _text(bodies[d][low:high + len(item)]))
             if distance <= spare:
                 hits[d].append((key, low + start, low + end, distance))
         for d, own in enumerate(hits):
             if own:
-                hits[d] = self._in_text(_nearest_only(own), texts[d], bodies[d][1])
+                first = np.flatnonzero(np.concatenate([[True], bodies[d] == 32]))
+                hits[d] = self._in_text(_nearest_only(own), texts[d], first)
         return hits
 
     @staticmethod

@@ -110,3 +110,48 @@ def test_short_items_and_edges(spark, make):
     bench = spark.createDataFrame([(1, "alpha"), (2, "beta gamma")], "item_id long, text string")
     got = dc.find(make([(1, "alpha"), (2, "x beta gamma"), (3, "beta"), (4, "gamma beta alpha")]), bench).collect()
     assert sorted((h["doc_id"], h["item_id"]) for h in got) == [(1, 1), (2, 2), (4, 1)]
+
+
+def every_third(text):
+    """One letter changed in every third word: no run of three words stands unchanged."""
+    return " ".join("#".join([w[:1], w[2:]]).replace("#", "q") if k % 3 == 1 and len(w) > 1 else w
+                    for k, w in enumerate(text.split(" ")))
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, None])
+def test_recall_from_the_text_on(share):
+    """Through find(): items edited up to the share allowed, whatever words the edits fall on."""
+    r = random.Random(17)
+    items, other = prose(r, 60), prose(r, 60)
+    m = dc.Matcher(list(enumerate(items)))
+    edited = [every_third(t) if share is None else changed(r, t, share) for t in items]
+    found = m.find([f"{a[:150]} {t} {a[150:]}" for a, t in zip(other, edited)])
+    assert np.mean([k in [h[0] for h in own] for k, own in enumerate(found)]) >= (0.98 if share == 0.2 else 1)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c", min_size=1, max_size=60), st.integers(0, 10**6), st.integers(1, 3))
+def test_no_item_within_the_share_goes_without_a_window(item, seed, copies):
+    r = random.Random(seed)
+    m = dc.Matcher([(0, item)])
+    if not m.items:
+        return
+    own = m.items[0][1]
+    text = " ".join("".join(r.choice("abc ") for _ in range(30)) + changed(r, own, 0.2) for _ in range(copies))
+    body = dc._text(dc._body(text))
+    near = infix_distance(own, body) <= int(dc.SHARE * len(own))
+    assert not near or m._windows({0: dc._codes(body)})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aB _-. 7éÉİΣσß日😀\n"), max_size=30))
+def test_bodies_are_the_words_in_lower_case(text):
+    assert dc._text(dc._body(text)) == " ".join(w.lower() for w in dc._WORD.findall(text))
+
+
+def test_long_text_in_parts(monkeypatch):
+    monkeypatch.setattr(dc, "CHUNK", 300)
+    r = random.Random(3)
+    items, other = prose(r, 5), prose(r, 40)
+    text = " ".join(t + (" " + changed(r, items[k // 8], 0.15) if k % 8 == 0 else "") for k, t in enumerate(other))
+    assert [h[0] for h in dc.Matcher(list(enumerate(items))).find(["x", text])[1]] == [0, 1, 2, 3, 4]
