@@ -130,7 +130,8 @@ def spans(text: str | None) -> list[dict]:
 def redacted(text: str | None) -> str | None:
     """The text with every span replaced by its kind in angle brackets.
 
-    Where spans overlap, the one that starts first (the longest of these) counts.
+    Spans that overlap are replaced together, from the first start to the last end, by the kind of the one
+    that starts first (the longest of these).
     """
     if not text:
         return text
@@ -139,7 +140,7 @@ def redacted(text: str | None) -> str | None:
     for s in found:
         if s["start"] >= at:
             parts += [text[at:s["start"]], f"<{s['kind'].upper()}>"]
-            at = s["end"]
+        at = max(at, s["end"])
     return "".join([*parts, text[at:]])
 
 

@@ -89,3 +89,10 @@ def test_redaction(make):
     out = {r["doc_id"]: r["text"] for r in pii.redact(make(rows)).collect()}
     assert out == {1: "write to <EMAIL> now", 2: None, 3: "", 4: "ip <IP> ip <IP>"}
     assert pii.redact(make([])).count() == 0
+
+
+@pytest.mark.parametrize("text,want", [
+    ("10.0.0.0 4111 1111 1111 1111", "<IP>"), ("+1 415 555 1234.bob@x.org", "<PHONE>"),
+    ("see 10.0.0.0 4111 1111 1111 1111, a@b.cd", "see <IP>, <EMAIL>")])
+def test_overlapping_spans_go_whole(text, want):
+    assert pii.redacted(text) == want
