@@ -9,7 +9,7 @@ system Spark can write to will do.  One row of the store is a shard of up to ``S
     first_key, last_key, n_keys, n_null, n_ids
     payload          raw ids, little-endian unsigned, ``id_bytes`` each, documents back to back
     offsets          where each document starts in the payload, one more than documents, uint64
-    keys             the keys in order, int64, to list the store; look-ups do not use them
+    keys             the keys in order, int64, to list the store and to tell where the run of a key ends
     levels, ranks    the minimal perfect hash: bit arrays by level, and set bits before each word
     slots            slot -> document number, uint32
     prints           slot -> 32-bit fingerprint of the key, which tells keys that are not in the store
@@ -159,7 +159,8 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def get(store: DataFrame, keys: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Ids of the wanted keys, (key, ids array<long>); keys that are not there give no row.
+    """Ids of the wanted keys, (key, ids array<long>), a row for every document of the key; keys that are not
+    there give no row.
 
     The range directory sends a key to its shard by a join on ranges of shards; every
     shard then answers all its keys from its index.
@@ -169,7 +170,7 @@ def get(store: DataFrame, keys: DataFrame, id_column: str = "doc_id") -> DataFra
     # the directory has one row a shard, millions of ids each
     asked = (wanted.join(F.broadcast(ranges), F.col("key").between(F.col("first_key"), F.col("last_key")))
              .groupBy("part", "shard").agg(F.collect_list("key").alias("wanted")))
-    columns = ["levels", "ranks", "prints", "slots", "offsets", "payload", "id_bytes"]
+    columns = ["levels", "ranks", "prints", "slots", "offsets", "payload", "id_bytes", "keys", "n_null"]
     schema = arrow_schema("key long, ids array<long>")
 
     def answer(batches):
@@ -178,9 +179,13 @@ def get(store: DataFrame, keys: DataFrame, id_column: str = "doc_id") -> DataFra
                 levels, ranks, prints, slots, offsets, payload = _arrays(row)
                 asked_keys = np.array(row["wanted"], np.int64)
                 slot = look_up(asked_keys, levels, ranks, prints)
-                doc = slots[slot[slot >= 0]].astype(np.int64)
-                yield arrow_batch(schema, [asked_keys[slot >= 0].tolist(), [
-                    payload[int(offsets[d]):int(offsets[d + 1])].tolist() for d in doc]])
+                own, nulls = np.frombuffer(row["keys"], "<i8"), row["n_null"]
+                found = []
+                for key, d in zip(asked_keys[slot >= 0].tolist(), slots[slot[slot >= 0]].tolist()):
+                    while d - nulls < len(own) and own[d - nulls] == key:  # the run of the key
+                        found.append((key, payload[int(offsets[d]):int(offsets[d + 1])].tolist()))
+                        d += 1
+                yield arrow_batch(schema, [[k for k, _ in found], [i for _, i in found]])
 
     return asked.join(store.select("part", "shard", *columns), ["part", "shard"]) \
         .select("wanted", *columns).mapInArrow(answer, "key long, ids array<long>")

@@ -166,3 +166,12 @@ def test_token_counts_of_given_sections(spark):
     assert got[4]["sections"] == []
     with pytest.raises(ValueError):
         token_counts.attribute(df, BYTE, rule="last")
+
+
+def test_every_document_of_a_key_is_got(spark, make):
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    rows = [(None, "none"), (4, "before"), (5, "one"), (5, "two"), (5, "three"), (6, "after")]
+    token_store.write(make(rows), path, BYTE, 2)
+    keys = spark.createDataFrame([(5,), (6,), (7,)], "doc_id long")
+    got = token_store.get(token_store.open_store(spark, path), keys).collect()
+    assert sorted(map(tuple, got)) == sorted((k, whole(BYTE, t) + [2]) for k, t in rows if k in (5, 6))
