@@ -22,7 +22,8 @@ Items are sent in blocks of at most ``BLOCK_BYTES``, a pass over the documents e
 what is broadcast has a bound whatever the benchmark's size.
 
 Defined results: NULL, empty and wordless texts hold nothing, NULL, empty and wordless items are held by
-nothing.  Repeated rows are found repeatedly, a NULL id stays; of overlapping stretches for one item
+nothing.  An item needs no id, and its id may be of any type: ``clean`` looks for every item with words, and
+``find`` gives items without an id, under NULL, where ``null_ids`` asks for them (``query`` does).  Repeated rows are found repeatedly, a NULL id stays; of overlapping stretches for one item
 in one document the nearest counts.  Items alike are found each.
 """
 
@@ -374,7 +375,8 @@ class Matcher:
                 continue
             distance, start, end = nearest(item, _text(bodies[d][low:high + len(item)]))
             if distance <= spare:
-                hits[d].append((key, low + start, low + end, distance))
+                name = (True, i) if key is None else (False, key)  # items without an id are apart
+                hits[d].append((name, low + start, low + end, distance))
         for d, own in enumerate(hits):
             if own:
                 first = np.flatnonzero(np.concatenate([[True], bodies[d] == 32]))
@@ -385,10 +387,10 @@ class Matcher:
     def _in_text(own, text, first):
         spans = [m.span() for m in _WORD.finditer(text)]
         out = []
-        for key, a, b, distance in own:
+        for (null, key), a, b, distance in own:
             low = int(np.searchsorted(first, a, "right")) - 1
             high = max(low, int(np.searchsorted(first, b, "left")) - 1)
-            out.append((key, spans[low][0], spans[min(high, len(spans) - 1)][1], distance))
+            out.append((None if null else key, spans[low][0], spans[min(high, len(spans) - 1)][1], distance))
         return out
 
 
@@ -401,10 +403,12 @@ def _nearest_only(own: list[tuple]) -> list[tuple]:
 
 
 # --- on Spark -------------------------------------------------------------------
-def blocks(benchmark: DataFrame, item_column: str = "item_id", text: str = "text"):
+def blocks(benchmark: DataFrame, item_column: str = "item_id", text: str = "text", null_ids: bool = True):
     """Items of one block after the other, each within ``BLOCK_BYTES`` (or one item)."""
-    items = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(text).alias("text")) \
-        .where("item is not null and length(text) > 0").orderBy("item", "text")
+    items = benchmark.select(F.col(item_column).alias("item"), F.col(text).alias("text")) \
+        .where("length(text) > 0").orderBy("item", "text")
+    if not null_ids:
+        items = items.where("item is not null")
     block, size = [], 0
     for row in items.toLocalIterator():
         n = len(row["text"].encode())
@@ -417,18 +421,22 @@ def blocks(benchmark: DataFrame, item_column: str = "item_id", text: str = "text
         yield block
 
 
-HITS = "item_id long, start_char long, end_char long, distance int"
+HITS = "start_char long, end_char long, distance int"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, item_id, start_char, end_char, distance) for every item a document holds."""
+def find(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text: str = "text",
+         null_ids: bool = False) -> DataFrame:
+    """(id, item_id, start_char, end_char, distance) for every item a document holds.
+
+    null_ids   items without an id too
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    ddl = f"doc_id {dict(rows.dtypes)['doc_id']}, {HITS}"
+    ddl = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, {HITS}"
     schema = arrow_schema(ddl)
     found = spark.createDataFrame([], ddl)
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, null_ids=null_ids):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
@@ -465,4 +473,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: every benchmark item found in every document."""
-    return find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), null_ids=True)

@@ -155,3 +155,12 @@ def test_long_text_in_parts(monkeypatch):
     items, other = prose(r, 5), prose(r, 40)
     text = " ".join(t + (" " + changed(r, items[k // 8], 0.15) if k % 8 == 0 else "") for k, t in enumerate(other))
     assert [h[0] for h in dc.Matcher(list(enumerate(items))).find(["x", text])[1]] == [0, 1, 2, 3, 4]
+
+
+def test_items_without_an_id_and_with_textual_ids(spark, make):
+    first, second, third = prose(random.Random(8), 3)
+    bench = spark.createDataFrame([(None, first), (None, second), ("c-3", third)], "item_id string, text string")
+    docs = make([(1, first), (2, "x " + second), (3, third), (4, f"{first} {second}"), (5, "nothing")])
+    assert [r["doc_id"] for r in dc.clean(docs, bench).collect()] == [5]
+    got = sorted(((h["doc_id"], h["item_id"]) for h in dc.find(docs, bench, null_ids=True).collect()), key=repr)
+    assert got == [(1, None), (2, None), (3, "c-3"), (4, None), (4, None)]
