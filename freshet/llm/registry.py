@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, jaccard, language_model, packing, pii, sharding, token_counts, token_store, toxicity
+from . import decontamination, fingerprints, jaccard, language_model, lexical_search, packing, pii, sharding, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_pii": pii.query,
     "op10_fingerprints": fingerprints.query,
+    "op11_lexical_search": lexical_search.query,
+}
+SQL: dict[str, str] = {
+    "op11_lexical_search": lexical_search.SQL,
 }
-SQL: dict[str, str] = {}
