@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, jaccard, language_model, lexical_search, packing, pii, sharding, token_counts, token_store, toxicity
+from . import (
+    decontamination, fingerprints, jaccard, language_model, lexical_search, packing, pii, sharding, substring_dedup,
+    token_counts, token_store, toxicity,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,7 +19,9 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_fingerprints": fingerprints.query,
     "op11_lexical_search": lexical_search.query,
+    "op12_substring_dedup": substring_dedup.query,
 }
 SQL: dict[str, str] = {
     "op11_lexical_search": lexical_search.SQL,
+    "op12_substring_dedup": substring_dedup.SQL,
 }
