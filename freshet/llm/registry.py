@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    decontamination, fingerprints, jaccard, language_model, lexical_search, packing, pii, sharding, substring_dedup,
-    token_counts, token_store, toxicity,
+    conversation_repair, decontamination, fingerprints, jaccard, language_model, lexical_search, packing, pii, sharding,
+    substring_dedup, token_counts, token_store, toxicity,
 )
 
 QUERIES = {
@@ -20,8 +20,10 @@ QUERIES = {
     "op10_fingerprints": fingerprints.query,
     "op11_lexical_search": lexical_search.query,
     "op12_substring_dedup": substring_dedup.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 SQL: dict[str, str] = {
     "op11_lexical_search": lexical_search.SQL,
     "op12_substring_dedup": substring_dedup.SQL,
+    "op13_conversation_repair": conversation_repair.SQL,
 }

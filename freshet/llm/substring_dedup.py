@@ -148,7 +148,7 @@ def _long_prefixes(batches, window: int, gram: int, out: pa.Schema):
     yield from _chunks(rows(), out)
 
 
-def _subtrees(batches, window: int, out: pa.Schema):
+def _subtrees(batches, window: int, out: pa.Schema, at_once: int):
     """Ranges of repeated suffixes, from records in order of their runs."""
     only()
 
@@ -177,7 +177,7 @@ def _subtrees(batches, window: int, out: pa.Schema):
     for b in batches:
         held.append(b)
         n += b.num_rows
-        if n < AT_ONCE:
+        if n < at_once:
             continue
         rows = pa.concat_batches(held)
         run = rows.column(0).to_numpy()
@@ -189,7 +189,8 @@ def _subtrees(batches, window: int, out: pa.Schema):
         yield build(pa.concat_batches(held))
 
 
-def repeats(docs: DataFrame, classes: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeats(docs: DataFrame, classes: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP,
+            at_once: int = AT_ONCE) -> DataFrame:
     """(digest, low, high): ranges of suffixes of a text, by its digest, whose window starts elsewhere as well."""
     schema = "run long, digest binary, place int"
     seeds = stage(docs.mapInArrow(partial(_seeds, window=window, gram=gram, out=arrow_schema(schema)), schema)
@@ -205,7 +206,7 @@ def repeats(docs: DataFrame, classes: DataFrame, *, window: int = WINDOW, gram:
     ranges = "digest binary, low int, high int"
     records = of(F.col("n") <= group, _records, "run long, digest binary, first int, words binary")
     trees = (records.repartition("run").sortWithinPartitions("run")
-             .mapInArrow(partial(_subtrees, window=window, out=arrow_schema(ranges)), ranges))
+             .mapInArrow(partial(_subtrees, window=window, out=arrow_schema(ranges), at_once=at_once), ranges))
     suffixes = of(F.col("n") > group, _long_prefixes, "prefix binary, digest binary, place int")
     several = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
     return trees.union(suffixes.join(several, "prefix").select("digest", "place", "place"))
@@ -234,7 +235,7 @@ def _cleaned(batches, window: int, out: pa.Schema, digest_only: bool):
 
 
 def dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP,
-          digest_only: bool = False) -> DataFrame:
+          at_once: int = AT_ONCE, digest_only: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): one row per row of ``docs``; ``kept`` has the words joined by one space.
 
     digest_only   the lower-case SHA-256 of ``kept`` in its place, as ``kept_sha256``
@@ -244,7 +245,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int
     small_batches(docs.sparkSession)
     texts = _with_digest(docs)
     classes = texts.groupBy("digest").agg(F.any_value("text").alias("text"), F.count("*").alias("n"))
-    found = repeats(texts, classes, window=window, gram=gram, group=group)
+    found = repeats(texts, classes, window=window, gram=gram, group=group, at_once=at_once)
     ranges = found.groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     kept = "kept_sha256" if digest_only else "kept"
     schema = f"digest binary, n_words long, n_removed long, {kept} string"

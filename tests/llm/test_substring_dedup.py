@@ -54,9 +54,8 @@ def test_against_brute_force(make, odd, planted, window, gram, group):
     assert got(sd.dedup(make(rows), window=window, gram=gram, group=group)) == brute(rows, window)
 
 
-def test_few_records_at_once(make, planted, monkeypatch):
-    monkeypatch.setattr(sd, "AT_ONCE", 7)
-    assert got(sd.dedup(make(planted))) == brute(planted)
+def test_few_records_at_once(make, planted):
+    assert got(sd.dedup(make(planted), at_once=7)) == brute(planted)
 
 
 def test_empty_table_and_bad_run(make):
