@@ -48,6 +48,29 @@ def exact_sum(c: Column | str, digits: int) -> Column:
     return F.sum(F.rint(col(c) * scale).cast("long")) / scale
 
 
+def to_units(c: Column | str, digits: int) -> Column:
+    """Whole units of the last digit, halves up: the same on every engine with IEEE doubles."""
+    return F.floor(col(c) * 10.0 ** digits + 0.5)
+
+
+def from_units(units: Column | str, digits: int) -> Column:
+    return col(units).cast("double") / 10.0 ** digits
+
+
+def units_up_to(units: Column | str, size: Column | str, whole: Column | str) -> Column:
+    """``units * size / whole`` as a whole number, halves away from zero; exact for 64-bit inputs.
+
+    What goes to the parts up to some place in a fixed order: the share of one part is the
+    difference of two such numbers, so shares of all parts add up to what goes to the last place.
+    NULL where the whole is NULL or zero.
+    """
+    number = lambda c: col(c).cast("decimal(19,0)")
+    whole = F.nullif(col(whole), F.lit(0).cast("long"))
+    twice = F.abs(number(units)) * (number(size) * 2) + F.abs(number(whole))
+    return F.try_divide(F.sign(col(units)).cast("decimal(1,0)") * (twice - twice % (F.abs(number(whole)) * 2)),
+                        F.abs(number(whole)) * 2).cast("long")
+
+
 def pair_max(a: Column, b: Column) -> Column:
     """Larger of two values; NULL as soon as one of them is NULL."""
     return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))

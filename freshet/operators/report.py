@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.semantics import col, first_match, half_even, null_safe_join, ratio
-from .running import exact_quantiles, stage, value_counts
+from . import slices
+from .running import exact_quantiles, quantiles_of_slices, value_counts
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], measure: str, *, total: str = "Total_ac",
@@ -80,9 +81,8 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str, *,
     """
     if limits is not None:
         df = df.where(F.col(value).between(*limits))
-    counts = stage(value_counts(df, keys, value), "counts")
-    boxes = exact_quantiles(counts, keys, value, {"lower": 0.25, "middle": 0.5, "upper": 0.75},
-                            weight="_n", staged=True)
+    counts = slices.cut(value_counts(df, keys, value), keys, [value], "counts")
+    boxes = quantiles_of_slices(counts, keys, value, {"lower": 0.25, "middle": 0.5, "upper": 0.75})
     v, n = F.col(value), F.col("_n")
     span = (F.col("upper") - F.col("lower")) * reach
     inside = v.between(F.col("lower") - span, F.col("upper") + span)

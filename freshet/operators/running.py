@@ -1,9 +1,7 @@
 """Running totals and exact order statistics that survive a hot group.
 
-A plain window puts a whole group into one task.  With one group holding a third of a
-100 TB table that is too much, so the ordered rows are always cut into range slices: the totals of the
-slices are carried forward, and each slice is finished on its own.  There is one algorithm
-for every size, and its result does not depend on the number of slices.
+Both work on range slices (:mod:`.slices`): there is one algorithm for every size, and its result
+does not depend on the number of slices.
 """
 
 from __future__ import annotations
@@ -11,11 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import col
-from ..session import INITIAL_PARTITIONS, shared_dir
+from ..session import shared_dir
+from . import slices
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -31,94 +31,58 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   values: Mapping[str, Column | str], *, totals: Mapping[str, str] | None = None,
-                   staged: bool = False) -> DataFrame:
+                   values: Mapping[str, Column | str], *, totals: Mapping[str, str] | None = None) -> DataFrame:
     """Add running sums within ``keys`` in the order of ``order``.
 
     values   output column -> summed expression (first row up to this row)
     totals   output column -> name in ``values`` whose group total to add
     order    must identify a row within its group, or tied rows share no fixed
              order; NULLs come first
-    staged   ``df`` already is a written table
+    """
+    return totals_of_slices(slices.cut(df, keys, order), keys, order, values, totals=totals).drop(slices.SLICE)
+
+
+def totals_of_slices(cut: DataFrame, keys: Sequence[str], order: Sequence[str],
+                     values: Mapping[str, Column | str], *, totals: Mapping[str, str] | None = None) -> DataFrame:
+    """:func:`running_totals` of rows that are cut already.
+
+    Each slice is summed by itself, and what earlier slices hold of its first group is added.
     """
     totals = dict(totals or {})
     inputs = {out: f"_in_{i}" for i, out in enumerate(values)}
-    # read for the bounds, the slice totals and the result
-    rows = df if staged else stage(df, "points")
-    rows = rows.withColumns({inputs[o]: col(v) for o, v in values.items()})
-    cut = rows.withColumn("_slice", _slice_of(rows, [*keys, *order]))
-    sums = cut.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(c) for c in inputs.values()])
-
-    # One row per (group, slice): at most one per group plus one per slice overall.
-    # A sum of nothing stays NULL, as in a plain window.
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    heads = sums.select(
-        *keys, "_slice",
-        *[F.sum(c).over(before).alias(c) for c in inputs.values()],
-        *[F.sum(inputs[o]).over(group).alias(t) for t, o in totals.items()],
-        F.lit(0).alias("_body"))
-
-    # The carried total enters its slice as a first row, so no join is needed and
-    # NULL keys need no special care.
-    both = cut.withColumn("_body", F.lit(1)).unionByName(heads, allowMissingColumns=True)
-    part = Window.partitionBy(*keys, "_slice")
-    upto = part.orderBy("_body", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    added = {o: F.sum(c).over(upto) for o, c in inputs.items()}
-    added |= {t: F.max(t).over(part) for t in totals}
-    return (both.withColumns(added).where(F.col("_body") == 1)
-            .drop("_body", "_slice", *inputs.values()))
-
-
-def slice_count(spark: SparkSession) -> int:
-    """As many slices as the session has shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-               int(spark.conf.get(INITIAL_PARTITIONS, None) or 1))
-
-
-def _slice_of(rows: DataFrame, order: Sequence[str]) -> Column:
-    """Number of the range slice a row belongs to, by comparing it with the slices' first rows.
-
-    Spark's range partitioning finds about equal slices; only the first row of each, one
-    small row per partition, is kept.  Compared with fixed bounds, a row has the
-    same slice in every run and after every retry.
-    """
-    key = F.struct(*[F.col(c) for c in order])
-    ranged = rows.select(*order).repartitionByRange(slice_count(rows.sparkSession), *order)
-    first = ranged.groupBy(F.spark_partition_id().alias("_part")).agg(F.min(key).alias("first"))
-    types = rows.select(*order).schema
-    bounds = sorted_rows(first.select("first.*"), order)
-    if len(bounds) < 2:
-        return F.lit(0)
-    table = F.array(*[F.struct(*[F.lit(v).cast(t.dataType).alias(t.name) for v, t in zip(b, types)])
-                      for b in bounds[1:]])
-    steps = [1 << i for i in reversed(range((len(bounds) - 1).bit_length()))]
-    inside = lambda n: (n < len(bounds)) & (F.get(table, n - 1) <= key)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
-                       lambda at, step: F.when(inside(at + step), at + step).otherwise(at))
-
-
-def sorted_rows(first: DataFrame, order: Sequence[str]) -> list:
-    """One row per slice, in order."""
-    return first.orderBy(*order).collect()
+    rows = cut.withColumns({inputs[o]: col(v) for o, v in values.items()})
+    here = slices.within(keys)
+    upto = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumns({o: F.sum(c).over(upto) for o, c in inputs.items()}
+                              | {t: F.sum(inputs[o]).over(here) for t, o in totals.items()})
+    pieces = slices.ends(rows, keys, {c: F.sum(c) for c in inputs.values()})
+    carried = pieces.select(
+        slices.SLICE, *keys,
+        *[F.sum(c).over(slices.earlier(keys)).alias(f"_before{c}") for c in inputs.values()],
+        *[F.sum(inputs[o]).over(Window.partitionBy(*keys)).alias(f"_all_{t}") for t, o in totals.items()])
+    types = dict(summed.dtypes)
+    # a sum of nothing stays NULL, as in a plain window
+    full = {o: F.coalesce(F.col(o) + F.col(f"_before{c}"), o, f"_before{c}").cast(types[o]) for o, c in inputs.items()}
+    full |= {t: F.coalesce(f"_all_{t}", t) for t in totals}
+    out = slices.attach(summed, carried, keys).withColumns(full)
+    return out.drop(*inputs.values(), *[f"_before{c}" for c in inputs.values()], *[f"_all_{t}" for t in totals])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probabilities: Mapping[str, float], *, weight: str | None = None,
-                    staged: bool = False) -> DataFrame:
+                    probabilities: Mapping[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group: output column -> probability.
 
     Equal values are counted before anything is shuffled by group, then the
     ranks are found with :func:`running_totals`; no task holds a whole group's
     values.  NULL and NaN values are ignored; a group with no value gets no row.
-    ``weight`` names a column of counts when ``df`` is already counted.
     """
-    if weight is None:
-        counted, weight = value_counts(df, keys, value), "_n"
-    else:
-        counted = df.select(*keys, value, weight)
-    ranked = running_totals(counted, keys, [value], {"_upto": weight}, totals={"_total": "_upto"},
-                            staged=staged)
+    return quantiles_of_slices(slices.cut(value_counts(df, keys, value), keys, [value]), keys, value, probabilities)
+
+
+def quantiles_of_slices(counts: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], *,
+                        weight: str = "_n") -> DataFrame:
+    """:func:`exact_quantiles` of counted values (see :func:`value_counts`) that are cut by value already."""
+    ranked = totals_of_slices(counts, keys, [value], {"_upto": weight}, totals={"_total": "_upto"})
     picks = []
     for i, p in enumerate(probabilities.values()):
         at = (F.col("_total") - 1) * F.lit(float(p))

@@ -392,41 +392,51 @@ def fields(spark, sf_dir) -> DataFrame:
 
 
 def apportion_to_parts(spark, sf_dir):
-    shared = apportion.apportion_to_parts(
-        flag_impact(spark, sf_dir), fields(spark, sf_dir), ["site", "crop"],
+    shared = apportion.apportion_exactly(
+        flag_impact(spark, sf_dir), fields(spark, sf_dir), ["site", "crop"], part=["part"],
         part_size="Acres_PF", whole_size="whole_size",
-        measures={"volume_fld": "streamflow_aug_acrft", "loss_fld": "Revenue_loss"})
+        measures={"volume_fld": ("streamflow_aug_acrft", 6), "loss_fld": ("Revenue_loss", 2)})
     return shared.groupBy("site", "crop", "part").agg(
         F.count(F.lit(1)).alias("n"), F.max("fraction_acres").alias("fraction"),
-        F.round(F.sum("volume_fld"), 6).alias("volume"),
-        F.round(F.sum("loss_fld"), 3).alias("loss"))
+        sem.exact_sum("volume_fld", 6).alias("volume"), sem.exact_sum("loss_fld", 2).alias("loss"))
+
+
+def shares_add_up(spark, sf_dir):
+    """What all parts of a row get, beside what the row has: equal to the last unit."""
+    parts = (shipments(spark, sf_dir).select("site", "part", "l_quantity").join(crops(spark, sf_dir), "part")
+             .groupBy("site", "part", "crop").agg(F.sum("l_quantity").alias("Acres_PF")))
+    parts = stage(parts, "parts")
+    whole = parts.groupBy("site", "crop").agg(F.sum("Acres_PF").alias("whole_size"))
+    shared = apportion.apportion_exactly(
+        flag_impact(spark, sf_dir), parts.join(whole, ["site", "crop"]), ["site", "crop"], part=["part"],
+        part_size="Acres_PF", whole_size="whole_size",
+        measures={"volume_fld": ("streamflow_aug_acrft", 6), "loss_fld": ("Revenue_loss", 2)})
+    return shared.groupBy("site", "crop", "Year", "simulation", "streamflow_aug_acrft", "Revenue_loss").agg(
+        F.count(F.lit(1)).alias("parts"), sem.exact_sum("volume_fld", 6).alias("volume"),
+        sem.exact_sum("loss_fld", 2).alias("loss"))
+
+
+#: digits that volumes, rates, yields and money are shared in
+UNIT_DIGITS = {"streamflow_aug_acrft": 6, "streamflow_aug_cfs": 6, "WM_yield_loss": 2, "Revenue_loss": 2}
 
 
 def grid_impact(spark, sf_dir) -> DataFrame:
     """Impact of the uninterruptible parts, back on (site, crop, Year, flag) rows."""
-    rolled = apportion.rollup_parts(
+    return _grid_rows(apportion.rollup_exactly(
         flag_impact(spark, sf_dir), fields(spark, sf_dir), ["site", "crop"],
         part_size="Acres_PF", whole_size="whole_size", size_out="Acres_PF",
-        measures={m: m for m in ("streamflow_aug_acrft", "streamflow_aug_cfs", "WM_yield_loss",
-                                 "Revenue_loss")})
-    return rolled.withColumns({
-        "cost_acrft": sem.ratio("Revenue_loss", "streamflow_aug_acrft"),
-        "cost_acr": sem.ratio("Revenue_loss", "Acres")})
-
-
-def _rounded_grid(rows: DataFrame) -> DataFrame:
-    """Sums of shares, rounded a little off the ties that the order of adding would decide."""
-    rows = rows.withColumns({c: F.round(F.col(c) + 1.23457e-8, 6)
-                             for c in ("streamflow_aug_acrft", "streamflow_aug_cfs")})
-    rows = rows.withColumns({c: F.round(F.col(c) + 1.23457e-4, 2)
-                             for c in ("WM_yield_loss", "Revenue_loss", "cost_acrft", "cost_acr")})
+        measures={m: (m, d) for m, d in UNIT_DIGITS.items()}))
+
+
+def _grid_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "site", "crop", "Year", "simulation", "Acres", "Acres_PF", "streamflow_aug_acrft",
-        "streamflow_aug_cfs", "WM_yield_loss", "Revenue_loss", "cost_acrft", "cost_acr")
+        "site", "crop", "Year", "simulation", "Acres", "Acres_PF", *UNIT_DIGITS,
+        sem.ratio("Revenue_loss", "streamflow_aug_acrft").alias("cost_acrft"),
+        sem.ratio("Revenue_loss", "Acres").alias("cost_acr"))
 
 
 def field_to_grid(spark, sf_dir):
-    return _rounded_grid(grid_impact(spark, sf_dir))
+    return grid_impact(spark, sf_dir)
 
 
 def field_to_grid_unequal(spark, sf_dir):
@@ -434,13 +444,12 @@ def field_to_grid_unequal(spark, sf_dir):
     rows = cropped(spark, sf_dir)
     parts = rows.groupBy("site", "crop", "l_linestatus", "part").agg(F.sum("l_quantity").alias("Acres_PF"))
     whole = parts.groupBy("site", "crop", "l_linestatus").agg(F.sum("Acres_PF").alias("whole_size"))
-    rolled = apportion.rollup_parts(
-        flag_impact(spark, sf_dir), parts.join(whole, ["site", "crop", "l_linestatus"]), ["site", "crop"],
-        part_size="Acres_PF", whole_size="whole_size", size_out="Acres_PF",
-        measures={m: m for m in ("streamflow_aug_acrft", "streamflow_aug_cfs", "WM_yield_loss", "Revenue_loss")})
-    return _rounded_grid(rolled.withColumns({
-        "cost_acrft": sem.ratio("Revenue_loss", "streamflow_aug_acrft"),
-        "cost_acr": sem.ratio("Revenue_loss", "Acres")}))
+    listed = table(spark, sf_dir, "part").where(F.col("p_brand") == INTERRUPTIBLE_BRAND)
+    kept = sem.not_in_table(parts, listed, {"part": "p_partkey"})
+    return _grid_rows(apportion.rollup_exactly(
+        flag_impact(spark, sf_dir), kept.join(whole, ["site", "crop", "l_linestatus"]), ["site", "crop"],
+        part_size="Acres_PF", whole_size="whole_size", size_out="Acres_PF", apart=["l_linestatus"],
+        measures={m: (m, d) for m, d in UNIT_DIGITS.items()}))
 
 
 def field_rights(spark, sf_dir):
@@ -474,26 +483,26 @@ def daily_demand(spark, sf_dir):
                                  day="DOY", measure="irrig1", harvest="harvest_date")
 
 
+SITE_DIGITS = {"Streamflow_aug_vol_acft": 6, "streamflow_aug_cfs": 6, "T_Revenue_loss": 2}
+
+
 def site_totals(spark, sf_dir) -> DataFrame:
     return apportion.rollup_grid(
         grid_impact(spark, sf_dir), ["site", "Year", "simulation"],
         {"T_Acres": "Acres", "Streamflow_aug_vol_acft": "streamflow_aug_acrft",
          "streamflow_aug_cfs": "streamflow_aug_cfs", "T_Revenue_loss": "Revenue_loss"},
-        {"cost_per_acft_v": ("T_Revenue_loss", "Streamflow_aug_vol_acft")})
+        {"cost_per_acft_v": ("T_Revenue_loss", "Streamflow_aug_vol_acft")}, digits=SITE_DIGITS)
 
 
 def grid_rollup(spark, sf_dir):
-    out = site_totals(spark, sf_dir).join(sites(spark, sf_dir).drop("basin"), "site")
-    return rounded(rounded(out, 6, "Streamflow_aug_vol_acft", "streamflow_aug_cfs"), 2,
-                   "T_Revenue_loss", "cost_per_acft_v")
+    return site_totals(spark, sf_dir).join(sites(spark, sf_dir).drop("basin"), "site")
 
 
 def gauge_rollup(spark, sf_dir):
-    out = apportion.rollup_stations(
+    return apportion.rollup_stations(
         site_totals(spark, sf_dir), bridge(spark, sf_dir), ["Year", "simulation"],
         {"Streamflow_aug_vol_acft": "Streamflow_aug_vol_acft",
-         "streamflow_aug_cfs": "streamflow_aug_cfs"})
-    return rounded(out, 5, "Streamflow_aug_vol_acft", "streamflow_aug_cfs")
+         "streamflow_aug_cfs": "streamflow_aug_cfs"}, digits=SITE_DIGITS)
 
 
 # --- supply curves -------------------------------------------------------------------
@@ -696,6 +705,13 @@ def curve_lookup_regions(spark, sf_dir):
                               order=["region", "cost_acrft", "cum_streamflow"])
 
 
+def curve_lookup_many(spark, sf_dir):
+    """Every run day's own deficit priced on the station's curve: many needs per key."""
+    days = need_runs(spark, sf_dir).select(*SUPPLY_KEYS, units.cfs_to_acre_feet("MIFR_Dff").alias("deficit"))
+    return curve.curve_lookup(days, station_curve(spark, sf_dir), SUPPLY_KEYS, amount="deficit",
+                              cost="cost_acrft", largest=False)
+
+
 def need_days_with_pulse(spark, sf_dir):
     """Every run day with its group's required pulse."""
     out = flow.with_required_pulse(need_runs(spark, sf_dir), SUPPLY_KEYS, "DOY", "MIFR_Dff")
@@ -896,11 +912,11 @@ QUERIES = [
     table_membership, complete_cases, discharge_calendar, grid_factors, basin_impact,
     unify_measure, impact_vs_baseline,
     price_outcome, impact_clamps, per_acre_measures, window_demand, impact_table,
-    apportion_to_parts, field_to_grid, field_to_grid_unequal, field_rights, daily_demand, grid_rollup, gauge_rollup, running_totals_nulls,
-    supply_curve,
+    apportion_to_parts, shares_add_up, field_to_grid, field_to_grid_unequal, field_rights, daily_demand, grid_rollup,
+    gauge_rollup, running_totals_nulls, supply_curve,
     nested_supply_curves, curve_slice, barter_price, rules_unpivot, rule_text_parse,
     rules_to_days, deficit_verdicts, any_need_groups, consecutive_runs, required_pulse,
-    aug_ratio, need_days_with_pulse, curve_lookup, curve_lookup_regions, mean_cost_matrix, met_year_counts, crop_mix_shares,
+    aug_ratio, need_days_with_pulse, curve_lookup, curve_lookup_regions, curve_lookup_many, mean_cost_matrix, met_year_counts, crop_mix_shares,
     crop_mix_wide, median_by_group, box_summary, impact_boxes, cost_per_acre_boxes,
     percent_summary, percent_bins, years_need_matrix, years_needing, placeholder_union,
     union_distinct, water_right_merge, site_key_build, station_bridge, harvest_timing, read_scenarios,

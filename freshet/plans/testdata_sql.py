@@ -99,29 +99,61 @@ fields AS (
          part_size / NULLIF(whole_size, 0) AS fraction
   FROM parts JOIN wholes USING (site, crop)
   WHERE p_brand <> '{td.INTERRUPTIBLE_BRAND}')"""
-GRID = """grid AS (
-  SELECT i.site, i.crop, i."Year", i.simulation, i.acres, sum(part_size) AS part_acres,
-         sum(acrft * fraction) AS acrft, sum(cfs * fraction) AS cfs, sum(loss * fraction) AS loss,
-         sum(money_loss * fraction) AS money_loss
-  FROM impact i JOIN fields f ON i.site = f.site AND i.crop = f.crop
-  GROUP BY i.site, i.crop, i."Year", i.simulation, i.acres)"""
+def _share(measure: str, digits: int) -> str:
+    """Whole units of what k of w get, halves up; measures are not negative."""
+    return f"(2 * floor({measure} * 1e{digits}::DOUBLE + 0.5)::HUGEINT * k + w) // (2 * w)"
+
+
+def _grid(apart: str = "") -> str:
+    """Units of what the given parts of a row get; each of several wholes by itself."""
+    return f"""sized AS (
+  SELECT site, crop{apart}, sum(part_size)::HUGEINT AS k, max(whole_size)::HUGEINT AS w FROM fields GROUP BY ALL),
+units_ AS (
+  SELECT i.site, i.crop, i."Year", i.simulation, i.acres, sum(k)::DOUBLE AS part_acres,
+         sum({_share('acrft', 6)})::BIGINT AS acrft_u, sum({_share('cfs', 6)})::BIGINT AS cfs_u,
+         sum({_share('loss', 2)})::BIGINT AS loss_u, sum({_share('money_loss', 2)})::BIGINT AS money_u
+  FROM impact i JOIN sized f ON i.site = f.site AND i.crop = f.crop
+  GROUP BY i.site, i.crop, i."Year", i.simulation, i.acres),
+grid AS (
+  SELECT *, acrft_u / 1e6::DOUBLE AS acrft, cfs_u / 1e6::DOUBLE AS cfs, loss_u / 1e2::DOUBLE AS loss,
+         money_u / 1e2::DOUBLE AS money_loss FROM units_)"""
+
+
+GRID = _grid()
 UNEQUAL_FIELDS = """parts AS (
   SELECT site, crop, l_linestatus, part, sum(l_quantity) AS part_size FROM cropped GROUP BY ALL),
+wholes AS (SELECT site, crop, l_linestatus, sum(part_size) AS whole_size FROM parts GROUP BY ALL),
 fields AS (
-  SELECT site, crop, part_size,
-         part_size / NULLIF(sum(part_size) OVER (PARTITION BY site, crop, l_linestatus), 0) AS fraction
-  FROM parts)"""
+  SELECT site, crop, l_linestatus, part_size, whole_size
+  FROM parts JOIN wholes USING (site, crop, l_linestatus) JOIN part ON parts.part = p_partkey
+  WHERE p_brand <> '""" + td.INTERRUPTIBLE_BRAND + """')"""
 GRID_ROWS = """
 SELECT site, crop, "Year", simulation, acres AS "Acres", part_acres AS "Acres_PF",
-       round(acrft + 1.23457e-8, 6) AS streamflow_aug_acrft, round(cfs + 1.23457e-8, 6) AS streamflow_aug_cfs,
-       round(loss + 1.23457e-4, 2) AS "WM_yield_loss", round(money_loss + 1.23457e-4, 2) AS "Revenue_loss",
-       round(money_loss / NULLIF(acrft, 0) + 1.23457e-4, 2) AS cost_acrft,
-       round(money_loss / NULLIF(acres, 0) + 1.23457e-4, 2) AS cost_acr
+       acrft AS streamflow_aug_acrft, cfs AS streamflow_aug_cfs, loss AS "WM_yield_loss",
+       money_loss AS "Revenue_loss", money_loss / NULLIF(acrft, 0) AS cost_acrft,
+       money_loss / NULLIF(acres, 0) AS cost_acr
 FROM grid"""
 SITE_TOTALS = """site_totals AS (
-  SELECT site, "Year", simulation, sum(acres) AS acres, sum(acrft) AS acrft, sum(cfs) AS cfs,
-         sum(money_loss) AS money_loss
+  SELECT site, "Year", simulation, sum(acres) AS acres, sum(acrft_u)::BIGINT AS acrft_u,
+         sum(cfs_u)::BIGINT AS cfs_u, sum(money_u)::BIGINT AS money_u
   FROM grid GROUP BY ALL)"""
+
+
+def _spread(fields: str) -> str:
+    """shared: what each part of ``fields`` gets of a row, in units."""
+    def part(measure: str, digits: int) -> str:
+        upto = _share(measure, digits)
+        return f"({upto} - {upto.replace('* k +', '* (k - p) +')})"
+    return f"""placed AS (
+  SELECT site, crop, part, fraction, part_size::HUGEINT AS p, whole_size::HUGEINT AS w,
+         sum(part_size) OVER (PARTITION BY site, crop ORDER BY part ROWS UNBOUNDED PRECEDING)::HUGEINT AS k
+  FROM {fields}),
+shared AS (
+  SELECT i.site, i.crop, i."Year", i.simulation, i.acrft, i.money_loss, part, fraction,
+         {part('acrft', 6)} AS acrft_u, {part('money_loss', 2)} AS money_u
+  FROM impact i JOIN placed f ON i.site = f.site AND i.crop = f.crop)"""
+
+
 POINTS = """points AS (
   SELECT site, "Year", simulation, sum(l_quantity) AS vol,
          CAST(count(*) AS DOUBLE) AS acres,
@@ -247,7 +279,18 @@ priced AS (
          coalesce(mc, 0) * n.need / NULLIF(n.need, 0) AS cost_af
   FROM need n LEFT JOIN choice USING (station, "Year", simulation)
               LEFT JOIN areas USING (station, "Year", simulation))"""
+#: the same with a row for every different need of a key
+_PRICED_MANY = _PRICED.replace("need AS (SELECT station, \"Year\", simulation, req_acft AS need FROM pulse)",
+                               "need AS (SELECT DISTINCT station, \"Year\", simulation, d * 1296000 / 43560 AS need FROM runs)")
+for _old, _new in (
+        ("""c.simulation = j.simulation GROUP""", """c.simulation = j.simulation AND c.need = j.need GROUP"""),
+        ("SELECT c.station, c.\"Year\", c.simulation,\n         sum(", "SELECT c.station, c.\"Year\", c.simulation, c.need,\n         sum("),
+        ("choice USING (station, \"Year\", simulation)", "choice USING (station, \"Year\", simulation, need)"),
+        ("areas USING (station, \"Year\", simulation)", "areas USING (station, \"Year\", simulation, need)")):
+    assert _old in _PRICED_MANY
+    _PRICED_MANY = _PRICED_MANY.replace(_old, _new)
 LOOKUP = PULSE + ",\n" + ",\n".join([SHIP, POINTS, _curve("station", "bridge")]) + _PRICED
+LOOKUP_MANY = PULSE + ",\n" + ",\n".join([SHIP, POINTS, _curve("station", "bridge")]) + _PRICED_MANY
 #: several curves a station, one after the other
 LOOKUP_REGIONS = PULSE + ",\n" + ",\n".join([SHIP, POINTS]) + """,
 nations AS (
@@ -449,15 +492,22 @@ SELECT site, crop, "Year", simulation, acres AS "Acres", mm_demand AS irrigation
        money_loss / NULLIF(acres, 0) AS "Cost_acre"
 FROM full_impact""",
 
-    "apportion_to_parts": _with(FLAG_IMPACT, FIELDS) + """
-SELECT i.site, i.crop, part, count(*) AS n, max(fraction) AS fraction,
-       round(sum(acrft * fraction), 6) AS volume, round(sum(money_loss * fraction), 3) AS loss
-FROM impact i JOIN fields f ON i.site = f.site AND i.crop = f.crop
-GROUP BY i.site, i.crop, part""",
+    "apportion_to_parts": _with(FLAG_IMPACT, FIELDS, _spread("fields")) + """
+SELECT site, crop, part, count(*) AS n, max(fraction) AS fraction,
+       sum(acrft_u)::BIGINT / 1e6::DOUBLE AS volume, sum(money_u)::BIGINT / 1e2::DOUBLE AS loss
+FROM shared GROUP BY site, crop, part""",
+
+    "shares_add_up": _with(FLAG_IMPACT, FIELDS, """every AS (
+  SELECT site, crop, part, part_size, whole_size, 0 AS fraction FROM parts JOIN wholes USING (site, crop))""",
+                           _spread("every")) + """
+SELECT site, crop, "Year", simulation, acrft AS streamflow_aug_acrft, money_loss AS "Revenue_loss", count(*) AS parts,
+       floor(acrft * 1e6::DOUBLE + 0.5)::BIGINT / 1e6::DOUBLE AS volume,
+       floor(money_loss * 1e2::DOUBLE + 0.5)::BIGINT / 1e2::DOUBLE AS loss
+FROM shared GROUP BY ALL""",
 
     "field_to_grid": _with(FLAG_IMPACT, FIELDS, GRID) + GRID_ROWS,
 
-    "field_to_grid_unequal": _with(FLAG_IMPACT, UNEQUAL_FIELDS, GRID) + GRID_ROWS,
+    "field_to_grid_unequal": _with(FLAG_IMPACT, UNEQUAL_FIELDS, _grid(", l_linestatus")) + GRID_ROWS,
 
     "field_rights": _with(SHIP, CROPPED, """grids AS (
   SELECT site, crop, l_linestatus, CAST(count(*) AS DOUBLE) AS acres FROM cropped GROUP BY ALL
@@ -493,14 +543,14 @@ FROM rows_""",
 
     "grid_rollup": _with(FLAG_IMPACT, FIELDS, GRID, SITE_TOTALS, SITES) + """
 SELECT region, site, "Year", simulation, acres AS "T_Acres",
-       round(acrft, 6) AS "Streamflow_aug_vol_acft", round(cfs, 6) AS streamflow_aug_cfs,
-       round(money_loss, 2) AS "T_Revenue_loss",
-       round(money_loss / NULLIF(acrft, 0), 2) AS cost_per_acft_v
+       acrft_u / 1e6::DOUBLE AS "Streamflow_aug_vol_acft", cfs_u / 1e6::DOUBLE AS streamflow_aug_cfs,
+       money_u / 1e2::DOUBLE AS "T_Revenue_loss",
+       (money_u / 1e2::DOUBLE) / NULLIF(acrft_u / 1e6::DOUBLE, 0) AS cost_per_acft_v
 FROM site_totals JOIN sites USING (site)""",
 
     "gauge_rollup": _with(FLAG_IMPACT, FIELDS, GRID, SITE_TOTALS, SITES, BRIDGE) + """
-SELECT station, "Year", simulation, round(sum(acrft), 5) AS "Streamflow_aug_vol_acft",
-       round(sum(cfs), 5) AS streamflow_aug_cfs
+SELECT station, "Year", simulation, sum(acrft_u)::BIGINT / 1e6::DOUBLE AS "Streamflow_aug_vol_acft",
+       sum(cfs_u)::BIGINT / 1e6::DOUBLE AS streamflow_aug_cfs
 FROM site_totals JOIN bridge USING (site) GROUP BY ALL""",
 
     "supply_curve": _with(REGION_CURVE) + """
@@ -571,6 +621,8 @@ WHERE larger = most""",
 
     "curve_lookup_regions": _with(LOOKUP_REGIONS) + PRICED_ROWS,
 
+    "curve_lookup_many": _with(LOOKUP_MANY) + PRICED_ROWS,
+
     "need_days_with_pulse": _with(PULSE) + """
 SELECT station, "Year", simulation, "DOY", d AS "MIFR_Dff", req AS "Req_aug",
        req_acft AS "Req_aug_Acft", req_acft * 0.5 AS "Fiftyp_aug"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Container
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     # day-of-year arithmetic must not depend on the host's time zone
@@ -22,6 +22,7 @@ INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 PARTITIONS_PER_CORE = 4
 
 _fallback_dirs: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "freshet", master: str | None = None, **conf: str) -> SparkSession:
@@ -67,7 +68,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/freshet-{app}"
 
 
+def written_table(spark: SparkSession, name: str) -> DataFrame:
+    """A table just saved under a name of its own; :func:`release` drops it."""
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the written tables of this application, once nobody reads its results any more."""
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
     folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.plans import testdata
-from freshet.operators import apportion, flow, windows
+from freshet.operators import apportion, flow, slices, windows
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = testdata.registered()
@@ -37,14 +37,15 @@ def test_no_python_and_no_nested_loops(spark, name):
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_no_nested_loops_when_nothing_is_small(spark, name):
-    """At scale Spark finds no side small: only literal dimensions are broadcast."""
+    """At scale Spark finds no side small: only literal dimensions and the ends of slices are broadcast."""
     with conf(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         text = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
     for part in text.split("BroadcastExchange")[1:]:
-        # everything below a broadcast, up to the next sibling, is a literal table
-        source = next(line for line in part.splitlines()[1:] if "Scan" in line or "Range" in line)
-        assert "LocalTableScan" in source or "OneRowRelation" in source
+        # everything below a broadcast, up to the next sibling, is a literal table, or two rows for each slice
+        source = next(line for line in part.splitlines()[1:] if "Scan" in line or "Range (" in line)
+        ends = "min_by" in part.split("Scan")[0] and "_slice" in source and "SelectedBucketsCount" in source
+        assert ends or "LocalTableScan" in source or "OneRowRelation" in source
 
 
 def test_fact_scan_reads_only_what_it_needs(spark):
@@ -71,6 +72,19 @@ def test_runs_and_pulse_share_one_shuffle(spark):
         assert plan(out).count("Exchange") == 1
 
 
+@pytest.mark.parametrize("name", ["supply_curve", "nested_supply_curves", "running_totals_nulls"])
+def test_curves_take_one_range_exchange(spark, monkeypatch, name):
+    """The rows are exchanged by range once; what reads the slices exchanges their ends alone."""
+    ranged, cut = [], slices.cut
+    monkeypatch.setattr(slices, "cut", lambda df, keys, order, *a, **b: ranged.append(
+        df.repartitionByRange(8, *keys, *order)) or cut(df, keys, order, *a, **b))
+    text = plan(QUERIES[name](spark, SF_DIR))
+    assert len(ranged) == 1 and plan(ranged[0]).count("rangepartitioning") == 1
+    assert text.count("rangepartitioning") == 0
+    exchanges = [part.split("FileScan")[0] for part in text.split("Exchange hashpartitioning")[1:]]
+    assert all("min_by" in part for part in exchanges) and len(exchanges) <= 1
+
+
 def test_hot_key_is_split(spark):
     """A key with a third of the parts is joined by several tasks."""
     keys = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000)
