@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import fixed_values as fv
 
@@ -77,14 +78,27 @@ def crop_display(spark: SparkSession) -> DataFrame:
                          [(c, name, rank[name]) for c, name in rows])
 
 
+def category(spark: SparkSession, column: str, orders: dict[str, Sequence[str]]) -> DataFrame:
+    """An ordered category with several orders: every label, and its place in each order (NULL: not in it)."""
+    places = {name: {label: i for i, label in enumerate(order, start=1)} for name, order in orders.items()}
+    labels = list(dict.fromkeys(label for order in orders.values() for label in order))
+    return literal_table(spark, [column, *places], [(x, *[p.get(x) for p in places.values()]) for x in labels])
+
+
+def ranked(df: DataFrame, column: str, orders: dict[str, Sequence[str]]) -> DataFrame:
+    """Add the places of ``column`` in each order; other labels have none, and sort behind with ``asc_nulls_last``."""
+    return df.join(F.broadcast(category(df.sparkSession, column, orders)), column, "left")
+
+
 def stations(spark: SparkSession) -> DataFrame:
-    """station_name (long), station, station_code, SITENO, station_rank.
+    """station_name (long), station, station_code, SITENO, and the station's place in each order.
 
-    ``station_code`` is NULL where a station has no code; ``station_rank`` is the
-    display position of the code, or of the short name where there is none.
+    ``station_code`` is NULL where a station has no code.  ``station_rank`` and ``ratio_rank`` are display
+    positions of the code, or of the short name where there is none; ``name_rank`` is that of the short name.
     """
-    rank = {c: i for i, c in enumerate(fv.STATION_CODE_ORDER, start=1)}
-    rows = [(name, short, code, number, rank[code or short])
+    place = lambda order: {c: i for i, c in enumerate(order, start=1)}
+    rank, name_rank, ratio_rank = map(place, (fv.STATION_CODE_ORDER, fv.STATION_NAME_ORDER, fv.STATION_RATIO_ORDER))
+    rows = [(name, short, code, number, rank[code or short], name_rank[short], ratio_rank[code or short])
             for name, short, code, number in fv.STATIONS]
-    return literal_table(
-        spark, ["station_name", "station", "station_code", "SITENO", "station_rank"], rows)
+    return literal_table(spark, ["station_name", "station", "station_code", "SITENO", "station_rank", "name_rank",
+                                 "ratio_rank"], rows)

@@ -74,6 +74,11 @@ STATIONS = [
 ]
 STATION_CODE_ORDER = ["Monitor", "Peshastin", "Oroville", "WALDE", "TOUBO", "NFTDA",
                       "OKAMA", "OKATO", "SIMNI", "METPA", "METTW", "TWITW"]
+# further orders that stations are shown in: by short name, and by code in the panels of ratios
+STATION_NAME_ORDER = ["Monitor", "Peshastin", "MR_Twisp", "Pateros", "TRN_Twisp", "Malott", "Oroville",
+                      "Tonasket", "Similkameen", "TR_Dayton", "TR_Bolles", "WR_Detour_Rd"]
+STATION_RATIO_ORDER = ["Monitor", "Peshastin", "Oroville", "METPA", "OKAMA", "WALDE", "METTW", "OKATO",
+                       "TOUBO", "TWITW", "SIMNI", "NFTDA"]
 # stations whose contributing cells come from the first / second cell file
 FIRST_CELL_FILE_STATIONS = ["WR_Detour_Rd", "TR_Dayton"]
 SECOND_CELL_FILE_STATIONS = ["Malott", "Oroville", "Similkameen", "Tonasket",

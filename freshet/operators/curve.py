@@ -107,7 +107,7 @@ def _steps_reaching(need: DataFrame, curve: DataFrame, keys: list[str], tells: l
                               "_first": F.min_by("_step", rank).over(whole), "_last": F.max_by("_step", rank).over(whole),
                               "_sum": F.sum("_size").over(whole)})
 
-    pieces = slices.ends(rows, group, {"_sum": F.sum("_size"), "_first": F.min_by("_step", rank), "_last": F.max_by("_step", rank)})
+    pieces = slices.ends(rows, group, {"_sum": F.sum("_size"), "_first": F.min_by("_step", rank), "_last": F.max_by("_step", rank)}, merged)
     before, after, everywhere = slices.earlier(group), slices.later(group), Window.partitionBy(*group)
     grown = lambda c, by: F.when(F.col(c).isNotNull(), F.struct(
         F.col(f"{c}.cost").alias("cost"), F.col(f"{c}.cum").alias("cum"),

@@ -3,7 +3,7 @@
 Group sizes: the keys here are (station, year, window), and rows are one per day,
 so a group never holds more than the days of a year.  The windows below can stay
 plain windows at any scale, and all of them share one partitioning, hence one
-shuffle.  Rows that break the one-row-per-day property fail instead of being dropped.
+shuffle; :mod:`.long_runs` is for groups without such a bound.  Rows that break the one-row-per-day property fail instead of being dropped.
 """
 
 from __future__ import annotations
@@ -143,7 +143,7 @@ def required_pulse(runs: DataFrame, keys: Sequence[str], day: str, deficit: str)
     deficit; pairs tied on the sum count with the largest of their days."""
     return (pair_deficits(runs, keys, day, deficit)
             .groupBy(*keys).agg(F.max("MaxOfTwo").alias("Req_aug"))
-            .withColumns(_pulse_volumes()))
+            .withColumns(pulse_volumes()))
 
 
 def with_required_pulse(runs: DataFrame, keys: Sequence[str], day: str, deficit: str) -> DataFrame:
@@ -152,10 +152,10 @@ def with_required_pulse(runs: DataFrame, keys: Sequence[str], day: str, deficit:
     group = Window.partitionBy(*keys)
     return (pairs.withColumn("Req_aug", F.max("MaxOfTwo").over(group))
             .drop("DOY_diff", "MovingSum_MIFRdef", "MinMovingSum", "MaxOfTwo")
-            .withColumns(_pulse_volumes()))
+            .withColumns(pulse_volumes()))
 
 
-def _pulse_volumes() -> dict[str, Column]:
+def pulse_volumes() -> dict[str, Column]:
     volume = cfs_to_acre_feet("Req_aug")
     return {"Req_aug_Acft": volume, "Fiftyp_aug": volume * 0.5}
 

@@ -94,9 +94,31 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str, *,
 
 
 def to_matrix(df: DataFrame, rows: Sequence[str], column: str, value: str,
-              labels: Sequence[str]) -> DataFrame:
-    """Long to wide with a fixed label list, so no extra pass finds the labels."""
-    return df.groupBy(*rows).pivot(column, list(labels)).agg(F.first(value, ignorenulls=True))
+              labels: Sequence[str], *, rest: str | None = None) -> DataFrame:
+    """Long to wide with a fixed label list, so no extra pass finds the labels.
+
+    Nothing is lost without a word: the same pass sees what lies outside the list.  ``rest`` names a column
+    for the sum of it (NULL where there is none); without ``rest`` a label outside the list fails, while
+    rows without a label have no column to go to and are left out.
+    """
+    labels = list(labels)
+    label = F.col(column)
+    outside = label.isNotNull() & ~label.isin(labels)
+    if rest is not None:
+        outside = F.coalesce(outside, F.lit(True)) | label.isNull()
+    marked = df.withColumn("_label", F.when(outside, F.lit("_rest")).otherwise(label.cast("string")))
+    taken = F.when(F.first("_label") == "_rest", F.sum(value)).otherwise(F.first(value, ignorenulls=True)) if rest else (
+        F.first(value, ignorenulls=True))
+    wide = marked.groupBy(*rows).pivot("_label", [*map(str, labels), "_rest"]).agg(
+        taken.alias("v"), F.count(F.lit(1)).alias("n"), F.max(F.when(outside, label)).alias("x"))
+    found = {x: F.col(f"`{x}_v`") for x in map(str, labels)}
+    if rest is not None:
+        found[rest] = F.col("_rest_v")
+    elif labels:
+        head = str(labels[0])
+        said = F.concat(F.lit(f"a {column} outside the list: "), F.col("_rest_x"))
+        found[head] = F.when(F.col("_rest_n") > 0, F.raise_error(said).cast(dict(df.dtypes)[value])).otherwise(found[head])
+    return wide.select(*rows, *[c.alias(x) for x, c in found.items()])
 
 
 def years_needing(df: DataFrame, site: str, scenario: str, year: str, need: Column, *,

@@ -55,7 +55,7 @@ def totals_of_slices(cut: DataFrame, keys: Sequence[str], order: Sequence[str],
     upto = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumns({o: F.sum(c).over(upto) for o, c in inputs.items()}
                               | {t: F.sum(inputs[o]).over(here) for t, o in totals.items()})
-    pieces = slices.ends(rows, keys, {c: F.sum(c) for c in inputs.values()})
+    pieces = slices.ends(rows, keys, {c: F.sum(c) for c in inputs.values()}, cut)
     carried = pieces.select(
         slices.SLICE, *keys,
         *[F.sum(c).over(slices.earlier(keys)).alias(f"_before{c}") for c in inputs.values()],

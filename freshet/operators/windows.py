@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions import fixed_values as fv
 from ..functions.semantics import col, if_else
+from .intervals import tag_intervals
 
 
 def tag_windows(df: DataFrame, day: str, windows: DataFrame | None = None, *,
@@ -17,11 +18,10 @@ def tag_windows(df: DataFrame, day: str, windows: DataFrame | None = None, *,
                 stop: str = "stop_date") -> DataFrame:
     """Give every row the windows that contain its day (inclusive bounds).
 
-    Rows in no window drop out; rows in several windows repeat.  A window is
-    spread over its days first, so this is an equi hash join rather than a
-    nested loop over a range predicate.  The fixed windows are used, and
-    broadcast, by default; a caller's table is broadcast only if Spark finds it
-    small enough.
+    Rows in no window drop out; rows in several windows repeat.  The fixed windows are used
+    by default: spread over their days and broadcast, they meet the rows in an equi hash
+    join.  A caller's windows may be long, fractional and many: they meet the
+    rows in blocks (:func:`.intervals.tag_intervals`).
     """
     if windows is None:
         days = dims.scenario_days(df.sparkSession, "_day").select(
@@ -30,9 +30,7 @@ def tag_windows(df: DataFrame, day: str, windows: DataFrame | None = None, *,
         first, last = fv.SCENARIO_WINDOWS[0][1], fv.SCENARIO_WINDOWS[-1][2]
         df = df.where(F.col(day).between(first, last))
         return df.join(F.broadcast(days), F.col(day) == F.col("_day")).drop("_day")
-    days = windows.select(name, start, stop).withColumn(
-        "_day", F.explode(F.sequence(F.col(start).cast("int"), F.col(stop).cast("int"))))
-    return df.join(days, F.col(day) == F.col("_day")).drop("_day")
+    return tag_intervals(df, windows.select(name, start, stop), point=day, start=start, stop=stop)
 
 
 def window_demand(daily: DataFrame, keys: Sequence[str], *, day: str, measure: Column | str,

@@ -26,7 +26,7 @@ from ..functions import dims, units
 from ..functions import fixed_values as fv
 from ..functions import keys as k
 from ..functions import semantics as sem
-from ..operators import apportion, curve, flow, impact, report, windows
+from ..operators import apportion, curve, flow, impact, intervals, long_runs, report, windows
 from ..operators.running import running_totals, stage
 from ..session import shared_dir, tune
 from ..sources import readers
@@ -810,6 +810,92 @@ def years_needing(spark, sf_dir):
     return report.years_needing(verdicts(spark, sf_dir), "station", "simulation", "Year", _need())
 
 
+# --- groups of any size -------------------------------------------------------------------
+def _cheap_orders(spark, sf_dir) -> DataFrame:
+    """Orders below a price by status: three groups with all rows between them."""
+    deficit = (RUN_PRICE - F.col("o_totalprice")).alias("deficit")
+    return table(spark, sf_dir, "orders").where(F.col("o_totalprice") < RUN_PRICE).select(
+        "o_orderstatus", "o_orderkey", deficit)
+
+
+RUN_PRICE, KEEP_PRICE = 400000, 495000
+
+
+def order_runs(spark, sf_dir):
+    """Runs of consecutive orders of a status, with the pulse of the status."""
+    keys = ["o_orderstatus"]
+    runs = long_runs.consecutive_runs(long_runs.cut_days(_cheap_orders(spark, sf_dir), keys, "o_orderkey"), keys,
+                                      "o_orderkey", deficit="deficit")
+    return long_runs.with_required_pulse(runs, keys).select(
+        "o_orderstatus", "o_orderkey", "deficit", "Req_aug", "Req_aug_Acft", "Fiftyp_aug")
+
+
+def order_pulse(spark, sf_dir):
+    keys = ["o_orderstatus"]
+    runs = long_runs.consecutive_runs(long_runs.cut_days(_cheap_orders(spark, sf_dir), keys, "o_orderkey"), keys,
+                                      "o_orderkey", deficit="deficit")
+    return long_runs.required_pulse(runs, keys)
+
+
+def any_order_groups(spark, sf_dir):
+    """Orders of the customers with a dear one, from slices."""
+    cut = long_runs.cut_days(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"),
+                             ["o_custkey"], "o_orderkey")
+    kept = long_runs.keep_groups_with(cut, ["o_custkey"], F.col("o_totalprice") > KEEP_PRICE)
+    return kept.select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+def event_windows(spark, sf_dir):
+    """A user's events in the hours after each of their errors: overlapping windows of any length."""
+    hours = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3.6e9)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", hours.alias("at"))
+    after = events.where(F.col("event_type") == "error").select(
+        F.col("event_id").alias("error_id"), "user_id", F.col("at").alias("start"),
+        (F.col("at") + F.col("value") * 20).alias("stop"))
+    tagged = intervals.tag_intervals(events, after, point="at", start="start", stop="stop", on=["user_id"])
+    return tagged.groupBy("error_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"),
+        sem.exact_sum("value", 2).alias("value"))
+
+
+# --- categories in several orders -----------------------------------------------------------
+STUDY_CROPS = [*fv.GRAIN_CROPS, *fv.HAY_CROPS]
+
+
+def crop_labels(spark, sf_dir):
+    """Parts as study crops, with their kinds, groups and display names in order."""
+    names = dims.literal_table(spark, ["i", "crop"], list(enumerate(STUDY_CROPS)))
+    parts = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % len(STUDY_CROPS)).cast("int").alias("i")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("size"))
+    return (parts.join(F.broadcast(names), "i").join(F.broadcast(dims.crop_groups(spark)), "crop")
+            .join(F.broadcast(dims.crop_display(spark)), "crop").drop("i"))
+
+
+STATION_ORDERS = {"code_place": fv.STATION_CODE_ORDER, "ratio_place": fv.STATION_RATIO_ORDER}
+
+
+def station_orders(spark, sf_dir):
+    """Quantity by station, and the station's position when sorted by each of the three orders."""
+    n = len(fv.STATIONS)
+    names = dims.literal_table(spark, ["i", "long_name"], [(i, s[0]) for i, s in enumerate(fv.STATIONS)])
+    nations = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("site"), (F.col("s_nationkey") % n).cast("int").alias("i"))
+    qty = (table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("site"), "l_quantity").join(nations, "site")
+           .groupBy("i").agg(F.sum("l_quantity").alias("qty")).join(F.broadcast(names), "i")
+           .join(F.broadcast(dims.stations(spark).select(F.col("station_name").alias("long_name"), "station", "station_code", "SITENO", "name_rank")), "long_name"))
+    shown = dims.ranked(qty.withColumn("label", F.coalesce("station_code", "station")), "label", STATION_ORDERS)
+    by = lambda c: F.row_number().over(Window.orderBy(F.asc_nulls_last(c)))  # noqa: E731  a dozen rows
+    return shown.select("station", "label", "SITENO", "qty", "name_rank", "code_place", "ratio_place",
+                        by("name_rank").alias("nth_by_name"), by("code_place").alias("nth_by_code"),
+                        by("ratio_place").alias("nth_by_ratio"))
+
+
+def crop_mix_rest(spark, sf_dir):
+    """The crop mix by two named groups, and all others in a column of their own."""
+    out = report.to_matrix(crop_acres(spark, sf_dir), ["station"], "group1", "Acres", fv.CROP_GROUP_ORDER[:2], rest="Other")
+    return rounded(out, 6, *fv.CROP_GROUP_ORDER[:2], "Other")
+
+
 # --- set operations, keys, files ------------------------------------------------------------
 def placeholder_union(spark, sf_dir):
     daily = shipments(spark, sf_dir).groupBy("DOY", "l_returnflag").agg(
@@ -919,15 +1005,20 @@ QUERIES = [
     aug_ratio, need_days_with_pulse, curve_lookup, curve_lookup_regions, curve_lookup_many, mean_cost_matrix, met_year_counts, crop_mix_shares,
     crop_mix_wide, median_by_group, box_summary, impact_boxes, cost_per_acre_boxes,
     percent_summary, percent_bins, years_need_matrix, years_needing, placeholder_union,
-    union_distinct, water_right_merge, site_key_build, station_bridge, harvest_timing, read_scenarios,
+    union_distinct, order_runs, order_pulse, any_order_groups, event_windows, crop_labels, station_orders, crop_mix_rest,
+    water_right_merge, site_key_build, station_bridge, harvest_timing, read_scenarios,
 ]
 
 
+def tuned(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(tune(spark), sf_dir)
+    run.__doc__ = query.__doc__
+    run.__name__ = query.__name__
+    return run
+
+
 def registered():
-    def tuned(query):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return query(tune(spark), sf_dir)
-        run.__doc__ = query.__doc__
-        run.__name__ = query.__name__
-        return run
-    return {q.__name__: tuned(q) for q in QUERIES}
+    from . import testfiles  # builds on this module
+
+    return {q.__name__: tuned(q) for q in [*QUERIES, *testfiles.QUERIES]}

@@ -368,7 +368,67 @@ _WIDE = ",\n       ".join(
 YEARS = VERDICTS + """,
 spans AS (SELECT station, max("Year") - min("Year") + 1 AS years FROM v GROUP BY ALL)"""
 
+ORDER_RUNS = f"""gaps AS (
+  SELECT o_orderstatus, o_orderkey AS k, {td.RUN_PRICE} - o_totalprice AS d FROM orders WHERE o_totalprice < {td.RUN_PRICE}),
+beside AS (
+  SELECT *, k - lag(k) OVER w AS back, lead(k) OVER w - k AS ahead, lag(d) OVER w AS before
+  FROM gaps WINDOW w AS (PARTITION BY o_orderstatus ORDER BY k)),
+runs AS (SELECT *, CASE WHEN back = 1 THEN d + before END AS two FROM beside WHERE back = 1 OR ahead = 1),
+least AS (SELECT o_orderstatus, min(two) AS two FROM runs GROUP BY ALL),
+pulses AS (
+  SELECT o_orderstatus, max(greatest(d, before)) AS req FROM runs JOIN least USING (o_orderstatus, two) GROUP BY ALL)"""
+_CROP_ROWS = ", ".join(
+    f"({i}, '{c}', '{'Annual_crop' if c in fv.GRAIN_CROPS else 'Hay_crop'}', '{g}', {fv.CROP_GROUP_ORDER.index(g) + 1}, "
+    f"'{fv.CROP_DISPLAY_NAMES.get(c, c)}', {fv.CROP_DISPLAY_ORDER.index(fv.CROP_DISPLAY_NAMES.get(c, c)) + 1})"
+    for i, c in enumerate(td.STUDY_CROPS)
+    for g in ["Corn and onion" if c in fv.CORN_AND_ONION else "Grain crops" if c in fv.GRAIN_CROPS else "Hay crops"])
+_STATION_ROWS = ", ".join(
+    f"({i}, '{short}', '{code or short}', {repr(number) if number else 'NULL'}, {fv.STATION_NAME_ORDER.index(short) + 1}, "
+    f"{fv.STATION_CODE_ORDER.index(code or short) + 1}, {fv.STATION_RATIO_ORDER.index(code or short) + 1})"
+    for i, (_, short, code, number) in enumerate(fv.STATIONS))
+
 SQL = {
+    "order_runs": _with(ORDER_RUNS) + """
+SELECT o_orderstatus, k AS o_orderkey, d AS deficit, req AS "Req_aug", req * 1296000 / 43560 AS "Req_aug_Acft",
+       req * 1296000 / 43560 * 0.5 AS "Fiftyp_aug"
+FROM runs JOIN pulses USING (o_orderstatus)""",
+
+    "order_pulse": _with(ORDER_RUNS) + """
+SELECT o_orderstatus, req AS "Req_aug", req * 1296000 / 43560 AS "Req_aug_Acft",
+       req * 1296000 / 43560 * 0.5 AS "Fiftyp_aug"
+FROM pulses""",
+
+    "any_order_groups": f"""
+SELECT o_custkey, o_orderkey, o_totalprice FROM orders
+WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > {td.KEEP_PRICE})""",
+
+    "event_windows": """
+WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 3.6e9::DOUBLE AS at_ FROM events)
+SELECT w.event_id AS error_id, count(*) AS n, min(e.event_id) AS first_id, max(e.event_id) AS last_id,
+       sum(CAST(round(e.value * 100) AS BIGINT)) / 100.0::DOUBLE AS value
+FROM e w JOIN e ON e.user_id = w.user_id AND e.at_ BETWEEN w.at_ AND w.at_ + w.value * 20
+WHERE w.event_type = 'error' GROUP BY w.event_id""",
+
+    "crop_labels": f"""
+SELECT crop, n, size, crop_kind, crop_group, group_rank, crop_name, crop_rank
+FROM (SELECT p_partkey % {len(td.STUDY_CROPS)} AS i, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY 1)
+JOIN (VALUES {_CROP_ROWS}) c(i, crop, crop_kind, crop_group, group_rank, crop_name, crop_rank) USING (i)""",
+
+    "station_orders": f"""
+SELECT station, label, "SITENO", qty, name_rank, code_place, ratio_place,
+       row_number() OVER (ORDER BY name_rank) AS nth_by_name, row_number() OVER (ORDER BY code_place) AS nth_by_code,
+       row_number() OVER (ORDER BY ratio_place) AS nth_by_ratio
+FROM (SELECT s_nationkey % {len(fv.STATIONS)} AS i, sum(l_quantity) AS qty
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)
+JOIN (VALUES {_STATION_ROWS}) s(i, station, label, "SITENO", name_rank, code_place, ratio_place) USING (i)""",
+
+    "crop_mix_rest": _with(SHIP, CROPPED, SEASON, SITES, BRIDGE, CROP_ACRES) + """
+SELECT station, """ + ", ".join(
+        f"round(max(CASE WHEN group1 = '{g}' THEN acres END), 6) AS \"{g}\"" for g in fv.CROP_GROUP_ORDER[:2]) + """,
+       round(sum(CASE WHEN group1 NOT IN (""" + ", ".join(f"'{g}'" for g in fv.CROP_GROUP_ORDER[:2]) + """) THEN acres END), 6)
+         AS "Other"
+FROM crop_acres GROUP BY station""",
+
     "scenario_window_join": _with(WIN, SHIP) + """
 SELECT simulation, start_date, "Year", count(*) AS n, sum(l_quantity) AS qty,
        min("DOY") AS first_day, max("DOY") AS last_day
@@ -751,4 +811,6 @@ FROM season GROUP BY ALL""",
 
 
 def statements() -> dict[str, str]:
-    return dict(SQL)
+    from . import testfiles_sql  # builds on this module
+
+    return SQL | testfiles_sql.SQL

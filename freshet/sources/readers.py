@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..functions import fixed_values as fv
 from ..functions import keys as k
 from ..functions.semantics import complete_cases, in_values, number
 from ..operators import impact
+from . import sinks
 from . import tables as t
 
 SEPARATORS = [",", "\t", "|", ";", " "]
@@ -34,6 +36,27 @@ def _header(spark: SparkSession, path: str, sep: str | None) -> tuple[list[str],
     return next(csv.reader([line], delimiter=sep)), sep
 
 
+def repaired_names(header: Sequence[str]) -> list[str]:
+    """Names that tell all columns of a header apart: blank ones are called after their position (``V3``),
+    repeats get ``.1``, ``.2``; the first of a repeated name keeps it."""
+    out: list[str] = []
+    for i, name in enumerate(map(str.strip, header), start=1):
+        name, n = name or f"V{i}", 0
+        while (made := f"{name}.{n}" if n else name) in out:
+            n += 1
+        out.append(made)
+    return out
+
+
+def _column_finder(header: Sequence[str], columns: Sequence[str]) -> dict[str, str]:
+    """Our column by repaired name, by folded name, and by position (``#1`` is the first)."""
+    names = repaired_names(header)
+    found = {f"#{i}": c for i, c in enumerate(columns, start=1)}
+    for name, c in zip(names, columns):
+        found.setdefault(_folded(name), c)
+    return found
+
+
 def read_text_table(spark: SparkSession, path: str, sep: str | None = None
                     ) -> tuple[DataFrame, list[str]]:
     """All columns as text, and their names in the file.
@@ -65,18 +88,49 @@ def read_table(spark: SparkSession, path: str, columns: Mapping[str, tuple[str,
                sep: str | None = None, extra: Sequence[Column] = ()) -> DataFrame:
     """Typed, renamed projection of a delimited file (see ``tables``)."""
     df, header = read_text_table(spark, path, sep)
-    found = {_folded(h): c for h, c in zip(header, df.columns)}
+    return df.select(*_picked(_column_finder(header, df.columns), columns, path), *extra)
+
+
+def _picked(found: Mapping[str, str], columns: Mapping[str, tuple[str, str]], path: str) -> list[Column]:
     picked = []
     for out, (name, kind) in columns.items():
-        optional = name.startswith("?")
-        column = found.get(_folded(name.lstrip("?")))
+        optional, name = name.startswith("?"), name.lstrip("?")
+        column = found.get(name if name.startswith("#") else _folded(name))
         if column is not None:
             picked.append(_value(column, kind).alias(out))
         elif optional:
             picked.append(F.lit(None).cast(kind).alias(out))
         else:
             raise ValueError(f"{path}: no column {name!r}")
-    return df.select(*picked, *extra)
+    return picked
+
+
+class Ragged(NamedTuple):
+    """rows   rows of the table; those short of columns are padded with NULL
+    long   rows with text beyond the last column: the columns, ``beyond`` (what follows) and ``file``
+    """
+
+    rows: DataFrame
+    long: DataFrame
+
+
+def read_ragged_table(spark: SparkSession, path: str, columns: Mapping[str, tuple[str, str]], *,
+                      sep: str | None = None) -> Ragged:
+    """A delimited file whose rows need not have as many cells as the header.
+
+    Short rows are filled.  A row with text in a cell beyond the header has shifted somewhere: it is
+    kept apart rather than read wrongly.  Blank cells at the end do no harm.
+    """
+    header, sep = _header(spark, path, sep)
+    names = [f"c{i}" for i in range(len(header))]
+    schema = StructType([StructField(n, StringType()) for n in [*names, "_beyond"]])
+    # all columns are parsed, or the rows' lengths would not be known; the header may differ between files
+    df = spark.read.option("columnPruning", False).csv(
+        path, schema=schema, sep=sep, header=True, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE")
+    picked = _picked(_column_finder(header, names), columns, path)
+    beyond = F.trim(F.coalesce("_beyond", F.lit("")))
+    return Ragged(df.where(beyond == "").select(*picked),
+                  df.where(beyond != "").select(*picked, beyond.alias("beyond"), F.col("_metadata.file_path").alias("file")))
 
 
 def folder_name(file: str) -> Column:
@@ -122,7 +176,8 @@ def daily_events(daily: DataFrame, grids: DataFrame, *, crops: Sequence[str] | N
 
     Filters come before the join to the grid factors.
     """
-    kept = daily.where(in_values("crop", crops or fv.GRAIN_CROPS + fv.HAY_CROPS)
+    # plain membership, which a scan can test; a NULL crop is no member either way
+    kept = daily.where(F.col("crop").isin(list(crops or fv.GRAIN_CROPS + fv.HAY_CROPS))
                        & F.col("DOY").between(*days) & (F.col("irrig") > 0))
     factors = grids.select("crop", "site", "region", "Irrigation", "ML_Fraction", "WM_ML_factor")
     return (complete_cases(kept).join(factors, ["crop", "site", "region"], "left")
@@ -130,12 +185,30 @@ def daily_events(daily: DataFrame, grids: DataFrame, *, crops: Sequence[str] | N
 
 
 def read_daily_scenarios(spark: SparkSession, root: str, grids: DataFrame,
-                         file: str = "daily_result.dat", sep: str | None = None) -> DataFrame:
-    rows = read_table(spark, f"{root.rstrip('/')}/*/{file}", t.DAILY, sep=sep,
+                         file: str = "daily_result.dat", sep: str | None = None,
+                         simulations: Sequence[str] | None = None) -> DataFrame:
+    """Daily events of the scenario folders under ``root``; of ``simulations``, only their folders are opened."""
+    folders = "*" if simulations is None else "{" + ",".join(simulations) + "}"
+    rows = read_table(spark, f"{root.rstrip('/')}/{folders}/{file}", t.DAILY, sep=sep,
                       extra=[folder_name(file).alias("simulation")])
     return daily_events(rows, grids)
 
 
+def read_daily_tree(spark: SparkSession, root: str, grids: DataFrame, *, simulations: Sequence[str] | None = None,
+                    years: tuple[int, int] | None = None, crops: Sequence[str] | None = None) -> DataFrame:
+    """Daily events of a Parquet tree by simulation and year (``sinks.write_partitioned``).
+
+    Folders of other simulations and years are never listed for reading; crop, day and amount are tested in
+    the scan; the grid's factors come after.
+    """
+    rows = spark.read.parquet(root).select(*t.DAILY, "simulation")
+    if simulations is not None:
+        rows = rows.where(F.col("simulation").isin(list(simulations)))
+    if years is not None:
+        rows = rows.where(F.col("Year").between(*years))
+    return daily_events(rows, grids, crops=crops)
+
+
 def read_daily_baseline(spark: SparkSession, path: str, grids: DataFrame,
                         sep: str | None = None) -> DataFrame:
     rows = read_table(spark, path, t.DAILY, sep=sep,
@@ -187,11 +260,12 @@ def read_station_cells(spark: SparkSession, cells_path: str, outlets_path: str,
                        stations: Sequence[str] | None = None) -> DataFrame:
     """station, SITENO, site: the cells contributing to each station.
 
-    Cells carry the station's code or its number, whichever the file has.
+    Cells carry the station's code or its number, whichever the file has.  Cell files are ragged:
+    rows short of cells are filled, rows with more text than columns are left out (see :func:`read_ragged_table`).
     """
     outlets = read_table(spark, outlets_path, t.STATION_OUTLET).select(
         "SITENO", "StationCode", "station")
-    cells = read_table(spark, cells_path, t.CONTRIBUTING_CELL)
+    cells = read_ragged_table(spark, cells_path, t.CONTRIBUTING_CELL).rows
     header, _ = _header(spark, cells_path, None)
     shared = [c for c in ("StationCode", "SITENO") if c in header]
     cells = cells.select("cell", *shared).withColumn("site", k.grid_site_from_cell("cell"))
@@ -251,3 +325,11 @@ def matching_files(spark: SparkSession, pattern: str) -> list[str]:
     """Paths of the files a pattern matches (for the few wide rule tables)."""
     files = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("p")).distinct()
     return sorted(r.p for r in files.collect())
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of a table that ``sinks.publish`` has made visible."""
+    entry = sinks.last_entry(spark, path)
+    if entry is None:
+        raise ValueError(f"{path}: nothing published")
+    return spark.read.schema(StructType.fromJson(entry["schema"])).parquet(f"{path.rstrip('/')}/{entry['data']}")
