@@ -9,13 +9,15 @@ variable length, which ends with the least run of ``GRAM`` words (by hash) that
 its first ``WINDOW`` words: equal windows have equal prefixes, and neighbouring suffixes mostly
 share the run, so that one record of words carries all of them.
 
-1.  Runs are counted over all documents.  A prefix whose run occurs once leads to a single leaf: no words
-    are sent for it.
-2.  The records of a run that occurs up to ``GROUP`` times make a group that fits in memory.  Its suffixes are
-    sorted; the common prefix of neighbours gives the internal nodes of the subtree.  The leaves below a
-    node ``WINDOW`` words deep or deeper are repeats.  Groups are built many at a time, never cut.
-3.  Suffixes of a more frequent run take the longest prefix, all ``WINDOW`` words, as a 128-bit digest.  There the
-    node itself is the group, and what is left to know of it is a count, combined before the shuffle.
+1.  Every document gives one seed for each run that ends prefixes: the run, a digest of its record, the place.
+    The seeds are put in order of run and record in range slices (``operators.slices``), so that a frequent run
+    is cut as well.  Equal records are one leaf of the run's subtree, and a leaf held by several places is a
+    node as deep as the record: all its suffixes are repeats.  A run with one leaf is a single path; no words are sent for it.
+2.  Of a run with other leaves and some that are held once, the words of each leaf are sent once, as a group that fits in
+    memory.  Its suffixes are sorted; the common prefix of neighbours gives the internal nodes of the subtree, and the leaves
+    below a node ``WINDOW`` words deep or deeper are repeats.  Groups are built many at a time, never cut.
+3.  Suffixes of a run with more than ``GROUP`` leaves are split by the longest prefix, all ``WINDOW`` words, as
+    a 128-bit digest.  There the node itself is the group, and what is left to know of it is a count, taken over range slices.
 
 Equal texts are one class from the start: all windows of a class with several rows are repeats, and it takes
 part once in the search.  NULL and empty texts have no words; nothing is removed from a text with fewer words than a
@@ -33,14 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import slices
 from ._common import arrow_batch, arrow_schema, documents, hash_words, mix, only, small_batches, stage
 
 #: words of a window
 WINDOW = 35
 #: words of the run that ends a prefix
 GRAM = 8
-#: records that a subtree may have
+#: leaves that a subtree built in memory may have
 GROUP = 4096
+#: seeds of one range slice
+SLICE_ROWS = 1_000_000
 #: records of the subtrees built at once
 AT_ONCE = 8192
 
@@ -72,6 +77,23 @@ def prefixes(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tupl
     return run[at[first]], at[first], first, last
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def _contents(words: list[bytes], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Digests of the runs of words from ``start`` to before ``stop``: polynomials of the words' hashes."""
+    terms = mix(hash_words(words)) * _powers(_BASE, len(words))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+    return mix((upto[stop] - upto[start]) * _powers(_BACK, len(words))[start] + (stop - start).astype(np.uint64))
+
+
 def deep(rows: np.ndarray) -> np.ndarray:
     """Which suffixes, cut to a window, lie below an internal node as deep as the window."""
     n, depth = rows.shape
@@ -87,33 +109,39 @@ def deep(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _with_digest(docs: DataFrame) -> DataFrame:
+#: a text's class: 96 bits of its SHA-256
+CLASS = ["d1", "d2"]
+
+
+def _with_class(docs: DataFrame, *others: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("digest"), text.alias("text"))
+    digest = F.sha2(text, 256)
+    return docs.select(
+        *others, F.conv(F.substring(digest, 1, 16), 16, -10).cast("long").alias("d1"),
+        (F.conv(F.substring(digest, 17, 8), 16, 10).cast("long") - (1 << 31)).cast("int").alias("d2"), text.alias("text"))
 
 
 def _seeds(batches, window: int, gram: int, out: pa.Schema):
+    """Seeds of the texts of a task, of equal texts once."""
     only("words")
+    seen = set()
     for b in batches:
-        runs, digests, places = [], [], []
-        for digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            run, at, _, _ = prefixes(split(text), window, gram)
-            runs.append(run.view(np.int64))
-            places.append(at.astype(np.int32))
-            digests += [digest] * len(run)
-        if digests:
-            yield arrow_batch(out, [np.concatenate(runs), digests, np.concatenate(places)])
-
-
-def _wanted(batches, window: int, gram: int):
-    """(digest, words, (run's hash, its place, first, last) of the places asked for) of each row."""
-    only("words")
-    for b in batches:
-        for digest, text, places in zip(*(c.to_pylist() for c in b.columns)):
+        runs, contents, places, ones, twos = [], [], [], [], []
+        for d1, d2, text in zip(*(c.to_pylist() for c in b.columns)):
+            if (d1, d2) in seen:
+                continue
+            seen.add((d1, d2))
             words = split(text)
-            found = prefixes(words, window, gram)
-            asked = np.isin(found[1], places)
-            yield digest, words, [f[asked].tolist() for f in (found[0].view(np.int64), *found[1:])]
+            run, at, first, last = prefixes(words, window, gram)
+            if len(run):
+                runs.append(run.view(np.int64))
+                places.append(at.astype(np.int32))
+                contents.append(_contents(words, first, last + window).view(np.int64))
+                ones.append(np.full(len(run), d1, np.int64))
+                twos.append(np.full(len(run), d2, np.int32))
+        if contents:
+            yield arrow_batch(out, [np.concatenate(runs), np.concatenate(contents), np.concatenate(ones),
+                                    np.concatenate(twos), np.concatenate(places)])
 
 
 def _chunks(rows, out: pa.Schema):
@@ -128,34 +156,36 @@ def _chunks(rows, out: pa.Schema):
 
 
 def _records(batches, window: int, gram: int, out: pa.Schema):
-    def rows():
-        for digest, words, found in _wanted(batches, window, gram):
-            for run, _, first, last in zip(*found):
-                yield run, digest, first, b" ".join(words[first:last + window])
-
-    yield from _chunks(rows(), out)
-
-
-def _long_prefixes(batches, window: int, gram: int, out: pa.Schema):
+    """Of the places asked for: the record's words, or the full prefix of each of its suffixes."""
     import xxhash
 
+    only("words")
+
     def rows():
-        for digest, words, found in _wanted(batches, window, gram):
-            for _, _, first, last in zip(*found):
-                for p in range(first, last + 1):
-                    yield xxhash.xxh3_128_digest(b" ".join(words[p:p + window])), digest, p
+        for b in batches:
+            for d1, d2, text, asked in zip(*(c.to_pylist() for c in b.columns)):
+                words = split(text)
+                run, at, first, last = prefixes(words, window, gram)
+                spots = np.searchsorted(at, [r["place"] for r in asked]).tolist()
+                for i, r in zip(spots, asked):
+                    low, high = int(first[i]), int(last[i])
+                    if not r["many"]:
+                        yield int(run[i].view(np.int64)), d1, d2, low, r["alone"], b" ".join(words[low:high + window]), None
+                        continue
+                    for p in range(low, high + 1):
+                        yield None, d1, d2, p, r["alone"], None, xxhash.xxh3_128_digest(b" ".join(words[p:p + window]))
 
     yield from _chunks(rows(), out)
 
 
 def _subtrees(batches, window: int, out: pa.Schema, at_once: int):
-    """Ranges of repeated suffixes, from records in order of their runs."""
+    """Ranges of repeated suffixes of the leaves held once, from records in order of their runs."""
     only()
 
     def build(records):
         numbers: dict = {}
         ids, sizes = [], []
-        for words in records.column(3).to_pylist():
+        for words in records.column(5).to_pylist():
             row = [numbers.setdefault(w, len(numbers)) for w in words.split(b" ")]
             sizes.append(len(row) - window + 1)
             ids.append(row)
@@ -165,13 +195,13 @@ def _subtrees(batches, window: int, out: pa.Schema, at_once: int):
         begin = np.cumsum(sizes) - sizes  # a record has window - 1 words more than suffixes
         inside = np.arange(len(record)) - begin[record]
         marked = deep(flat[(inside + (begin + np.arange(len(sizes)) * (window - 1))[record])[:, None] + np.arange(window)])
+        marked &= records.column(4).to_numpy(zero_copy_only=False)[record]
         ahead = np.append(False, marked[:-1]) & (inside > 0)
         behind = np.append(marked[1:], False) & (inside < sizes[record] - 1)
         low, high = np.flatnonzero(marked & ~ahead), np.flatnonzero(marked & ~behind)
-        start = records.column(2).to_numpy()[record[low]]
-        return pa.RecordBatch.from_arrays(
-            [records.column(1).take(pa.array(record[low])), pa.array(start + inside[low], pa.int32()),
-             pa.array(start + inside[high], pa.int32())], schema=out)
+        taken = records.take(pa.array(record[low]))
+        start = taken.column(3).to_numpy()
+        return arrow_batch(out, [taken.column(1), taken.column(2), pa.nulls(len(low), pa.int32()), start + inside[low], start + inside[high]])
 
     held, n = [], 0
     for b in batches:
@@ -189,46 +219,85 @@ def _subtrees(batches, window: int, out: pa.Schema, at_once: int):
         yield build(pa.concat_batches(held))
 
 
+def leaves(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The seeds that share a run with another one: run, class, place, alone, asked, n.
+
+    alone   no other place holds the same record
+    asked   one place of each leaf, in the runs where a subtree has to be built; these rows are apart from the others
+    n       leaves of the run, of rows asked
+    """
+    schema = "run long, content long, d1 long, d2 int, place int"
+    spark = docs.sparkSession
+    seeds = stage(docs.mapInArrow(partial(_seeds, window=window, gram=gram, out=arrow_schema(schema)), schema), "seeds")
+    n = max(spark.sparkContext.defaultParallelism, -(-seeds.count() // SLICE_ROWS))
+    spot = ["content", *CLASS, "place"]
+    cut = slices.cut(seeds, ["run"], spot, "seeds", n)
+    rows = cut.select(slices.SLICE, "run", *spot).dropDuplicates()  # copies of other tasks
+    rows = slices.neighbours(rows, ["run"], spot, ["content"], table=cut)
+    rows = rows.where(F.col("before").isNotNull() | F.col("after").isNotNull())
+    other = lambda side: F.coalesce(F.col(f"{side}.content") != F.col("content"), F.lit(True))
+    shared = stage(rows.select("run", *CLASS, "place", other("before").alias("leader"), (other("before") & other("after")).alias("alone")),
+                   "shared")
+    runs = shared.groupBy("run").agg(F.sum(F.col("leader").cast("long")).alias("n"), F.max("alone").alias("some_alone"))
+    # one plan at every size: a broadcast where the runs are few would only hide what the join shuffles
+    built = shared.where("leader").join(runs.where("some_alone AND n > 1").hint("merge"), "run").select(
+        "run", *CLASS, "place", "alone", F.lit(True).alias("asked"), "n")
+    held = shared.where("NOT alone").select("run", *CLASS, "place", "alone", F.lit(False).alias("asked"), F.lit(0).cast("long").alias("n"))
+    return stage(built.union(held), "leaves")
+
+
 def repeats(docs: DataFrame, classes: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP,
             at_once: int = AT_ONCE) -> DataFrame:
-    """(digest, low, high): ranges of suffixes of a text, by its digest, whose window starts elsewhere as well."""
-    schema = "run long, digest binary, place int"
-    seeds = stage(docs.mapInArrow(partial(_seeds, window=window, gram=gram, out=arrow_schema(schema)), schema)
-                  .distinct(), "seeds")
-    counts = seeds.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
-    asked = seeds.join(counts, "run")
-
-    def of(kind, fn, schema):
-        places = asked.where(kind).groupBy("digest").agg(F.collect_list("place").alias("places"))
-        rows = classes.select("digest", "text").join(places, "digest")
-        return rows.mapInArrow(partial(fn, window=window, gram=gram, out=arrow_schema(schema)), schema)
-
-    ranges = "digest binary, low int, high int"
-    records = of(F.col("n") <= group, _records, "run long, digest binary, first int, words binary")
-    trees = (records.repartition("run").sortWithinPartitions("run")
+    """(d1, d2, place, low, high): ranges of suffixes of a text, by its class, whose window starts elsewhere as well.
+
+    A NULL range stands for all suffixes whose prefix ends at ``place``.
+    """
+    spark = docs.sparkSession
+    found = leaves(docs, window=window, gram=gram)
+    nothing = F.lit(None).cast("int")
+    whole = found.where(~F.col("alone") & ~F.col("asked")).select(*CLASS, "place", nothing.alias("low"), nothing.alias("high"))
+
+    places = found.where("asked").groupBy(*CLASS).agg(F.collect_list(F.struct(
+        "place", "alone", (F.col("n") > group).alias("many"))).alias("places"))
+    schema = "run long, d1 long, d2 int, first int, alone boolean, words binary, prefix binary"
+    records = stage(classes.select(*CLASS, "text").join(places, CLASS).mapInArrow(
+        partial(_records, window=window, gram=gram, out=arrow_schema(schema)), schema), "records")
+    ranges = "d1 long, d2 int, place int, low int, high int"
+    trees = (records.where("prefix IS NULL").drop("prefix").repartition("run").sortWithinPartitions("run")
              .mapInArrow(partial(_subtrees, window=window, out=arrow_schema(ranges), at_once=at_once), ranges))
-    suffixes = of(F.col("n") > group, _long_prefixes, "prefix binary, digest binary, place int")
-    several = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-    return trees.union(suffixes.join(several, "prefix").select("digest", "place", "place"))
+    marks = whole.union(trees)
+    suffixes = records.where("prefix IS NOT NULL").select("prefix", *CLASS, "first", "alone")
+    n = -(-suffixes.count() // SLICE_ROWS)
+    if n:
+        cut = slices.cut(suffixes, ["prefix"], [*CLASS, "first"], "suffixes", max(n, spark.sparkContext.defaultParallelism))
+        held = slices.group_totals(cut, ["prefix"], {"n": (F.sum, F.lit(1))}, cut)
+        marks = marks.union(held.where((F.col("n") > 1) & F.col("alone")).select(*CLASS, nothing, "first", "first"))
+    return marks
 
 
-def _cleaned(batches, window: int, out: pa.Schema, digest_only: bool):
-    only()
+def _cleaned(batches, window: int, gram: int, out: pa.Schema, digest_only: bool):
+    only("words")
     for b in batches:
         rows = []
-        for digest, text, n, ranges in zip(*(c.to_pylist() for c in b.columns)):
+        for d1, d2, text, n, marks in zip(*(c.to_pylist() for c in b.columns)):
             words = split(text)
             gone = np.zeros(len(words) + 1, np.int64)
             if len(words) >= window:
                 if n > 1:
                     gone[0] = 1
-                else:
-                    for r in ranges or ():
-                        gone[r["low"]] += 1
-                        gone[r["high"] + window] -= 1
+                elif marks:
+                    places = [m["place"] for m in marks if m["low"] is None]
+                    ranges = [(m["low"], m["high"]) for m in marks if m["low"] is not None]
+                    if places:
+                        _, at, first, last = prefixes(words, window, gram)
+                        spots = np.searchsorted(at, places)
+                        ranges += zip(first[spots].tolist(), last[spots].tolist())
+                    for low, high in ranges:
+                        gone[low] += 1
+                        gone[high + window] -= 1
             gone = np.cumsum(gone)[:-1] > 0
             kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-            rows.append((digest, len(words), int(gone.sum()),
+            rows.append((d1, d2, len(words), int(gone.sum()),
                          hashlib.sha256(kept).hexdigest() if digest_only else kept.decode()))
         if rows:
             yield arrow_batch(out, list(zip(*rows)))
@@ -243,16 +312,15 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int
     if not gram <= window:
         raise ValueError("a run must fit in a window")
     small_batches(docs.sparkSession)
-    texts = _with_digest(docs)
-    classes = texts.groupBy("digest").agg(F.any_value("text").alias("text"), F.count("*").alias("n"))
+    texts = _with_class(docs)
+    classes = texts.groupBy(*CLASS).agg(F.any_value("text").alias("text"), F.count("*").alias("n"))
     found = repeats(texts, classes, window=window, gram=gram, group=group, at_once=at_once)
-    ranges = found.groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    marks = found.groupBy(*CLASS).agg(F.collect_list(F.struct("place", "low", "high")).alias("marks"))
     kept = "kept_sha256" if digest_only else "kept"
-    schema = f"digest binary, n_words long, n_removed long, {kept} string"
-    done = (classes.join(ranges, "digest", "left").select("digest", "text", "n", "ranges")
-            .mapInArrow(partial(_cleaned, window=window, out=arrow_schema(schema), digest_only=digest_only), schema))
-    ids = docs.select("doc_id", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).alias("digest"))
-    return ids.join(done, "digest").drop("digest")
+    schema = f"d1 long, d2 int, n_words long, n_removed long, {kept} string"
+    done = (classes.join(marks, CLASS, "left").select(*CLASS, "text", "n", "marks")
+            .mapInArrow(partial(_cleaned, window=window, gram=gram, out=arrow_schema(schema), digest_only=digest_only), schema))
+    return _with_class(docs, "doc_id").drop("text").join(done, CLASS).drop(*CLASS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
