@@ -28,6 +28,8 @@ _CUT, _LINE = (re.compile(f"(?<=[^\\s\\u180e\\u200b\\u2060\\ufeff]){c}(?=[^\\s\\
 _ODD_ASCII = ["  ", " \n", "\n ", "\n\n", *"\t\r\v\f\x1c\x1d\x1e\x1f"]
 _ODD = [*_ODD_ASCII, *map(chr, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F,
                                 0x2060, 0x3000, 0xFEFF])]
+#: the space as byte-level vocabularies spell it, and words of a line of words to encode
+SPACE, LINE = "\u0120", 500
 #: stands before the key of a part that no space came before
 HEAD = "\0"
 _MARKS = frozenset(".,;:!?")
@@ -60,6 +62,13 @@ class PieceEncoder:
         self.lowered = lowered
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        #: which ids begin with a space, where the tokenizer keeps spaces before words
+        self.spaced = None
+        if not lowered and not any(t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", ())):
+            spaced = np.zeros(size, bool)
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+                spaced[i] = token.startswith(SPACE)
+            self.spaced = spaced if spaced.any() else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -71,7 +80,31 @@ class PieceEncoder:
             out[i] = len(token)
         return out
 
+    def _joined(self, keys: list[str]) -> list[bytes] | None:
+        """Ids of words, behind a space each, encoded as lines of many; None if they cannot be told apart."""
+        lines = [" " + " ".join(keys[i:i + LINE]) for i in range(0, len(keys), LINE)]
+        ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(
+            lines, add_special_tokens=False)])
+        first = np.flatnonzero(self.spaced[ids])
+        if len(first) != len(keys):
+            return None
+        data, size = ids.tobytes(), ids.itemsize
+        cuts = [*(first * size).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _library(self, keys: list[str]) -> list[bytes]:
+        if self.spaced is not None:
+            # without a space inside, only a word's first id begins with one
+            words = [k for k in keys if k.isalnum() or k.isascii() and k.isprintable() and " " not in k]
+            found = self._joined(words) if len(words) > 1 else None
+            if found is not None:
+                known = dict(zip(words, found))
+                others = [k for k in keys if k not in known]
+                known.update(zip(others, self._each(others)))
+                return [known[k] for k in keys]
+        return self._each(keys)
+
+    def _each(self, keys: list[str]) -> list[bytes]:
         parts = keys if self.lowered else [k[1:] if k[0] == HEAD else " " + k for k in keys]
         return [np.array(e.ids, self.dtype).tobytes()
                 for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
