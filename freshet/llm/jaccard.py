@@ -16,7 +16,7 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
 4. A cell's sets are stored in a trie in global order, frequent shingles first so that copies share their
    paths.  Each set walks the trie once: the overlap with a path is carried down to all sets
    below it, and a subtree is left as soon as what remains of the set and of the subtree's
-   sets cannot reach the overlap their lengths call for.
+   sets cannot reach the overlap their lengths call for.  Each pair is met from one end only.
 5. Cells of more than ``BLOCK`` classes are cut by size bands (only neighbouring ones can link) and within them
    by hash; every pair of blocks gets a task, so each pair of classes meets exactly once.
 6. A task gives each class its number of links and a root of its local component, not its pairs; the
@@ -113,10 +113,12 @@ class Trie:
     def __init__(self, sets: list[np.ndarray]):
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         self.sizes = [len(s) for s in sets]
-        # a node: [tokens from its parent down, children, sets ending here, least size, largest size, depth]
-        self.root = [np.empty(0, np.uint32), [], [], 0, 0, 0]
+        # a node: [tokens from its parent down, children, sets ending here, least size, largest size, depth, first place]
+        self.root = [np.empty(0, np.uint32), [], [], 0, 0, 0, 0]
+        self.places = [0] * len(sets)
         path, before = [self.root], None
-        for i in order:
+        for place, i in enumerate(order):
+            self.places[i] = place
             own = sets[i]
             shared = 0
             if before is not None:
@@ -127,12 +129,12 @@ class Trie:
                 low = path.pop()
                 if path[-1][5] < shared:  # cut the edge
                     keep = shared - path[-1][5]
-                    upper = [low[0][:keep], [low], [], 0, 0, shared]
+                    upper = [low[0][:keep], [low], [], 0, 0, shared, low[6]]
                     low[0] = low[0][keep:]
                     path[-1][1][-1] = upper
                     path.append(upper)
             if len(own) > shared:
-                leaf = [own[shared:], [], [i], 0, 0, len(own)]
+                leaf = [own[shared:], [], [i], 0, 0, len(own), place]
                 path[-1][1].append(leaf)
                 path.append(leaf)
             else:
@@ -152,47 +154,65 @@ class Trie:
             highs = below + [c[4] for c in node[1]]
             node[3], node[4] = min(lows, default=0), max(highs, default=0)
 
-    def reach(self, probe: np.ndarray, mark: np.ndarray, num: int, both: int) -> list[int]:
+    def reach(self, probe: np.ndarray, mark: np.ndarray, num: int, both: int, before: int | None = None) -> list[int]:
         """Sets whose similarity with ``probe`` is num / (both - num) or more; mark[t]: t is in the probe.
 
-        A pair needs an overlap of num / both of the sum of its sizes.
+        A pair needs an overlap of num / both of the sum of its sizes.  With ``before`` only sets at
+        earlier places in the trie's order count, and subtrees behind are not entered.
         """
         n, found = len(probe), []
         least, most = -(-n * num // (both - num)), n * (both - num) // num
         todo = [(c, 0) for c in self.root[1]]
         while todo:
             node, overlap = todo.pop()
-            tokens, children, ends, low, high, depth = node
-            if high < least or low > most:
+            tokens, children, ends, low, high, depth, place = node
+            if high < least or low > most or before is not None and place >= before:
                 continue
             need = -(-num * (n + max(low, least)) // both)
-            before = depth - len(tokens)
-            if overlap + min(n - overlap, high - before) < need:
+            above = depth - len(tokens)
+            if overlap + min(n - overlap, high - above) < need:
                 continue
             overlap += int(np.count_nonzero(mark[tokens]))
             # what the probe has behind the path's last token, what the longest set has below
             if overlap + min(n - int(np.searchsorted(probe, tokens[-1], "right")), high - depth) < need:
                 continue
             for i in ends:
-                if both * overlap >= num * (n + self.sizes[i]):
+                if both * overlap >= num * (n + self.sizes[i]) and (before is None or self.places[i] < before):
                     found.append(i)
             for c in children:
                 todo.append((c, overlap))
         return found
 
 
-def links(sets: list[np.ndarray], num: int, both: int):
-    """For every set the sets it links with, itself left out."""
+def pairs(sets: list[np.ndarray], num: int, both: int, sides: list[int] | None = None):
+    """For every set the sets it links with, each pair from one of its ends only.
+
+    sides   0 (or None): all pairs; else a trie of the sets of side 1 is walked by those of side 2
+    """
     every, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(every), np.uint32)
     rank[np.lexsort((every, -counts))] = np.arange(len(every), dtype=np.uint32)
     at = np.cumsum([0] + [len(s) for s in sets])
     ranked = [np.sort(rank[inverse[a:b]]) for a, b in zip(at, at[1:])]
-    trie, mark = Trie(ranked), np.zeros(len(every), bool)
+    sides = sides or [0] * len(sets)
+    held = [i for i, side in enumerate(sides) if side < 2]
+    trie, mark = Trie([ranked[i] for i in held]), np.zeros(len(every), bool)
+    place = dict(zip(held, trie.places))
     for i, own in enumerate(ranked):
-        mark[own] = True
-        yield i, [j for j in trie.reach(own, mark, num, both) if j != i]
-        mark[own] = False
+        if sides[i] != 1:
+            mark[own] = True
+            yield i, [held[j] for j in trie.reach(own, mark, num, both, place[i] if sides[i] == 0 else None)]
+            mark[own] = False
+
+
+def links(sets: list[np.ndarray], num: int, both: int):
+    """For every set the sets it links with, itself left out."""
+    out: list[list[int]] = [[] for _ in sets]
+    for i, others in pairs(sets, num, both):
+        out[i] += others
+        for j in others:
+            out[j].append(i)
+    return enumerate(out)
 
 
 def _root(parent: list[int], i: int) -> int:
@@ -420,12 +440,12 @@ def _linked(rows: DataFrame, members: DataFrame, width: int, num: int, both: int
                 copies.append(row["copies"])
                 found.append(own)
         parent, total = list(range(len(reps))), [0] * len(reps)
-        for i, others in links(found, num, both):
+        for i, others in pairs(found, num, both, sides):
             for j in others:
-                if sides[i] != sides[j] or sides[i] == 0:
-                    total[i] += copies[j]
-                    a, b = _root(parent, i), _root(parent, j)
-                    parent[max(a, b)] = min(a, b)
+                total[i] += copies[j]
+                total[j] += copies[i]
+                a, b = _root(parent, i), _root(parent, j)
+                parent[max(a, b)] = min(a, b)
         roots = [reps[_root(parent, i)] for i in range(len(reps))]
         return pa.Table.from_batches([arrow_batch(schema, [reps, total, roots])], schema=schema)
 
