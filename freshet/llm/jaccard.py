@@ -187,7 +187,7 @@ class Trie:
 def pairs(sets: list[np.ndarray], num: int, both: int, sides: list[int] | None = None):
     """For every set the sets it links with, each pair from one of its ends only.
 
-    sides   0 (or None): all pairs; else a trie of the sets of side 1 is walked by those of side 2
+    sides   0 (or None): all pairs among these; the sets of sides 0 and 1 make the trie, those of side 2 walk it
     """
     every, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(every), np.uint32)
@@ -316,7 +316,8 @@ def _cells(rows: DataFrame, firsts, ranges: int, num: int, den: int) -> DataFram
 def _blocks(members: DataFrame, limit: float) -> DataFrame:
     """Rows (rep, cell, copies, n) once per task they go to, with ``task`` and ``side``.
 
-    side   0: to be compared with all others of the task; otherwise only across sides 1 and 2
+    side   0 and 1: the trie's sets, 0 also to be compared among themselves; 2: only compared with the trie.
+           A block meets itself where it meets the next one, not in a task of its own
     """
     band = F.floor(F.log("n") / float(np.log(1 / limit))).cast("int")
     sized = members.withColumn("band", band)
@@ -332,22 +333,26 @@ def _blocks(members: DataFrame, limit: float) -> DataFrame:
         .join(near, ["cell", "band"], "left").join(under, ["cell", "band"], "left") \
         .withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
 
+    above, below, last = (F.coalesce(c, F.lit(0)) for c in (F.col("above"), F.col("below"), F.col("cuts") - 1))
+
     def to(count, first_band, mine_first):
         """Tasks against every block of a band."""
         return F.transform(
-            F.when(F.coalesce(count, F.lit(0)) > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")),
+            F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")),
             lambda j: F.struct(
                 F.concat_ws(":", F.col("cell").cast("string"), first_band.cast("string"), F.lit("n"),
                             *((F.col("cut").cast("string"), j.cast("string")) if mine_first
                               else (j.cast("string"), F.col("cut").cast("string")))).alias("task"),
-                F.lit(1 if mine_first else 2).alias("side")))
+                (F.when(j == F.pmod("cut", F.greatest(above, F.lit(1))), 0).otherwise(1) if mine_first else F.lit(2)).alias("side")))
 
-    # within the band: with itself, and with each other block from the lower number's side
-    inside = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(
+    # within the band: with each other block from the lower number's side; with itself only where none is to follow
+    alone = (above == 0) & (F.col("cut") == last)
+    inside = F.transform(F.filter(F.sequence(F.lit(0), last), lambda j: (j != F.col("cut")) | alone), lambda j: F.struct(
         F.concat_ws(":", F.col("cell").cast("string"), F.col("band").cast("string"), F.lit("i"),
                     F.least(j, F.col("cut")).cast("string"), F.greatest(j, F.col("cut")).cast("string")).alias("task"),
-        F.when(j == F.col("cut"), 0).when(F.col("cut") < j, 1).otherwise(2).alias("side")))
-    tasks = F.concat(inside, to(F.col("above"), F.col("band"), True), to(F.col("below"), F.col("band") - 1, False))
+        F.when((j == F.col("cut")) | (above == 0) & (j == F.col("cut") + 1), 0)
+        .when(F.col("cut") < j, 1).otherwise(2).alias("side")))
+    tasks = F.concat(inside, to(above, F.col("band"), True), to(below, F.col("band") - 1, False))
     cut = large.select("rep", "copies", "n", F.explode(tasks).alias("t")).select("rep", "copies", "n", "t.task", "t.side")
     return small.union(cut)
 
