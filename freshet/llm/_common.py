@@ -132,6 +132,19 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
+def presser() -> Callable[[bytes], bytes]:
+    """A compressor for what is shuffled, one for each task."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress
+
+
+def opener() -> Callable[[bytes], bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress
+
+
 def deltas(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending.dtype.type(0))
 

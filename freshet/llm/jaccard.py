@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._clusters import components
-from ._common import arrow_batch, arrow_schema, deltas, documents, map_texts, only, packed, shingles, small_batches, stage, unpacked, words
+from ._common import arrow_batch, arrow_schema, deltas, documents, only, opener, packed, presser, shingles, small_batches, stage, unpacked, words
 
 SLOT_BITS, CHUNK_BITS, FAN_IN = 22, 18, 64
 BLOCK = 600
@@ -67,10 +67,10 @@ def _profile(rows: DataFrame, width: int) -> DataFrame:
             yield arrow_batch(schema, [ids, [len(s) for s in sets],
                                        [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                                        batch.column(2), [None] * n, [None] * n, [None] * n])
-        task = TaskContext.get().partitionId()
+        task, press = TaskContext.get().partitionId(), presser()
         for c, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
             if part.any():
-                yield arrow_batch(schema, [[None], [None], [None], [None], [task], [c], [part.tobytes()]])
+                yield arrow_batch(schema, [[None], [None], [None], [None], [task], [c], [press(packed(part))]])
 
     return rows.mapInArrow(run, ddl)
 
@@ -81,10 +81,12 @@ def _rarity(profile: DataFrame) -> np.ndarray:
     schema = arrow_schema(ddl)
 
     def add(table):
-        parts = [np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()]
-        total = np.minimum(np.sum(parts, axis=0, dtype=np.uint64), 2**32 - 1).astype(np.uint32)
+        total, unpress = np.zeros(1 << CHUNK_BITS, np.uint64), opener()
+        for part in table.column("counts"):
+            total += unpacked(unpress(part.as_py()), np.uint32)
+        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
         return pa.Table.from_batches([arrow_batch(schema, [
-            [table.column("task")[0].as_py()], [table.column("chunk")[0].as_py()], [total.tobytes()]])],
+            [table.column("task")[0].as_py()], [table.column("chunk")[0].as_py()], [presser()(packed(total))]])],
             schema=schema)
 
     counts = profile.where("counts is not null").select("task", "chunk", "counts")
@@ -97,8 +99,9 @@ def _rarity(profile: DataFrame) -> np.ndarray:
             break
         counts = stage(counts, "counts")
     out = np.zeros((1 << SLOT_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
+    unpress = opener()
     for r in counts.collect():  # one row a chunk
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint32)
+        out[r["chunk"]] = unpacked(unpress(r["counts"]), np.uint32)
     return out.ravel()
 
 
@@ -421,14 +424,28 @@ def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: s
         F.coalesce("component_id", "doc_id").alias("component_id"), *(["mark"] if mark is not None else []))
 
 
+def _pressed(rows: DataFrame) -> DataFrame:
+    """(doc_id, body) of the rows that have a text, compressed as they are sent twice."""
+    ddl = "doc_id long, body binary"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        press = presser()
+        for batch in batches:
+            bodies = batch.column(1).cast(pa.large_binary())
+            yield arrow_batch(schema, [batch.column(0), [press(b.as_buffer()) for b in bodies]])
+
+    return rows.where("text <> ''").select("doc_id", "text").mapInArrow(run, ddl)
+
+
 def _linked(rows: DataFrame, members: DataFrame, width: int, num: int, both: int) -> DataFrame:
     """(rep, links, root) from every task a class takes part in."""
     tasks = _blocks(members.select("rep", "cell", "copies", "n"), num / (both - num)) \
         .groupBy("rep").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
     wanted = members.join(tasks, "rep").select(F.col("least").alias("doc_id"), "rep", "copies", "digest", "tasks")
     # texts are half the size of their sets; those of one id that are not the class's own are told by the digest
-    sent = rows.join(wanted, "doc_id").select("rep", "copies", "digest", "text", F.explode("tasks").alias("t")) \
-        .select("rep", "copies", "digest", "text", "t.side", "t.task")
+    sent = _pressed(rows).join(wanted, "doc_id").select("rep", "copies", "digest", "body", F.explode("tasks").alias("t")) \
+        .select("rep", "copies", "digest", "body", "t.side", "t.task")
     ddl = "rep long, links long, root long"
     schema = arrow_schema(ddl)
 
@@ -437,8 +454,9 @@ def _linked(rows: DataFrame, members: DataFrame, width: int, num: int, both: int
 
         only("words")
         reps, sides, copies, found = [], [], [], []
+        unpress = opener()
         for row in table.to_pylist():
-            own = shingles(words(row["text"]), width)
+            own = shingles(words(unpress(row["body"]).decode()), width)
             if row["rep"] not in reps[-1:] and xxhash.xxh3_128_digest(own.tobytes()) == row["digest"]:
                 reps.append(row["rep"])
                 sides.append(row["side"])
