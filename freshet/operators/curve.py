@@ -100,10 +100,11 @@ def _steps_reaching(need: DataFrame, curve: DataFrame, keys: list[str], tells: l
     # steps alike in cost and volume count together, as one step: a range frame takes them all
     upto = F.sum("_size").over(here.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     rows = merged.withColumn("_upto", upto).withColumn("_step", F.when(is_step, step))
-    following = here.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # the next step is the last one seen from the far end: a frame to the end of the group is read anew for every row
+    following = slices.within(group).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = slices.within(group)
     rank = F.when(is_step, F.struct("_cum", "_cost"))
-    found = rows.withColumns({"_next": F.first("_step", ignorenulls=True).over(following),
+    found = rows.withColumns({"_next": F.last("_step", ignorenulls=True).over(following),
                               "_first": F.min_by("_step", rank).over(whole), "_last": F.max_by("_step", rank).over(whole),
                               "_sum": F.sum("_size").over(whole)})
 

@@ -49,6 +49,14 @@ def test_no_nested_loops_when_nothing_is_small(spark, name):
         assert ends or numbers or "LocalTableScan" in source or "OneRowRelation" in source
 
 
+@pytest.mark.parametrize("name", ["curve_lookup_many"])
+def test_no_frame_from_a_row_to_the_end(spark, name):
+    """Such a frame is read anew for every row: the time goes with the square of a group."""
+    text = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$(), currentrow$()" in text
+    assert "currentrow$(), unboundedfollowing$()" not in text
+
+
 def test_fact_scan_reads_only_what_it_needs(spark):
     text = QUERIES["scenario_window_join"](spark, SF_DIR)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<l_quantity:double,l_shipdate:timestamp_ntz>" in text
