@@ -18,6 +18,14 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+#: Bytes of a task where the session does not say.  Sorted shuffle data are small; in the sorts and hash maps of a join
+#: with an aggregate above it they take 20 to 30 times as much, so Spark's 64 MB ask a task for gigabytes, as do its 128 MB
+#: of a compressed file whose rows are all different groups.
+TASK_BYTES = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
+}
+
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 PARTITIONS_PER_CORE = 4
 
@@ -39,6 +47,9 @@ def tune(spark: SparkSession, keep: Container[str] = ()) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         if key not in keep and spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    for key, value in TASK_BYTES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     if not is_local(spark) and spark.conf.get(INITIAL_PARTITIONS, None) is None:
         # The default of 200 is far too few at scale; AQE merges what is too many.
         cores = spark.sparkContext.defaultParallelism

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from freshet.plans import testdata
 from freshet.operators import apportion, flow, slices, windows
+from freshet.session import TASK_BYTES, tune
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = testdata.registered()
@@ -124,3 +125,18 @@ def test_rollup_does_not_multiply_rows(spark):
                                        whole_size="whole", measures={"m": "m"}, size_out="area"))
     join = text.index("Join")
     assert text.index("HashAggregate") > join  # parts are reduced below the join
+
+
+def test_bytes_of_a_task_are_bounded_unless_the_session_says(spark):
+    """A join with an aggregate above it holds 20 to 30 times the bytes that were shuffled to a task."""
+    fresh = spark.newSession()
+    for key in TASK_BYTES:
+        fresh.conf.unset(key)
+    tune(fresh)
+    assert {key: fresh.conf.get(key) for key in TASK_BYTES} == {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m", "spark.sql.files.maxPartitionBytes": "32m"}
+    said = spark.newSession()
+    for key in TASK_BYTES:
+        said.conf.set(key, "100m")
+    tune(said)
+    assert {said.conf.get(key) for key in TASK_BYTES} == {"100m"}
