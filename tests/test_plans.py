@@ -50,7 +50,7 @@ def test_no_nested_loops_when_nothing_is_small(spark, name):
         assert ends or numbers or "LocalTableScan" in source or "OneRowRelation" in source
 
 
-@pytest.mark.parametrize("name", ["curve_lookup_many", "curve_lookup"])
+@pytest.mark.parametrize("name", ["curve_lookup_many", "curve_lookup", "curve_lookup_regions", "mean_cost_matrix"])
 def test_no_frame_from_a_row_to_the_end(spark, name):
     """Such a frame is read anew for every row: the time goes with the square of a group."""
     text = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
