@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_batch, arrow_schema, documents, only, small_batches
+from ._common import arrow_batch, arrow_schema, documents, only, remembers, small_batches
 
 SHARE = 0.2
 #: characters of a piece, what a 64-bit word holds
@@ -70,13 +70,20 @@ def _lower() -> np.ndarray:
     return out
 
 
+#: the same of the first 256 characters
+_LATIN = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 0 for i in range(256))
+
+
 def _body(text: str | None) -> np.ndarray:
-    """Code points of the words in lower case, with single spaces between."""
+    """Code points of the words in lower case, with single spaces between; bytes where all are below 256."""
     if not text:
         return np.empty(0, np.uint32)
     if "\u0130" in text or "\u03a3" in text:  # their lower case is two characters, or depends on the place
         return np.frombuffer(" ".join(w.lower() for w in _WORD.findall(text)).encode("utf-32-le"), np.uint32)
-    points = _lower()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    try:
+        points = np.frombuffer(text.encode("latin-1").translate(_LATIN), np.uint8)
+    except UnicodeEncodeError:
+        points = _lower()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
     inside = points != 0
     keep = inside.copy()
     keep[1:] |= inside[:-1]
@@ -87,7 +94,7 @@ def _body(text: str | None) -> np.ndarray:
 
 
 def _text(points: np.ndarray) -> str:
-    return points.tobytes().decode("utf-32-le")
+    return points.astype("<u4").tobytes().decode("utf-32-le")
 
 
 def _expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +105,14 @@ def _expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _words64(codes: np.ndarray) -> np.ndarray:
     """The eight characters from every place on, the first in the lowest byte; 0 behind the end."""
-    padded = np.zeros(len(codes) + 8, np.uint64)
+    padded = np.zeros(len(codes) + 8, np.uint8)
     padded[:len(codes)] = codes
-    out = padded[:len(codes) + 1].copy()
-    for k in range(1, 8):
-        out |= padded[k:k + len(codes) + 1] << np.uint64(8 * k)
-    return out
+    return np.ndarray((len(codes) + 1,), "<u8", padded, strides=(1,)).astype(np.uint64)
 
 
-#: the lowest bytes of a word, by their number
+#: the lowest bytes of a word, by their number, and each byte
 _LOW = [np.uint64((1 << 8 * k) - 1) for k in range(9)]
+_BYTE = [np.uint64(255 << 8 * k) for k in range(8)]
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -137,6 +142,68 @@ class _Table:
         return self.pieces[self.first[slots][owner] + inside], at[owner]
 
 
+#: odd factors of the seven characters of a piece without one
+_SEVEN = [np.uint32(f) for f in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xB55A4F09)]
+
+
+class _Cut:
+    """Pieces of eight without each of their characters, by a hash that changes little from one gap to the next."""
+
+    def __init__(self, words: np.ndarray):
+        key = np.concatenate([words & _LOW[i] | words >> np.uint64(8) & _LOW[7] & ~_LOW[i] for i in range(PIECE)])
+        slots = np.zeros(len(key), np.uint32)
+        for i, factor in enumerate(_SEVEN):
+            slots += (key >> np.uint64(8 * i) & _LOW[1]).astype(np.uint32) * factor
+        slots = (slots >> np.uint32(32 - SLOTS)).astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        self.key, self.piece, self.gap = key[order], order % len(words), (order // len(words)).astype(np.uint8)
+        self.text = words[self.piece]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=1 << SLOTS))]).astype(np.int32)
+        #: which characters are left out of the pieces with a hash, a bit each
+        self.gaps = np.zeros(1 << SLOTS, np.uint8)
+        np.bitwise_or.at(self.gaps, slots[order], np.uint8(1) << self.gap)
+
+    def met(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(piece, place, how often it counts): twice as it is, once with one edit, which may be named again."""
+        words, n = _words64(codes), len(codes)
+        padded = np.zeros(n + PIECE, np.uint32)
+        padded[:n] = codes
+        steps = np.diff(padded)
+        hashes, slots, gaps = np.zeros(n, np.uint32), np.empty(n, np.int64), np.empty(n, np.uint8)
+        for i, factor in enumerate(_SEVEN):
+            hashes += padded[i:i + n] * factor
+        found = []
+        for i in range(PIECE - 1, -1, -1):  # the text without its i-th character
+            if i < PIECE - 1:
+                hashes += steps[i:i + n] * _SEVEN[i]
+            np.right_shift(hashes, np.uint32(32 - SLOTS), out=slots, casting="unsafe")
+            self.gaps.take(slots, out=gaps, mode="clip")
+            # of use: all pieces shorter by a character, or those changed in this one or longer by it
+            use = gaps if i == PIECE - 1 else gaps & np.uint8(1 << i | 1 << PIECE - 1)
+            at = np.flatnonzero(use != 0)
+            slot = slots[at]
+            first = self.first[slot]
+            owner, inside = _expand(self.first[slot + 1] - first)
+            entry, at = first[owner] + inside, at[owner]
+            if i < PIECE - 1:
+                gap = self.gap[entry]
+                use = np.flatnonzero((gap == i) | (gap == PIECE - 1))
+                entry, at = entry[use], at[use]
+            own, text = words[at], self.text[entry]
+            changes = own ^ text
+            if i == PIECE - 1:
+                short = (own & _LOW[7]) == self.key[entry]
+                keep = np.flatnonzero(short & ((changes != 0) | (self.gap[entry] == i)))
+                often = 1 + (changes[keep] == 0)
+            else:
+                following = words[at + 1]
+                left = following ^ (own ^ following) & _LOW[i]
+                keep = np.flatnonzero((changes != 0) & ((changes & ~_BYTE[i] == 0) | (left == text)))
+                often = np.ones(len(keep), np.int64)
+            found.append((self.piece[entry[keep]], at[keep], often))
+        return found
+
+
 class _Pieces:
     """Pieces of one width, of some items: (number, text, edits allowed).
 
@@ -157,49 +224,49 @@ class _Pieces:
             words.append(_words64(_codes(t))[own])
         self.item, self.before = np.concatenate(item), np.concatenate(before)
         words, every = np.concatenate(words), np.arange(len(self.item))
-        self.whole = _Table(words, every, width)
-        if near:  # without one of their characters
-            less = [words & _LOW[i] | words >> np.uint64(8) & ~_LOW[i] for i in range(width)]
-            self.cut = _Table(np.concatenate(less), np.tile(every, width), width - 1)
+        self.table = _Cut(words) if near else _Table(words, every, width)
 
     def _met(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(piece, place where its item would begin, how often it counts) of the pieces met."""
-        words = _words64(codes)
-        words, following = words[:-1], words[1:]
-        found = [(*self.whole.met(words), 1 + self.near)]
+        """(item and place where it would begin as one number, piece, how often it counts) of the pieces met, in order."""
         if self.near:
-            changes = words ^ following
-            for i in range(PIECE):  # without the i-th character: a piece longer by it, or changed in it
-                left = following ^ changes & _LOW[i]
-                found += [(*self.whole.met(left), 1), (*self.cut.met(left), 1)]
-        size = len(codes) + 1
-        key = np.concatenate([(piece * size + at) * 2 + 2 - often for piece, at, often in found])
+            found = self.table.met(codes)
+        else:
+            piece, at = self.table.met(_words64(codes)[:-1])
+            found = [(piece, at, np.ones(len(at), np.int64))]
+        piece, at, often = (np.concatenate(c) for c in zip(*found))
+        n = len(self.item)
+        key = (((self.item * self._apart(codes) + self.reach - self.before)[piece] + at) * n + piece) * 2 + 2 - often
         key.sort()
         key = key[np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1])[:len(key)]]
-        piece, at = np.divmod(key >> 1, size)
-        often = 2 - (key & 1) if self.near else np.ones(len(key), np.int64)
-        return piece, at - self.before[piece], often
+        place, piece = np.divmod(key >> 1, n)
+        return place, piece, 2 - (key & 1) if self.near else np.ones(len(key), np.int64)
+
+    def _apart(self, codes: np.ndarray) -> int:
+        """From the places of one item to those of the next."""
+        return len(codes) + 3 * self.reach
 
     def laid(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, item) of windows: wherever enough pieces meet within the edits allowed."""
-        piece, at, often = self._met(codes)
-        item = self.item[piece]
+        key, piece, often = self._met(codes)
+        apart = self._apart(codes)
         # the count of the pieces from each place on, as far as they may shift
-        apart = len(codes) + 3 * self.reach
-        key = item * apart + at + self.reach
-        order = np.argsort(key)
         for strict in (False, True):  # once more with what is left, different pieces alone
-            key, item, piece, often = key[order], item[order], piece[order], often[order]
+            item, n = self.item[piece], len(key)
+            # so many pieces at least must follow within the shift, as none counts more than twice
+            last = np.arange(n) + (self.least[item] + self.near) // (1 + self.near) - 1
+            begins = np.flatnonzero(last < n)
+            begins = begins[key[last[begins]] - key[begins] <= self.spare[item[begins]]]
             upto = np.concatenate([[0], np.cumsum(often)])
-            ends = np.searchsorted(key, key + self.spare[item], "right")  # the spare is below the reach
-            begins = np.arange(len(key))
-            enough = np.flatnonzero(upto[ends] - upto[begins] >= self.least[item])
+            ends = np.searchsorted(key, key[begins] + self.spare[item[begins]], "right")  # the spare is below the reach
+            enough = np.flatnonzero(upto[ends] - upto[begins] >= self.least[item[begins]])
+            begins, ends = begins[enough], ends[enough]
             if strict:
-                enough = enough[self._different(piece, often, begins[enough], ends[enough]) >= self.least[item[enough]]]
-            n = len(key) + 1
-            steps = np.bincount(begins[enough], minlength=n) - np.bincount(ends[enough], minlength=n)
+                enough = np.flatnonzero(self._different(piece, often, begins, ends) >= self.least[item[begins]])
+                begins, ends = begins[enough], ends[enough]
+            steps = np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
             order = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
-        key = np.unique(key[order])
+            key, piece, often = key[order], piece[order], often[order]
+        key = np.unique(key)
         return key % apart - self.reach, self.number[key // apart]
 
     @staticmethod
@@ -214,17 +281,19 @@ class _Pieces:
 
 
 def walk(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """CGK embedding of rows of characters; bits[step, character] tells whether to go on."""
-    n, width = windows.shape
+    """CGK embeddings (walk, row, step) of rows of characters; bits[walk, step, character] tells whether to go on."""
+    (n, width), (walks, steps, _) = windows.shape, bits.shape
     padded = np.zeros((n, width + 1), np.uint8)
     padded[:, :width] = windows
-    flat, base = padded.ravel(), np.arange(n) * (width + 1)
-    at, out = np.zeros(n, np.int64), np.empty((len(bits), n), np.uint8)
-    for step, row in enumerate(bits):
-        seen = flat[base + at]
+    flat, rows = padded.ravel(), bits.transpose(1, 0, 2).reshape(steps, -1)
+    at = np.tile(np.arange(n) * (width + 1), walks)
+    end, own = at + width, np.repeat(np.arange(walks) * 256, n)
+    out = np.empty((steps, walks * n), np.uint8)
+    for step, row in enumerate(rows):
+        seen = flat[at]
         out[step] = seen
-        at = np.minimum(at + row[seen], width)
-    return out.T
+        at = np.minimum(at + row[own + seen], end)
+    return out.reshape(steps, walks, n).transpose(1, 2, 0)
 
 
 def nearest(item: str, text: str) -> tuple[int, int, int]:
@@ -283,7 +352,7 @@ class Matcher:
         lengths = np.array([len(t) for _, t in self.items])
         self.lengths, self.width = lengths, int(lengths.max())
         random = np.random.default_rng(seed)
-        self.bits = random.integers(0, 2, (WALKS, 3 * self.width, 256)).astype(np.int64)
+        self.bits = np.stack([random.integers(0, 2, (3 * self.width, 256)).astype(np.uint8) for _ in range(WALKS)])
         # samples of positions along the item's own walk
         self.samples = (random.random((WALKS, len(self.items), BANDS, BITS))
                         * (3 * lengths)[None, :, None, None]).astype(np.int64)
@@ -291,7 +360,7 @@ class Matcher:
         for row, (_, t) in zip(codes, self.items):
             row[:len(t)] = _codes(t)
         every = np.arange(len(self.items))
-        self.keys = [self._keys(walk(codes, b), s, every) for b, s in zip(self.bits, self.samples)]
+        self.keys = [self._keys(walk(codes, b[None])[0], s, every) for b, s in zip(self.bits, self.samples)]
 
     @staticmethod
     def _keys(out, samples, item):
@@ -330,14 +399,16 @@ class Matcher:
     def candidates(self, windows: list[tuple[np.ndarray, int]]) -> np.ndarray:
         """Which of the windows (characters, item) share a sample with their item."""
         out = np.zeros(len(windows), bool)
-        for i in range(0, len(windows), WINDOWS):
-            part = windows[i:i + WINDOWS]
-            codes = np.zeros((len(part), self.width), np.uint8)
+        step = WINDOWS // WALKS
+        for i in range(0, len(windows), step):
+            part = windows[i:i + step]
+            item = np.array([k for _, k in part])
+            width = int(self.lengths[item].max())  # no sample lies behind three times the item
+            codes = np.zeros((len(part), width), np.uint8)
             for row, (own, _) in zip(codes, part):
                 row[:len(own)] = own
-            item = np.array([k for _, k in part])
-            for bits, samples, keys in zip(self.bits, self.samples, self.keys):
-                own = self._keys(walk(codes, bits), samples, item)
+            for walked, samples, keys in zip(walk(codes, self.bits[:, :3 * width]), self.samples, self.keys):
+                own = self._keys(walked, samples, item)
                 out[i:i + len(part)] |= (own == keys[item]).all(2).any(1)
         return out
 
@@ -356,6 +427,11 @@ class Matcher:
         windows = [(codes[d][a:a + len(self.items[i][1])], i) for d, a, i in places]
         return {places[k] for k in np.flatnonzero(self.candidates(windows)).tolist()}
 
+    def _reached(self, codes: dict[int, np.ndarray], far: list[tuple], places: list[tuple]) -> list[tuple]:
+        """Those of the stretches with a candidate among the places."""
+        near = self._near(codes, places)
+        return [f for f in far if any((f[1], a, f[2]) in near for a in range(f[3], f[4] + 1))]
+
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For every text its hits (item id, start, end, distance), offsets in the text as it is."""
         hits: list[list[tuple]] = [[] for _ in texts]
@@ -365,14 +441,23 @@ class Matcher:
         codes = {d: (body % 255 + 1).astype(np.uint8) for d, body in bodies.items()}
         stretches = self._stretches(self._windows(codes))
         near = self._near(codes, [(d, a, i) for d, i, places in stretches for a in places])
-        for d, i, places in stretches:
-            key, item = self.items[i]
-            spare = int(self.share * len(item))
+        kept, far, waiting = [], [], []
+        for n, (d, i, places) in enumerate(stretches):
+            spare = int(self.share * len(self.items[i][1]))
             low, high = max(0, places[0] - spare), places[-1] + spare
-            # where no piece tells the beginning well enough: windows at all places it can be at
-            if not any((d, a, i) in near for a in places) and \
-                    not self._near(codes, [(d, a, i) for a in range(low, min(high, len(codes[d]) - 1) + 1)]):
+            if any((d, a, i) in near for a in places):
+                kept.append((n, d, i, low, high))
                 continue
+            # where no piece tells the beginning well enough: windows at all places it can be at, of many stretches at once
+            far.append((n, d, i, low, high))
+            waiting += [(d, a, i) for a in range(low, min(high, len(codes[d]) - 1) + 1)]
+            if len(waiting) >= WINDOWS:
+                kept += self._reached(codes, far, waiting)
+                far, waiting = [], []
+        kept += self._reached(codes, far, waiting)
+        for _, d, i, low, high in sorted(kept):
+            key, item = self.items[i]
+            spare = int(self.share * len(item))
             distance, start, end = nearest(item, _text(bodies[d][low:high + len(item)]))
             if distance <= spare:
                 name = (True, i) if key is None else (False, key)  # items without an id are apart
@@ -402,6 +487,18 @@ def _nearest_only(own: list[tuple]) -> list[tuple]:
     return sorted(kept, key=lambda h: (h[1], h[0]))
 
 
+_matchers: list[tuple[list, Matcher]] = []
+remembers("matcher", _matchers.clear)
+
+
+def _matcher(items: list[tuple]) -> Matcher:
+    """The worker's matcher of a block of items; one is kept."""
+    only("matcher")
+    if not _matchers or _matchers[0][0] != items:
+        _matchers[:] = [(items, Matcher(items))]
+    return _matchers[0][1]
+
+
 # --- on Spark -------------------------------------------------------------------
 def blocks(benchmark: DataFrame, item_column: str = "item_id", text: str = "text", null_ids: bool = True):
     """Items of one block after the other, each within ``BLOCK_BYTES`` (or one item)."""
@@ -440,8 +537,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", te
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            only()
-            matcher = Matcher(sent.value)
+            matcher = _matcher(sent.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 out = [(i, *h) for i, own in zip(ids, matcher.find(batch.column(1).to_pylist())) for h in own]
@@ -461,8 +557,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            only()
-            matcher = Matcher(sent.value)
+            matcher = _matcher(sent.value)
             for batch in batches:
                 keep = [not own for own in matcher.find(batch.column(at).to_pylist())]
                 yield batch.filter(pa.array(keep, pa.bool_()))

@@ -164,3 +164,26 @@ def test_items_without_an_id_and_with_textual_ids(spark, make):
     assert [r["doc_id"] for r in dc.clean(docs, bench).collect()] == [5]
     got = sorted(((h["doc_id"], h["item_id"]) for h in dc.find(docs, bench, null_ids=True).collect()), key=repr)
     assert got == [(1, None), (2, None), (3, "c-3"), (4, None), (4, None)]
+
+
+def test_pieces_met_are_those_within_one_edit():
+    """Neither pieces that share a hash with the text nor pieces two edits away are met; all others are."""
+    r = random.Random(4)
+    item, text = ("".join(r.choice("ab") for _ in range(n)) for n in (80, 400))
+    text = text[:150] + item + text[150:] + item[:7]
+    pieces = dc._Pieces(dc.PIECE, True, [(0, item, 16)])
+    want = set()
+    for k in range(len(item) // 8):
+        piece = item[8 * k:8 * k + 8]
+        for at in range(len(text)):
+            own = text[at:at + 8]
+            longer, shorter = text[at:at + 9], text[at:at + 7]
+            if own == piece:
+                want.add((k, at, 2))
+            elif len(own) == 8 and sum(a != b for a, b in zip(own, piece)) == 1 \
+                    or any(piece[:i] + piece[i + 1:] == shorter for i in range(8)) \
+                    or len(longer) == 9 and any(longer[:i] + longer[i + 1:] == piece for i in range(8)):
+                want.add((k, at, 1))
+    begin, piece, often = pieces._met(dc._codes(text))
+    assert set(zip(piece.tolist(), (begin - pieces.reach + pieces.before[piece]).tolist(), often.tolist())) == want
+    assert len(piece) == len(want)
