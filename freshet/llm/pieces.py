@@ -15,6 +15,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 
@@ -22,6 +24,8 @@ from ._common import only, remembers
 
 #: parts remembered in each of two generations; longer parts are never kept
 KEPT, LONGEST = 500_000, 48
+#: characters split into parts at once: the parts stay in the processor's cache until they are joined
+AT_ONCE = 1 << 17
 #: what some library may count as white space and Python does not
 _CUT, _LINE = (re.compile(f"(?<=[^\\s\\u180e\\u200b\\u2060\\ufeff]){c}(?=[^\\s\\u180e\\u200b\\u2060\\ufeff])") for c in " \n")
 #: white space, or nearly, at which a text is not simply lines of words with single spaces
@@ -92,17 +96,19 @@ class PieceEncoder:
         cuts = [*(first * size).tolist(), len(data)]
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _library(self, keys: list[str]) -> list[bytes]:
+    def _library(self, keys: list[str]) -> dict[str, bytes]:
+        known: dict[str, bytes] = {}
         if self.spaced is not None:
             # without a space inside, only a word's first id begins with one
             words = [k for k in keys if k.isalnum() or k.isascii() and k.isprintable() and " " not in k]
             found = self._joined(words) if len(words) > 1 else None
             if found is not None:
                 known = dict(zip(words, found))
-                others = [k for k in keys if k not in known]
-                known.update(zip(others, self._each(others)))
-                return [known[k] for k in keys]
-        return self._each(keys)
+                if len(known) == len(keys):
+                    return known
+                keys = [k for k in keys if k not in known]
+        known.update(zip(keys, self._each(keys)))
+        return known
 
     def _each(self, keys: list[str]) -> list[bytes]:
         parts = keys if self.lowered else [k[1:] if k[0] == HEAD else " " + k for k in keys]
@@ -111,17 +117,15 @@ class PieceEncoder:
 
     def _learn(self, keys: set[str]) -> dict[str, bytes]:
         """Ids of parts not met before."""
+        marked = [k for k in keys if k[-1] in _MARKS and len(k) > 2 and k[-2].isalpha() and k[-2] < "\u0130"]
+        if not marked:
+            return self._library(list(keys))
         mark = "" if self.lowered else HEAD
-        halves = {k: (k[:-1], mark + k[-1]) for k in keys
-                  if len(k) > 2 and k[-1] in _MARKS and k[-2].isalpha() and k[-2] < "\u0130"}
-        single = [k for k in keys if k not in halves]
-        for pair in halves.values():
-            single += [h for h in pair if h not in self.young and h not in self.old]
-        single = list(dict.fromkeys(single))
-        found = dict(zip(single, self._library(single)))
-        known = lambda h: found.get(h) or self.young.get(h) or self.old.get(h) or b""
-        for key, (word, closing) in halves.items():
-            found[key] = known(word) + known(closing)
+        halves = {h for k in marked for h in (k[:-1], mark + k[-1])}
+        known = {h: ids for h in halves if (ids := self.young.get(h) or self.old.get(h))}
+        found = self._library(list(keys.difference(marked).union(halves.difference(known))))
+        known.update((h, found[h]) for h in halves.difference(known))
+        found.update((k, known[k[:-1]] + known[mark + k[-1]]) for k in marked)
         return found
 
     def _parts(self, text: str) -> list[str]:
@@ -145,18 +149,32 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text; NULL and empty texts have none."""
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text or "")
+            if size >= AT_ONCE:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self._parts(text) if text else [] for text in texts]
-        unseen = set().union(*split).difference(self.young)
-        again = {k: self.old[k] for k in unseen if k in self.old}
-        now = {**again, **self._learn(unseen.difference(again))} if unseen else {}
-        if len(self.young) + len(now) > KEPT:
-            self.old, self.young = self.young, {}
-            lookup = {**self.old, **now}
-        else:
-            lookup = None
-        self.young.update((k, v) for k, v in now.items() if len(k) <= LONGEST)
-        if lookup is None:
-            extra = {k: v for k, v in now.items() if len(k) > LONGEST}
-            lookup = {**self.young, **extra} if extra else self.young
-        get = lookup.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), self.dtype) for parts in split]
+        get = self.young.get
+        found = [list(map(get, parts)) for parts in split]
+        unseen: set[str] = set()
+        for parts, own in zip(split, found):
+            unseen.update(compress(parts, map(not_, own)))
+        if unseen:
+            now = {k: self.old[k] for k in unseen if k in self.old}
+            if len(now) < len(unseen):
+                now.update(self._learn(unseen.difference(now)))
+            for parts, own in zip(split, found):
+                for i in list(compress(count(), map(not_, own))):
+                    own[i] = now[parts[i]]
+            if len(self.young) + len(now) > KEPT:
+                self.old, self.young = self.young, {}
+            self.young.update(now)
+            for k in [k for k in now if len(k) > LONGEST]:
+                del self.young[k]
+        return [np.frombuffer(b"".join(own), self.dtype) for own in found]
