@@ -149,21 +149,25 @@ def deltas(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
-def shingles(tokens: list[bytes], width: int) -> np.ndarray:
-    """Distinct hashes of the runs of ``width`` words, ascending; fewer words make one run.
+def runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, in order; fewer words make one run.
 
-    No words: no shingle.
+    No words: no run.
     """
-    if not tokens:
+    if not len(hashes):
         return np.empty(0, np.uint64)
-    h = hash_words(tokens)
-    n = max(1, len(h) - width + 1)
+    n = max(1, len(hashes) - width + 1)
     out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-    for i in range(min(width, len(h))):
-        out = mix(out * np.uint64(0x100000001B3) + h[i:i + n])
-    if len(h) < width:  # a short text is no run of a longer one
-        out = mix(out + np.uint64(len(h)))
-    return np.unique(out)
+    for i in range(min(width, len(hashes))):
+        out = mix(out * np.uint64(0x100000001B3) + hashes[i:i + n])
+    if len(hashes) < width:  # a short text is no run of a longer one
+        out = mix(out + np.uint64(len(hashes)))
+    return out
+
+
+def shingles(tokens: list[bytes], width: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``width`` words, ascending; no words: no shingle."""
+    return np.unique(runs(hash_words(tokens), width))
 
 
 def crc_of_id(column: str):

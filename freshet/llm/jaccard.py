@@ -3,9 +3,11 @@
 Two documents link when the Jaccard similarity of their sets of word shingles reaches a threshold.
 
 1. Documents with the same set form a class, of which one document stands for all.
-2. Shingles get one global order, rare ones first.  Rarity comes from a table of ``SLOTS`` counters
-   over all shingles of all documents: it only has to be the same order everywhere, so
-   counters may be shared; its size is fixed, and it is all that is broadcast.
+2. Shingles get one global order, rare ones first.  A shingle is at most as frequent as its counter and as
+   the counter of its rarest word; the less of the two ranks it.  Each kind has a table of 2^SLOT_BITS counters
+   over all documents: the order only has to be the same everywhere, so counters may be shared; their
+   size is fixed, and they are all that is broadcast.  Where shingles are so many that their counters
+   say little, those of the words still tell, as words are far fewer.
 3. Sets of n shingles that link share one of the first n - ceil(threshold * n) + 1 of each.  Classes that meet
    on such a shingle are candidates; the components of "meets" are the cells.  Every link lies within a
    cell, and a class belongs to one cell at most, so its set is sent once.  Of those that share a
@@ -13,13 +15,16 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
    in which each is at least the threshold's share of the next.  A task joins its own classes to runs and
    sends one class and the range of sizes for each, packed in sorted arrays by ranges of the hash, so
    that a hot shingle is a few entries per task.
-4. A cell's sets are stored in a trie in global order, frequent shingles first so that copies share their
+4. Unlike sets that meet by chance may join cells into one that holds most of the corpus.  Cells are
+   therefore sifted: a set has a sketch, the parities of its members by bits of their hashes, and two sketches differ
+   in no more bits than the sets in members.  Of a cell stay the components of what the sketches allow to link.
+5. A cell's sets are stored in a trie in global order, frequent shingles first so that copies share their
    paths.  Each set walks the trie once: the overlap with a path is carried down to all sets
    below it, and a subtree is left as soon as what remains of the set and of the subtree's
    sets cannot reach the overlap their lengths call for.  Each pair is met from one end only.
-5. Cells of more than ``BLOCK`` classes are cut by size bands (only neighbouring ones can link) and within them
+6. Cells of more than ``BLOCK`` classes are cut by size bands (only neighbouring ones can link) and within them
    by hash; every pair of blocks gets a task, so each pair of classes meets exactly once.
-6. A task gives each class its number of links and a root of its local component, not its pairs; the
+7. A task gives each class its number of links and a root of its local component, not its pairs; the
    components of these are those of the links.
 
 Defined results: no text, an empty text or one without words has no shingle, links with nothing and is
@@ -38,45 +43,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._clusters import components
-from ._common import arrow_batch, arrow_schema, deltas, documents, only, opener, packed, presser, shingles, small_batches, stage, unpacked, words
+from ._common import (
+    arrow_batch, arrow_schema, deltas, documents, hash_words, only, opener, packed, presser, runs, shingles, small_batches, stage,
+    unpacked, words,
+)
 
 SLOT_BITS, CHUNK_BITS, FAN_IN = 22, 18, 64
 BLOCK = 600
 #: keys that a task gathers before it sends them, and keys of a range, roughly
 HELD_KEYS, RANGE_KEYS = 1_500_000, 2_000_000
+#: sketches of a block, and classes that are sifted together, roughly
+SIFTED, BUCKET = 8_000, 5_000
 
 
 # --- passes over the texts ------------------------------------------------------
-def _profile(rows: DataFrame, width: int) -> DataFrame:
-    """Per document: size and digest of its set.  Per task: counters of its shingles, in chunks."""
-    ddl = "doc_id long, n long, digest binary, mark long, task int, chunk int, counts binary"
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _profile(rows: DataFrame, width: int, num: int, both: int) -> DataFrame:
+    """Per document: size, digest and sketch of its set.  Per task: counters of its shingles and words, in chunks."""
+    ddl = "doc_id long, n long, digest binary, sketch binary, mark long, task int, chunk int, counts binary"
     schema = arrow_schema(ddl)
 
     def run(batches):
         only("words")
         import xxhash
 
-        counts = np.zeros(1 << SLOT_BITS, np.uint32)
+        counts = np.zeros((2, 1 << SLOT_BITS), np.uint32)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets = [shingles(words(t), width) for t in texts]
-            if sets:
-                every = np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)
-                counts += np.bincount(every.astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            hashes = [hash_words(words(t)) for t in texts]
+            sets = [np.unique(runs(h, width)) for h in hashes]
+            for kind, each in enumerate((sets, hashes)):
+                if each:
+                    counts[kind] += np.bincount(_slots(np.concatenate(each)), minlength=1 << SLOT_BITS).astype(np.uint32)
             n = len(ids)
             yield arrow_batch(schema, [ids, [len(s) for s in sets],
                                        [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                                       [sketch(s, num, both) for s in sets],
                                        batch.column(2), [None] * n, [None] * n, [None] * n])
         task, press = TaskContext.get().partitionId(), presser()
         for c, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
             if part.any():
-                yield arrow_batch(schema, [[None], [None], [None], [None], [task], [c], [press(packed(part))]])
+                yield arrow_batch(schema, [[None]] * 5 + [[task], [c], [press(packed(part))]])
 
     return rows.mapInArrow(run, ddl)
 
 
 def _rarity(profile: DataFrame) -> np.ndarray:
-    """The counters of all tasks, added up in a tree; 2^SLOT_BITS numbers."""
+    """The counters of all tasks, added up in a tree: 2^SLOT_BITS numbers for shingles, and as many for words."""
     ddl = "task int, chunk int, counts binary"
     schema = arrow_schema(ddl)
 
@@ -98,15 +114,76 @@ def _rarity(profile: DataFrame) -> np.ndarray:
         if tasks == 1:
             break
         counts = stage(counts, "counts")
-    out = np.zeros((1 << SLOT_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
+    out = np.zeros((2 << SLOT_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
     unpress = opener()
     for r in counts.collect():  # one row a chunk
         out[r["chunk"]] = unpacked(unpress(r["counts"]), np.uint32)
-    return out.ravel()
+    return out.reshape(2, -1)
+
+
+def _rarest_first(hashes: np.ndarray, width: int, rarity: np.ndarray) -> np.ndarray:
+    """The distinct shingles of a text by its words' hashes."""
+    every = runs(hashes, width)
+    word, rare = rarity[1][_slots(hashes)], rarity[0][_slots(every)]
+    for i in range(min(width, len(hashes))):
+        np.minimum(rare, word[i:i + len(every)], out=rare)
+    every = every[np.lexsort((every, rare))]
+    return every[np.append(True, every[1:] != every[:-1])]
+
+
+# --- the sketches ---------------------------------------------------------------
+def sketch(own: np.ndarray, num: int, both: int) -> bytes:
+    """Parities of the number of members by the low bits of their hashes.
+
+    As many bits, in powers of two, as make four of each member in which sets of this size that link may differ: sets
+    without a common member differ in half of the bits, give or take.
+    """
+    bits = max(64, 1 << (-(-8 * len(own) * (both - 2 * num) // both) - 1).bit_length())
+    counts = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
 
+def _folded(data: bytes, length: int) -> np.ndarray:
+    """The sketch of the same set in so many bytes."""
+    out = np.frombuffer(data, np.uint64)
+    while 8 * len(out) > length:
+        half = len(out) // 2
+        out = out[:half] ^ out[half:]
+    return out
+
+
+def sift(sizes: np.ndarray, sketches: list[bytes], num: int, both: int) -> np.ndarray:
+    """For every set the first of its component, where those meet whose sketches allow a link; sizes ascend.
 
-def _rarest_first(own: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    return own[np.lexsort((own, rarity[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))]
+    A set taken into a component is compared once with those that are in none yet.
+    """
+    den, total = both - num, len(sizes)
+    lengths = np.array([len(s) for s in sketches])
+    # a sketch's length grows with the size: for each length the sets that have it and the larger ones they may meet
+    firsts = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1]))
+    tables = []
+    for a, b in zip(firsts, np.append(firsts[1:], total)):
+        end = int(np.searchsorted(sizes * num, sizes[b - 1] * den, "right"))
+        tables.append((int(a), int(b), np.stack([_folded(s, lengths[a]) for s in sketches[a:end]], 1)))
+    low, high = np.searchsorted(sizes * den, sizes * num, "left"), np.searchsorted(sizes * num, sizes * den, "right")
+    level = np.searchsorted(firsts, np.arange(total), "right") - 1
+    root, free = np.full(total, -1), np.ones(total, bool)
+    for seed in range(total):
+        todo = [seed] if free[seed] else []
+        free[todo] = False
+        while todo:
+            i = todo.pop()
+            root[i] = seed
+            for k in range(int(level[low[i]]), int(level[i]) + 1):
+                a, b, table = tables[k]
+                x, y = max(a, int(low[i])), int(high[i]) if k == level[i] else b
+                if not free[x:y].any():
+                    continue
+                apart = np.bitwise_count(table[:, x - a:y - a] ^ table[:, i - a:i - a + 1]).sum(0, dtype=np.int64)
+                near = x + np.flatnonzero(free[x:y] & (apart * both <= (den - num) * (sizes[x:y] + sizes[i])))
+                free[near] = False
+                todo += near.tolist()
+    return root
 
 
 # --- the trie -------------------------------------------------------------------
@@ -316,8 +393,8 @@ def _cells(rows: DataFrame, firsts, ranges: int, num: int, den: int) -> DataFram
     return components(ties).select("node", F.col("component").alias("cell"))
 
 
-def _blocks(members: DataFrame, limit: float) -> DataFrame:
-    """Rows (rep, cell, copies, n) once per task they go to, with ``task`` and ``side``.
+def _blocks(members: DataFrame, limit: float, block: int, carried: list[str]) -> DataFrame:
+    """Rows (rep, cell, n, ``carried``) once per task they go to, with ``task`` and ``side``, cells beyond ``block`` in parts.
 
     side   0 and 1: the trie's sets, 0 also to be compared among themselves; 2: only compared with the trie.
            A block meets itself where it meets the next one, not in a task of its own
@@ -326,10 +403,10 @@ def _blocks(members: DataFrame, limit: float) -> DataFrame:
     sized = members.withColumn("band", band)
     cells = sized.groupBy("cell", "band").agg(F.count("*").alias("m"))
     whole = cells.groupBy("cell").agg(F.sum("m").alias("all"))
-    small = sized.join(whole.where(F.col("all") <= BLOCK).select("cell"), "cell") \
-        .select("rep", "copies", "n", F.concat_ws(":", "cell").alias("task"), F.lit(0).alias("side"))
-    cuts = cells.join(whole.where(F.col("all") > BLOCK).select("cell"), "cell") \
-        .withColumn("cuts", F.ceil(F.col("m") / BLOCK).cast("int"))
+    small = sized.join(whole.where(F.col("all") <= block).select("cell"), "cell") \
+        .select(*carried, F.concat_ws(":", "cell").alias("task"), F.lit(0).alias("side"))
+    cuts = cells.join(whole.where(F.col("all") > block).select("cell"), "cell") \
+        .withColumn("cuts", F.ceil(F.col("m") / block).cast("int"))
     near = cuts.select("cell", (F.col("band") - 1).alias("band"), F.col("cuts").alias("above"))
     under = cuts.select("cell", (F.col("band") + 1).alias("band"), F.col("cuts").alias("below"))
     large = sized.join(cuts.select("cell", "band", "cuts"), ["cell", "band"]) \
@@ -356,10 +433,35 @@ def _blocks(members: DataFrame, limit: float) -> DataFrame:
         F.when((j == F.col("cut")) | (above == 0) & (j == F.col("cut") + 1), 0)
         .when(F.col("cut") < j, 1).otherwise(2).alias("side")))
     tasks = F.concat(inside, to(above, F.col("band"), True), to(below, F.col("band") - 1, False))
-    cut = large.select("rep", "copies", "n", F.explode(tasks).alias("t")).select("rep", "copies", "n", "t.task", "t.side")
+    cut = large.select(*carried, F.explode(tasks).alias("t")).select(*carried, "t.task", "t.side")
     return small.union(cut)
 
 
+def _sifted(members: DataFrame, num: int, both: int) -> DataFrame:
+    """(rep, cell) of the members that may link with another by their sketches."""
+    ddl = "rep long, root long"
+    schema = arrow_schema(ddl)
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("task", "ascending"), ("n", "ascending"), ("rep", "ascending")])
+        reps, sizes = table.column("rep").to_numpy(), table.column("n").to_numpy()
+        sketches, tasks = table.column("sketch").to_pylist(), table.column("task").to_pylist()
+        roots, a = [], 0
+        for b in range(1, len(tasks) + 1):
+            if b == len(tasks) or tasks[b] != tasks[a]:
+                roots.append(a + sift(sizes[a:b], sketches[a:b], num, both))
+                a = b
+        roots = np.concatenate(roots)
+        return pa.Table.from_batches([arrow_batch(schema, [reps, reps[roots]])], schema=schema)
+
+    buckets = max(16, -(-members.count() // BUCKET))
+    tasks = _blocks(members.select("rep", "cell", "n", "sketch"), num / (both - num), SIFTED, ["rep", "n", "sketch"]) \
+        .withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(buckets)))
+    ties = tasks.groupBy("bucket").applyInArrow(join, ddl)
+    return components(ties.select(F.col("rep").alias("a"), F.col("root").alias("b"))) \
+        .select(F.col("node").alias("rep"), F.col("component").alias("cell"))
+
+
 def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: str = "doc_id",
             text: str = "text", keys=None, keys_per_set: int = 0, mark=None) -> DataFrame:
     """(doc_id, n_shingles, class_id, n_links, component_id) of every row of ``docs``.
@@ -375,11 +477,12 @@ def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: s
     both = num + den
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"),
                        (F.lit(None) if mark is None else mark).cast("long").alias("mark"))
-    profile = stage(_profile(rows, width), "profile")
+    profile = stage(_profile(rows, width, num, both), "profile")
     sized = profile.where("digest is not null").select("doc_id", "n", "digest", "mark")
     rows = rows.drop("mark")
-    classes = sized.where("n > 0 and doc_id is not null").groupBy("digest") \
-        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    classes = profile.where("n > 0 and doc_id is not null").groupBy("digest") \
+        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"),
+             F.first("sketch").alias("sketch"))
     # a number of its own, as an id may stand on several texts; written, so it stays the same
     classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     rarity = None if keys else docs.sparkSession.sparkContext.broadcast(_rarity(profile))
@@ -389,14 +492,15 @@ def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: s
 
         met, nodes, sizes = [], [], []
         for t in texts:
-            own = shingles(words(t), width)
+            hashes = hash_words(words(t))
+            own = np.unique(runs(hashes, width))
             nodes.append(int.from_bytes(xxhash.xxh3_128_digest(own.tobytes())[:8], "big"))
             n = len(own)
             sizes.append(n)
             if n and keys:
                 own = keys(own, t)
             elif n:
-                own = _rarest_first(own, rarity.value)[:n - -(-n * num // (both - num)) + 1]
+                own = _rarest_first(hashes, width, rarity.value)[:n - -(-n * num // (both - num)) + 1]
             met.append(own)
         return np.concatenate(met), [len(k) for k in met], np.array(nodes, np.uint64), np.array(sizes, np.int64)
 
@@ -405,7 +509,8 @@ def cluster(docs: DataFrame, *, width: int, threshold: str | float, id_column: s
     # classes that share the first half of a digest are one node: that can only widen a cell
     node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
     cells = _cells(rows, firsts, max(16, -(-int(total) // RANGE_KEYS)), num, den)
-    members = stage(classes.withColumn("node", node).join(cells, "node"), "members")
+    met = stage(classes.withColumn("node", node).join(cells, "node"), "met")
+    members = stage(met.drop("cell", "node", "sketch").join(_sifted(met, num, both), "rep"), "members")
     linked = _linked(rows, members, width, num, both)
     top = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = linked.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -440,7 +545,7 @@ def _pressed(rows: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame, members: DataFrame, width: int, num: int, both: int) -> DataFrame:
     """(rep, links, root) from every task a class takes part in."""
-    tasks = _blocks(members.select("rep", "cell", "copies", "n"), num / (both - num)) \
+    tasks = _blocks(members.select("rep", "cell", "copies", "n"), num / (both - num), BLOCK, ["rep", "copies", "n"]) \
         .groupBy("rep").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
     wanted = members.join(tasks, "rep").select(F.col("least").alias("doc_id"), "rep", "copies", "digest", "tasks")
     # texts are half the size of their sets; those of one id that are not the class's own are told by the digest

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from freshet.llm import jaccard
+from freshet.llm._common import mix, runs
 
 
 def own_words(text):
@@ -93,3 +94,51 @@ def test_no_documents(make):
 def test_nothing_links(make):
     out = jaccard.cluster(make([(1, "a b c d"), (2, "e f g"), (3, None)]), width=3, threshold=0.9).collect()
     assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in out} == {(1, 1, 0), (2, 2, 0), (3, 3, 0)}
+
+
+def hashed(sets):
+    """Sets of small numbers as sets of 64-bit hashes."""
+    return [np.sort(mix(np.array(sorted(s), np.uint64))) for s in sets]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 300), min_size=1, max_size=300), min_size=1, max_size=12), st.integers(0, 3),
+       st.sampled_from([(9, 10), (4, 5), (1, 2), (1, 1)]))
+def test_sketches_part_no_link(sets, near, limit):
+    num, den = limit
+    sets += [set(sorted(s)[near:]) or s for s in sets]
+    sets.sort(key=len)
+    own = hashed(sets)
+    root = jaccard.sift(np.array([len(s) for s in sets]), [jaccard.sketch(s, num, num + den) for s in own], num, num + den)
+    for i, a in enumerate(sets):
+        assert all(root[i] == root[j] for j, b in enumerate(sets) if den * len(a & b) >= num * len(a | b))
+
+
+@pytest.mark.parametrize("num,den", [(9, 10), (4, 5)])
+def test_sketches_part_the_unlike(num, den):
+    r = random.Random(5)
+    sets = sorted((set(r.sample(range(10**6), r.choice([60, 250, 300, 1000, 1100]))) for _ in range(120)), key=len)
+    root = jaccard.sift(np.array([len(s) for s in sets]), [jaccard.sketch(s, num, num + den) for s in hashed(sets)], num, num + den)
+    assert root.tolist() == list(range(120))
+
+
+def test_shared_counters_of_shingles_leave_the_order_to_the_words():
+    hashes = mix(np.arange(1, 41, dtype=np.uint64))
+    rarity = np.full((2, 1 << jaccard.SLOT_BITS), 300, np.uint32)
+    rarity[1][jaccard._slots(hashes[20:21])] = 1
+    first = jaccard._rarest_first(hashes, 3, rarity)
+    assert set(first[:3]) == set(runs(hashes, 3)[18:21]) and len(first) == 38
+
+
+def test_texts_that_share_a_run_by_chance_are_not_sent(make, monkeypatch):
+    """Each text shares its rarest runs with the next one, and is unlike it otherwise."""
+    r, sent, blocks = random.Random(6), [], jaccard._blocks
+    lines = [" ".join(f"rare{i}x{k}" for k in range(8)) for i in range(81)]
+    common = [" ".join(f"w{i}x{k}" for k in range(8)) for i in range(40)]
+    rows = [(i, " ".join([lines[i], *r.sample(common, 12), lines[i + 1]])) for i in range(80)]
+    rows += [(1000 + i, t) for i, t in enumerate(near_copies(3, 120, 7, edits=1))]
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "_blocks", lambda *a: sent.append(blocks(*a)) or sent[-1])
+    out = jaccard.cluster(make(rows), width=3, threshold="0.8").collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["n_links"], x["component_id"]) for x in out), key=repr) == brute(rows, 3, 80, 100)
+    assert sent[-1].count() <= 3
