@@ -1,11 +1,13 @@
 """Each stage against a plain version of it on its own input, then the run as a whole."""
 
+import random
+
 import corpus_pipeline as cp
 import pytest
 from test_jaccard import brute, near_copies
 from test_tokens import _check_packing
 
-from freshet.llm import decontamination, pii, toxicity
+from freshet.llm import decontamination, jaccard, pii, toxicity
 from freshet.llm._common import documents
 
 
@@ -74,3 +76,17 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_that_share_a_run_by_chance_are_not_sent(spark, make, monkeypatch):
+    """Each text shares a line with the next one, and is unlike it otherwise."""
+    r, sent, blocks = random.Random(8), [], jaccard._blocks
+    lines = [" ".join(f"rare{i}x{k}" for k in range(8)) for i in range(81)]
+    common = [" ".join(f"w{i}x{k}" for k in range(8)) for i in range(40)]
+    rows = [(i, " ".join([lines[i], *r.sample(common, 12), lines[i + 1]])) for i in range(80)]
+    rows += [(1000 + i, t) for i, t in enumerate(near_copies(3, 120, 7, edits=1))]
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "_blocks", lambda *a: sent.append(blocks(*a)) or sent[-1])
+    single = cp.drop_near_duplicates(spark, make(rows), "")
+    assert sorted(x["doc_id"] for x in single.collect()) == sorted({c for *_, c in brute(rows, 5, 80, 100)})
+    assert sent[-1].count() <= 3
